@@ -6,7 +6,7 @@ import importlib
 
 from parley.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("conversation",)
+_MODULES = ("conversation", "sources")
 
 
 def _load() -> None:
