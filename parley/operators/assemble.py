@@ -17,18 +17,45 @@ from pyspark.sql import functions as F
 from parley.schemas import CALLER, VICTIM
 
 
-def channel_ordinal(turns: DataFrame, channels: Sequence[str] = (CALLER, VICTIM)) -> DataFrame:
+DEFAULT_CHUNK = 4096  # turns per ordinal chunk; bounds the rows one window task sorts
+
+
+def channel_ordinal(
+    turns: DataFrame,
+    channels: Sequence[str] = (CALLER, VICTIM),
+    strategy: str = "chunked",
+    chunk: int = DEFAULT_CHUNK,
+) -> DataFrame:
     """Add ``seq``: 0-based position of the utterance within its own channel.
 
-    Computed as running per-channel counts over one ``conv_id`` window, so the
-    same partitioning later serves the ``(conv_id, seq)`` pairing aggregate.
+    ``strategy="chunked"`` (default) is skew-safe: turns are cut into chunks of
+    ``chunk`` consecutive turn numbers, each chunk's per-channel count is
+    aggregated, a running sum over the (few) chunks gives each chunk's offset,
+    and ``row_number`` runs inside ``(conv_id, channel, chunk)`` only.  A
+    conversation holding a third of all rows is spread over many tasks.
+
+    ``strategy="window"`` uses one running count per ``conv_id`` window: a
+    single Exchange, right when conversations are known to be small.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seq: Column | None = None
-    for ch in channels:
-        running = F.sum(F.when(F.col("channel") == ch, 1).otherwise(0)).over(w) - 1
-        seq = F.when(F.col("channel") == ch, running) if seq is None else seq.when(F.col("channel") == ch, running)
-    return turns.withColumn("seq", seq.cast("int"))
+    if strategy == "window":
+        w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seq: Column | None = None
+        for ch in channels:
+            running = F.sum(F.when(F.col("channel") == ch, 1).otherwise(0)).over(w) - 1
+            seq = F.when(F.col("channel") == ch, running) if seq is None else seq.when(F.col("channel") == ch, running)
+        return turns.withColumn("seq", seq.cast("int"))
+    if strategy != "chunked":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    keyed = turns.where(F.col("channel").isin(*channels)).withColumn("_chunk", F.floor(F.col("turn") / F.lit(chunk)))
+    counts = keyed.groupBy("conv_id", "channel", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("conv_id", "channel").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("conv_id", "channel", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("conv_id", "channel", "_chunk").orderBy("turn")
+    return (
+        keyed.join(offsets, ["conv_id", "channel", "_chunk"])
+        .withColumn("seq", (F.col("_off") + F.row_number().over(inner) - 1).cast("int"))
+        .drop("_chunk", "_off")
+    )
 
 
 def pair_turns(
@@ -37,6 +64,7 @@ def pair_turns(
     carry: Sequence[str] = (),
     caller: str = CALLER,
     victim: str = VICTIM,
+    strategy: str = "chunked",
 ) -> DataFrame:
     """Positional pairing of the two speakers, truncated to the shorter side.
 
@@ -45,7 +73,7 @@ def pair_turns(
     conversation-level ``carry`` columns.  Each ``(conv_id, seq)`` group holds
     at most two rows, so the aggregate is bounded per key.
     """
-    ordered = channel_ordinal(turns.select("conv_id", "turn", "channel", value, *carry), (caller, victim))
+    ordered = channel_ordinal(turns.select("conv_id", "turn", "channel", value, *carry), (caller, victim), strategy=strategy)
     keys = ["conv_id", "seq", *carry]
     # Values are picked with max_by over the turn so that any value type
     # (strings, token arrays) works and the choice is deterministic.

@@ -6,7 +6,7 @@ import importlib
 
 from parley.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("conversation", "sources")
+_MODULES = ("conversation", "sources", "features")
 
 
 def _load() -> None:
