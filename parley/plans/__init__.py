@@ -6,7 +6,7 @@ import importlib
 
 from parley.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("conversation", "sources", "features")
+_MODULES = ("conversation", "sources", "features", "sequences")
 
 
 def _load() -> None:
