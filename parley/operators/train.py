@@ -112,6 +112,7 @@ def cross_validate(
     metric: str | None = None,
     fold_col: str = "fold",
     parallelism: int = 4,
+    num_folds: int = NUM_FOLDS,
     **params,
 ):
     """k-fold CV over a grid (default: the chosen point only) with a fold column.
@@ -128,6 +129,7 @@ def cross_validate(
         estimatorParamMaps=param_grid(est, grid),
         evaluator=evaluator,
         foldCol=fold_col,
+        numFolds=num_folds,
         parallelism=parallelism,
         seed=SEED,
     )
