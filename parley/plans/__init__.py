@@ -6,7 +6,7 @@ import importlib
 
 from parley.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("conversation", "sources", "features", "sequences", "evaluation", "normalize", "models")
+_MODULES = ("conversation", "sources", "features", "sequences", "evaluation", "normalize", "models", "streams")
 
 
 def _load() -> None:

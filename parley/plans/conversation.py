@@ -22,16 +22,16 @@ def tokenized_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asm.conversation_prefixes(pairs)
 
 
-@register(
-    "conversation_prefixes",
-    oracle=f"""
+ORACLE_PREFIXES = f"""
 WITH {sql_pairs(SQL_CONV_TURNS, SQL_TOKENS.format(x='text'))}
 SELECT conv_id || '_' || CAST(seq AS VARCHAR) AS prefix_id, conv_id, seq AS prefix_no,
        to_json(list(caller) OVER w) AS caller, to_json(list(victim) OVER w) AS victim
 FROM p
 WINDOW w AS (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-""",
-)
+"""
+
+
+@register("conversation_prefixes", oracle=ORACLE_PREFIXES)
 def q_conversation_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokenized_prefixes(spark, sf_dir)
     return out.select("prefix_id", "conv_id", "prefix_no", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"))
