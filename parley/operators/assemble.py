@@ -46,6 +46,8 @@ def channel_ordinal(
         return turns.withColumn("seq", seq.cast("int"))
     if strategy != "chunked":
         raise ValueError(f"unknown strategy {strategy!r}")
+    # The count branch reads only key columns (column pruning) and
+    # pre-aggregates map-side; only the row-number branch carries the values.
     keyed = turns.where(F.col("channel").isin(*channels)).withColumn("_chunk", F.floor(F.col("turn") / F.lit(chunk)))
     counts = keyed.groupBy("conv_id", "channel", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id", "channel").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

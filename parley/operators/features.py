@@ -102,12 +102,15 @@ def feature_vectors(
     offset = F.when(F.col("channel") == channels[0], F.lit(0))
     for i, ch in enumerate(channels[1:], start=1):
         offset = offset.when(F.col("channel") == ch, F.lit(i * num_features))
-    entries = weights.select(doc, F.struct((offset + F.col("slot")).alias("k"), F.col(value).cast("double").alias("v")).alias("e"))
-    per_doc = entries.groupBy(doc).agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
     width = len(channels) * num_features
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    out = docs.select(doc, *keep).join(per_doc, doc, "left").withColumn("features_array", dense)
-    return out.withColumn("features", array_to_vector("features_array")).drop("_m")
+    entries = weights.select(doc, (offset + F.col("slot")).alias("_k"), F.col(value).cast("double").alias("_v"))
+    # Pivot on the known slot range: one aggregate that places each value
+    # directly by index (no per-slot search), one column per slot.
+    per_doc = entries.groupBy(doc).pivot("_k", list(range(width))).agg(F.first("_v"))
+    dense = F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in range(width)])
+    out = docs.select(doc, *keep).join(per_doc.select(doc, dense.alias("features_array")), doc, "left")
+    out = out.withColumn("features_array", F.coalesce("features_array", F.array_repeat(F.lit(0.0), width)))
+    return out.withColumn("features", array_to_vector("features_array"))
 
 
 def prefix_tf(pair_tokens: DataFrame, doc: str = "conv_id", num_features: int = NUM_FEATURES) -> DataFrame:

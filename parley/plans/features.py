@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,11 @@ WITH {SQL_DOC_PAIRS},
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired token lists of the labelled documents.  Several branches (TF,
+    IDF, document count, vocabulary) read it, so it is persisted: the scan,
+    cleaning and pairing run once; lost blocks recompute from lineage."""
     turns = document_turns(spark, sf_dir).withColumn("tokens", tx.clean_tokens("text")).drop("text")
-    return asm.pair_turns(turns, value="tokens", carry=["label"])
+    return asm.pair_turns(turns, value="tokens", carry=["label"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def document_weights(spark: SparkSession, sf_dir: str):

@@ -11,12 +11,12 @@ from parley.operators import features as ft
 from parley.operators import normalize as nz
 from parley.plans.features import SQL_DOC_PAIRS, document_pairs
 from parley.plans.registry import SQL_TOKENS, register
-from parley.sources.tables import load_table
+from parley.sources.tables import load_table, spread
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cleaned tokens, one row per token."""
-    docs = load_table(spark, sf_dir, "documents")
+    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return docs.select(F.col("doc_id").cast("string").alias("conv_id"), "lang", F.explode(tx.clean_tokens("text")).alias("token"))
 
 

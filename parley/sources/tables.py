@@ -30,6 +30,19 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan by ``key`` when it has fewer input splits than the
+    cluster's default parallelism (e.g. one file with a single row group).
+
+    Large inputs — many files and row groups — already scan in parallel and
+    are returned unchanged; the decision uses planning metadata only.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target * 2, key)
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id string, turn long, channel string, text string``."""
     conv = load_table(spark, sf_dir, "conversations")
@@ -48,7 +61,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     under the broadcast threshold at run time."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id")
+    return spread(docs.join(labels, "doc_id"), "doc_id")
 
 
 def document_turns(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
@@ -61,7 +74,7 @@ def document_turns(spark: SparkSession, sf_dir: str, labelled: bool = True) -> D
     if labelled:
         docs = labelled_documents(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("int").alias("label"))
     else:
-        docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = docs.select("*", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line")).drop("text")
     return lines.select(
         F.col("doc_id").cast("string").alias("conv_id"),
