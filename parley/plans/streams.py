@@ -56,30 +56,60 @@ def q_stream_running_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("prefix_id", "conv_id", "prefix_no", "caller", "victim")
 
 
-@register("stream_score")
-def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit the TF-IDF model + logistic regression on the labelled documents,
-    then score the live conversation stream: paired turns -> growing flat word
-    lists -> serving features -> model -> verdict and alert, through the
-    idempotent audit sink.  Returns the scored rows."""
+def _fitted_scorer(spark: SparkSession, sf_dir: str):
+    """TF-IDF model + logistic regression fitted on the labelled documents."""
     docs = asm.assemble_conversations(document_pairs(spark, sf_dir), carry=["label"])
     fitted = ft.feature_model().fit(docs)
     train = tr.split_dataset(fitted.transform(docs)).where(F.col("split") == "train")
     model = tr.train("logistic_regression", train)
-    serving = ft.serving_model(fitted)
+    return ft.serving_model(fitted), model
 
-    root = _workdir(spark, "score")
+
+def _message_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Live messages: paired turns -> growing transcript -> flat word lists
+    of both channels so far (the producer's message shape)."""
     pairs = _paired_stream(spark, sf_dir, root)
     tokens = pairs.select("conv_id", "seq", "event_ts", tx.clean_tokens("caller").alias("caller"), tx.clean_tokens("victim").alias("victim"))
     grown = jobs.stream_running_transcript(tokens)
-    messages = grown.select(
+    return grown.select(
         "conv_id",
         F.col("prefix_no").cast("long").alias("seq"),
         F.flatten(F.from_json("caller", "array<array<string>>")).alias("caller"),
         F.flatten(F.from_json("victim", "array<array<string>>")).alias("victim"),
     )
-    scored = jobs.stream_score(messages, serving, model)
+
+
+@register("stream_score")
+def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score the live conversation stream with the MLlib model: serving
+    features -> model -> verdict and alert, through the idempotent audit
+    sink.  Returns the scored rows."""
+    serving, model = _fitted_scorer(spark, sf_dir)
+    root = _workdir(spark, "score")
+    scored = jobs.stream_score(_message_stream(spark, sf_dir, root), serving, model)
     q = jobs.run_stream(scored, name=root.rsplit("/", 1)[-1], foreach_batch=jobs.audit_sink(f"{root}/scored", f"{root}/audit"))
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/scored")
     return out.select("conv_id", "seq", "prediction", "verdict", F.round("confidence", 6).alias("confidence"), "alert")
+
+
+@register("stream_score_external")
+def q_stream_score_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score the same stream with an external (numpy) model in foreachBatch:
+    serving features on the executors, Arrow-batched predictions, no collect.
+    The external model is the fitted regression's weights, so its verdicts
+    equal the MLlib path's."""
+    from pyspark.ml.functions import vector_to_array
+
+    from parley.plans.models import _logistic_predictor
+
+    serving, model = _fitted_scorer(spark, sf_dir)
+    make = _logistic_predictor(model.coefficients.toArray().tolist(), float(model.intercept))
+    root = _workdir(spark, "external")
+    feats = serving.transform(_message_stream(spark, sf_dir, root)).select(
+        "conv_id", "seq", vector_to_array("combined_features").alias("features_array")
+    )
+    q = jobs.run_stream(feats, name=root.rsplit("/", 1)[-1], foreach_batch=jobs.stream_score_external(make, f"{root}/scored"))
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/scored")
+    return out.select("conv_id", "seq", "prediction", "verdict", F.round("confidence", 6).alias("confidence"))

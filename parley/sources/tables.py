@@ -35,7 +35,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cluster's default parallelism (e.g. one file with a single row group).
 
     Large inputs — many files and row groups — already scan in parallel and
-    are returned unchanged; the decision uses planning metadata only.
+    are returned unchanged.  Apply it to a plain scan: the split count is then
+    file metadata and no job runs to decide.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
@@ -59,9 +60,9 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents ⋈ labels`` on ``doc_id``; the join strategy is left to AQE,
     which turns it into a broadcast join only when the label side measures
     under the broadcast threshold at run time."""
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return spread(docs.join(labels, "doc_id"), "doc_id")
+    return docs.join(labels, "doc_id")
 
 
 def document_turns(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:

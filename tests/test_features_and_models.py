@@ -129,3 +129,12 @@ def test_external_scoring_equals_mllib(spark):
     ext = {r["conv_id"]: r["probability"] for r in sc.score_with_model(data, make).collect()}
     assert ml.keys() == ext.keys()
     assert all(math.isclose(ml[k], ext[k], rel_tol=1e-9, abs_tol=1e-12) for k in ml)
+
+
+def test_vocabulary_write_read(spark, scratch):
+    from parley.sources import io
+
+    vocab = sq.vocabulary(sq.word_counts(spark.createDataFrame([("a",), ("b",), ("a",)], "token string")))
+    io.write_vocabulary(vocab, f"{scratch}/vocab")
+    back = sorted(tuple(r) for r in io.read_vocabulary(spark, f"{scratch}/vocab").collect())
+    assert back == [("a", 2, 1), ("b", 1, 2)]

@@ -46,3 +46,26 @@ def test_scoring_config_validation():
     assert jobs.ScoringConfig("keras_net", path="external").validate()
     with pytest.raises(TypeError):
         jobs.ScoringConfig(5).validate()
+
+
+def test_external_stream_scoring_equals_mllib_stream_scoring(spark):
+    from parley.plans import all_queries
+
+    qs = all_queries()
+    mllib = {(r["conv_id"], r["seq"]): (r["prediction"], r["verdict"]) for r in qs["stream_score"](spark, SF001).collect()}
+    ext = {(r["conv_id"], r["seq"]): (r["prediction"], r["verdict"]) for r in qs["stream_score_external"](spark, SF001).collect()}
+    assert mllib == ext and len(mllib) > 0
+
+
+def test_audit_rows_match_scored_output(spark):
+    from parley.plans.streams import _fitted_scorer, _message_stream, _workdir
+
+    serving, model = _fitted_scorer(spark, SF001)
+    root = _workdir(spark, "audit_test")
+    scored = jobs.stream_score(_message_stream(spark, SF001, root), serving, model)
+    jobs.run_stream(scored, name=root.rsplit("/", 1)[-1], foreach_batch=jobs.audit_sink(f"{root}/scored", f"{root}/audit")).awaitTermination()
+    out = spark.read.parquet(f"{root}/scored")
+    audit = spark.read.parquet(f"{root}/audit").agg(F.sum("n_rows"), F.sum("n_scam"), F.sum("n_alerts")).first()
+    assert audit[0] == out.count()
+    assert audit[1] == out.where("prediction = 1").count()
+    assert audit[2] == out.where("alert").count()
