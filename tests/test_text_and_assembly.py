@@ -127,3 +127,34 @@ def test_write_read_roundtrip_and_append(spark, scratch):
     back = spark.read.option("header", "true").option("escape", '"').csv(f"{scratch}/csv").first()
     assert back["caller"] == '[["a"]]'
     assert F  # keep import used
+
+
+def test_hot_conversation_is_spread_and_exact(spark):
+    """All of sf0.01's conversations folded into ONE conversation: the chunked
+    ordinal must give the same pairs as the single-window plan, while the
+    hot key's rows are numbered in several tasks."""
+    from parley.sources.tables import conversation_turns
+    from tests.conftest import SF01
+
+    hot = conversation_turns(spark, SF01).select(
+        F.lit("hot").alias("conv_id"), (F.col("conv_id").cast("long") * 100 + F.col("turn")).alias("turn"), "channel", "text"
+    )
+    chunked = asm.pair_turns(hot, strategy="chunked")
+    window = asm.pair_turns(hot, strategy="window")
+    a = sorted(tuple(r) for r in chunked.select("seq", "caller", "victim").collect())
+    b = sorted(tuple(r) for r in window.select("seq", "caller", "victim").collect())
+    assert a == b and len(a) > 200
+    # Observe task placement without AQE merging the (tiny) partitions.
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        # ``seq`` is aggregated so the numbering step is not pruned away.
+        def tasks(df):
+            return len(df.groupBy(F.spark_partition_id().alias("p")).agg(F.max("seq")).collect())
+
+        spread_tasks = tasks(asm.channel_ordinal(hot, chunk=256))
+        single = tasks(asm.channel_ordinal(hot, strategy="window"))
+    finally:
+        spark.conf.set(key, before)
+    assert single == 1 and spread_tasks > 1
