@@ -1,10 +1,12 @@
 """Conversation assembly: pairing, prefixes, ordered lists (J1, A1, A2, P1, P2,
 W1, W2, W4, U1).
 
-Partitioning plan.  Everything here is keyed by ``conv_id``.  The turn table is
-hash-partitioned on ``conv_id`` once; the per-channel ordinal, the pairing
-aggregate on ``(conv_id, seq)`` and the prefix window all accept that
-partitioning, so the whole chain runs on one Exchange.
+Partitioning plan.  The per-channel ordinal is computed in turn chunks
+(``(conv_id, channel, chunk)`` windows plus a small offsets table), and the
+pairing aggregate is keyed by ``(conv_id, seq)``, so no step before the
+operators whose output is per conversation (prefixes, assembly) needs a whole
+conversation in one task.  A single-``conv_id``-window strategy is kept for
+data whose conversations are known to be small.
 """
 
 from __future__ import annotations
@@ -77,15 +79,18 @@ def pair_turns(
     """
     ordered = channel_ordinal(turns.select("conv_id", "turn", "channel", value, *carry), (caller, victim), strategy=strategy)
     keys = ["conv_id", "seq", *carry]
-    # Values are picked with max_by over the turn so that any value type
-    # (strings, token arrays) works and the choice is deterministic.
-    paired = ordered.groupBy(*keys).agg(
-        F.max_by(F.when(F.col("channel") == caller, F.col(value)), F.when(F.col("channel") == caller, F.col("turn"))).alias("caller"),
-        F.max_by(F.when(F.col("channel") == victim, F.col(value)), F.when(F.col("channel") == victim, F.col("turn"))).alias("victim"),
-        F.sum(F.when(F.col("channel") == caller, 1).otherwise(0)).alias("n_caller"),
-        F.sum(F.when(F.col("channel") == victim, 1).otherwise(0)).alias("n_victim"),
+    # A (conv_id, seq) key holds at most one utterance per channel, so the
+    # group is collected (<= 2 structs, hash-based aggregation for any value
+    # type) and each side is picked by channel.
+    packed = F.struct(F.col("channel").alias("ch"), F.col(value).alias("v"))
+    grouped = ordered.groupBy(*keys).agg(F.collect_list(packed).alias("_p"))
+    side = lambda ch: F.filter("_p", lambda x: x["ch"] == F.lit(ch))
+    both = (F.size(side(caller)) > 0) & (F.size(side(victim)) > 0)
+    return grouped.where(both).select(
+        *keys,
+        F.element_at(side(caller), 1)["v"].alias("caller"),
+        F.element_at(side(victim), 1)["v"].alias("victim"),
     )
-    return paired.where((F.col("n_caller") > 0) & (F.col("n_victim") > 0)).drop("n_caller", "n_victim")
 
 
 def conversation_prefixes(pairs: DataFrame, values: Sequence[str] = ("caller", "victim"), carry: Sequence[str] = ()) -> DataFrame:
