@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as tx
 from parley.operators import assemble as asm
 from parley.plans.registry import SQL_CLEAN, SQL_CONV_TURNS, SQL_DOC_TURNS, SQL_TOKENS, register, sql_pairs
-from parley.sources.tables import conversation_turns, document_turns
+from parley.sources.tables import conversation_turns, document_line_pairs
 
 
 def tokenized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +97,8 @@ FROM p GROUP BY conv_id, label
 """,
 )
 def q_assemble_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = document_turns(spark, sf_dir).withColumn("tokens", tx.clean_tokens("text"))
-    pairs = asm.pair_turns(turns, value="tokens", carry=["label"])
+    lines = document_line_pairs(spark, sf_dir)
+    pairs = lines.select("conv_id", "seq", tx.clean_tokens("caller").alias("caller"), tx.clean_tokens("victim").alias("victim"), "label")
     out = asm.assemble_conversations(pairs, carry=["label"])
     return out.select(
         "conv_id", "label", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"), F.col("n_pairs").cast("int").alias("n_pairs")

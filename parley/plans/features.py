@@ -11,7 +11,7 @@ from parley.functions import text as tx
 from parley.operators import assemble as asm
 from parley.operators import features as ft
 from parley.plans.registry import SQL_CONV_TURNS, SQL_DOC_TURNS, SQL_TOKENS, register, sql_pairs
-from parley.sources.tables import conversation_turns, document_turns
+from parley.sources.tables import conversation_turns, document_line_pairs
 
 SQL_SLOT = "CAST(('0x' || substr(md5({x}), 1, 8))::BIGINT % 200 AS INTEGER)"
 
@@ -34,8 +34,9 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired token lists of the labelled documents.  Several branches (TF,
     IDF, document count, vocabulary) read it, so it is persisted: the scan,
     cleaning and pairing run once; lost blocks recompute from lineage."""
-    turns = document_turns(spark, sf_dir).withColumn("tokens", tx.clean_tokens("text")).drop("text")
-    return asm.pair_turns(turns, value="tokens", carry=["label"]).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = document_line_pairs(spark, sf_dir)
+    tokens = pairs.select("conv_id", "seq", tx.clean_tokens("caller").alias("caller"), tx.clean_tokens("victim").alias("victim"), "label")
+    return tokens.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def document_weights(spark: SparkSession, sf_dir: str):

@@ -9,7 +9,7 @@ from parley.functions import text as tx
 from parley.operators import assemble as asm
 from parley.plans.registry import SQL_CONV_TURNS, SQL_DOC_TURNS, SQL_TOKENS, register, sql_pairs
 from parley.sources import ingest
-from parley.sources.tables import conversation_turns, document_turns, load_table
+from parley.sources.tables import conversation_turns, document_line_pairs, load_table
 
 
 @register(
@@ -36,7 +36,7 @@ SELECT conv_id, seq, CAST(seq + 1 AS VARCHAR) AS turn_key, caller, victim, label
 """,
 )
 def q_ingest_conversation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = asm.pair_turns(document_turns(spark, sf_dir), carry=["label"])
+    pairs = document_line_pairs(spark, sf_dir)
     responses = ingest.render_response(pairs)
     turns, _rejects = ingest.ingest_conversation_json(responses)
     return turns
@@ -109,7 +109,7 @@ def q_union_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing = asm.pair_turns(conversation_turns(spark, sf_dir)).select(
         "conv_id", "seq", "caller", "victim", F.lit(None).cast("int").alias("label"), F.lit("conversations").alias("origin")
     )
-    new = asm.pair_turns(document_turns(spark, sf_dir), carry=["label"]).select(
+    new = document_line_pairs(spark, sf_dir).select(
         "conv_id", "seq", "caller", "victim", "label", F.lit("documents").alias("origin")
     )
     return asm.union_conversations(existing, new)

@@ -84,3 +84,23 @@ def document_turns(spark: SparkSession, sf_dir: str, labelled: bool = True) -> D
         F.col("line").alias("text"),
         *([F.col("label")] if labelled else []),
     )
+
+
+def document_line_pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Paired turns of the two-channel documents, built inside each row.
+
+    Lines alternate strictly (line 2k caller, line 2k+1 victim), so the k-th
+    pair is read straight from the split text: no ordinal window, no join and
+    no shuffle — the same rows as ``pair_turns(document_turns(...))``.
+    Output: ``conv_id, seq, caller, victim[, label]``.
+    """
+    if labelled:
+        docs = labelled_documents(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("int").alias("label"))
+    else:
+        docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = F.split(F.col("text"), "\n")
+    n_pairs = F.floor(F.size(lines) / 2).cast("int")
+    ks = F.when(n_pairs > 0, F.sequence(F.lit(0), n_pairs - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(ks, lambda k: F.struct(k.alias("seq"), F.get(lines, 2 * k).alias("caller"), F.get(lines, 2 * k + 1).alias("victim")))
+    rows = docs.select(F.col("doc_id").cast("string").alias("conv_id"), *(["label"] if labelled else []), F.explode(pairs).alias("_p"))
+    return rows.select("conv_id", F.col("_p.seq").cast("int").alias("seq"), "_p.caller", "_p.victim", *(["label"] if labelled else []))

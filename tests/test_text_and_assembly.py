@@ -158,3 +158,14 @@ def test_hot_conversation_is_spread_and_exact(spark):
     finally:
         spark.conf.set(key, before)
     assert single == 1 and spread_tasks > 1
+
+
+def test_document_line_pairs_equal_generic_pairing(spark):
+    from parley.sources.tables import document_line_pairs, document_turns
+    from tests.conftest import SF001
+
+    fast = sorted(tuple(r) for r in document_line_pairs(spark, SF001).select("conv_id", "seq", "caller", "victim", "label").collect())
+    generic = sorted(
+        tuple(r) for r in asm.pair_turns(document_turns(spark, SF001), carry=["label"]).select("conv_id", "seq", "caller", "victim", "label").collect()
+    )
+    assert fast == generic and len(fast) > 0
