@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from parley.operators import evaluate as ev
@@ -34,20 +35,50 @@ DEFAULT_PAIR_BOUND = "10 minutes"
 # --- sources ----------------------------------------------------------------
 
 
-def read_message_stream(spark: SparkSession, path: str, schema=MESSAGE, fmt: str = "json", options: dict | None = None) -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def read_message_stream(
+    spark: SparkSession,
+    path: str,
+    schema=MESSAGE,
+    fmt: str = "json",
+    options: dict | None = None,
+    keep_malformed: bool = False,
+) -> DataFrame:
     """JSON-lines (files) or Kafka source with a fixed schema.
 
     For Kafka, ``options`` carries ``kafka.bootstrap.servers`` / ``subscribe``;
-    the value is parsed with ``from_json`` and expanded to columns.
+    the value is parsed with ``from_json`` and expanded to columns.  With
+    ``keep_malformed`` a line that does not parse is kept with its raw text in
+    ``_corrupt_record`` (and null fields), so it can be counted or routed
+    instead of silently dropped.
     """
     opts = options or {}
+    if keep_malformed:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     if fmt == "kafka":
+        text = F.col("value").cast("string")
         raw = spark.readStream.format("kafka").options(**opts).load()
-        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("data")).select("data.*")
+        parsed = raw.select(F.from_json(text, schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("data"), text.alias("_raw"))
+        out = parsed.select("data.*", "_raw")
+        if keep_malformed:
+            out = out.withColumn(CORRUPT, F.when(F.col("data").isNull(), F.col("_raw")).otherwise(F.col(CORRUPT)))
+        return out.drop("_raw")
     reader = spark.readStream.schema(schema).options(**opts)
+    if keep_malformed:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     return reader.format(fmt).load(path)
 
 
+def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, malformed)`` halves of a stream read with ``keep_malformed``."""
+    bad = F.col(CORRUPT).isNotNull()
+    # The raw text travels with a parsed column: Spark refuses raw-file
+    # queries that reference the corrupt-record column alone.
+    return messages.where(~bad).drop(CORRUPT), messages.where(bad).select("conv_id", CORRUPT)
+
+
 def write_channel_messages(turns: DataFrame, folder: str, value: str = "text") -> None:
     """Producer side: one JSON-lines folder per channel with ``conv_id, seq,
     event_ts, text``; ``seq`` is the per-channel ordinal assigned here, since

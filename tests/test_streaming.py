@@ -69,3 +69,20 @@ def test_audit_rows_match_scored_output(spark):
     assert audit[0] == out.count()
     assert audit[1] == out.where("prediction = 1").count()
     assert audit[2] == out.where("alert").count()
+
+
+def test_malformed_messages_are_kept_and_counted(spark, scratch):
+    import os
+
+    os.makedirs(f"{scratch}/msgs")
+    with open(f"{scratch}/msgs/part-0.json", "w") as fh:
+        fh.write('{"conv_id": "a", "seq": 0, "Attacker_Helper": ["hi"], "Victim": ["yo"]}\n')
+        fh.write("not json\n")
+        fh.write('{"conv_id": "a", "seq": 1, "Attacker_Helper": ["x"], "Victim": []}\n')
+    stream = jobs.read_message_stream(spark, f"{scratch}/msgs", keep_malformed=True)
+    good, bad = jobs.split_malformed(stream)
+    name = f"malformed_{uuid.uuid4().hex[:8]}"
+    jobs.run_stream(good, f"{name}_good", sink_path=f"{scratch}/good").awaitTermination()
+    jobs.run_stream(bad, f"{name}_bad", sink_path=f"{scratch}/bad").awaitTermination()
+    assert spark.read.parquet(f"{scratch}/good").count() == 2
+    assert [r[jobs.CORRUPT] for r in spark.read.parquet(f"{scratch}/bad").collect()] == ["not json"]
