@@ -169,3 +169,16 @@ def test_document_line_pairs_equal_generic_pairing(spark):
         tuple(r) for r in asm.pair_turns(document_turns(spark, SF001), carry=["label"]).select("conv_id", "seq", "caller", "victim", "label").collect()
     )
     assert fast == generic and len(fast) > 0
+
+
+def test_read_csv_with_fixed_schema_and_multiline_cells(spark, scratch):
+    from parley.sources import io
+
+    with open(f"{scratch}/turns.csv", "w") as fh:
+        fh.write('conv_id,seq,caller,victim,label\n')
+        fh.write('c1,0,"hello, ""there""","line one\nline two",1\n')
+        fh.write("c1,1,bye,ok,1\n")
+    rows = io.read_conversations(spark, f"{scratch}/turns.csv", fmt="csv").orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == [0, 1]
+    assert rows[0]["caller"] == 'hello, "there"' and rows[0]["victim"] == "line one\nline two"
+    assert rows[0]["label"] == 1
