@@ -113,21 +113,23 @@ def feature_vectors(
     return out.withColumn("features", array_to_vector("features_array"))
 
 
-def prefix_tf(pair_tokens: DataFrame, doc: str = "conv_id", num_features: int = NUM_FEATURES) -> DataFrame:
+def prefix_tf(pairs: DataFrame, doc: str = "conv_id", num_features: int = NUM_FEATURES, channels: Sequence[str] = CHANNEL_ORDER) -> DataFrame:
     """Term frequencies of every conversation prefix without materialising it.
 
-    Per-pair slot counts are summed with a running window over ``seq`` inside
-    ``(doc, channel, slot)``, so prefix k's TF is O(slots) work instead of
-    O(k) tokens; the window keys spread one conversation over up to
-    ``channels x slots`` groups.  Output: ``prefix_id, doc, prefix_no,
-    channel, slot, tf`` for every slot seen in the prefix.
+    Input: paired token lists (``doc, seq, caller, victim``).  Per-pair slot
+    counts are summed with a running window over ``seq`` inside
+    ``(doc, channel, slot)``, so prefix k's TF is O(slots) work instead of O(k)
+    tokens.  The (slot, prefix) grid is expanded inside each row —
+    ``sequence(first_seq, last_seq)`` per slot seen, with ``last_seq`` from a
+    one-row-per-document table — so no join fans out a hot document.
+    Output: ``prefix_id, doc, prefix_no, channel, slot, tf`` for every slot
+    seen in the prefix, for every pair (also pairs without tokens).
     """
-    per_pair = pair_tokens.groupBy(doc, "seq", "channel", token_slot("token", num_features).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    # Every prefix (every pair seq) needs a row per slot seen so far: fill the
-    # (slot, seq) grid by joining slots-seen to the pair sequence numbers.
-    seqs = pair_tokens.select(doc, "seq").distinct()
+    tokens = channel_tokens(pairs, doc, channels)
+    per_pair = tokens.groupBy(doc, "seq", "channel", token_slot("token", num_features).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    last = pairs.groupBy(doc).agg(F.max("seq").alias("last_seq"))
     first_seen = per_pair.groupBy(doc, "channel", "slot").agg(F.min("seq").alias("first_seq"))
-    grid = first_seen.join(seqs, doc).where(F.col("seq") >= F.col("first_seq")).drop("first_seq")
+    grid = first_seen.join(last, doc).select(doc, "channel", "slot", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
     filled = grid.join(per_pair, [doc, "seq", "channel", "slot"], "left").fillna(0, ["n"])
     w = Window.partitionBy(doc, "channel", "slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return filled.select(

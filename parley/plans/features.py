@@ -118,7 +118,7 @@ GROUP BY ALL
 def q_prefix_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_turns(spark, sf_dir).withColumn("tokens", tx.clean_tokens("text")).drop("text")
     pairs = asm.pair_turns(turns, value="tokens")
-    return ft.prefix_tf(ft.channel_tokens(pairs))
+    return ft.prefix_tf(pairs)
 
 
 def fitted_features(spark: SparkSession, sf_dir: str):

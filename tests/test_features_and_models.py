@@ -41,10 +41,14 @@ def test_feature_vector_width_and_zero_docs(spark):
 
 
 def test_prefix_tf_equals_recount(spark):
-    pairs = _pairs(spark, [("d", 0, ["a"], ["b"]), ("d", 1, ["a", "c"], []), ("d", 2, [], ["b"])])
-    out = ft.prefix_tf(ft.channel_tokens(pairs)).groupBy("prefix_no", "channel").agg(F.sum("tf").alias("n")).collect()
+    # Pair 3 has no tokens at all: its prefix still carries everything so far.
+    pairs = _pairs(spark, [("d", 0, ["a"], ["b"]), ("d", 1, ["a", "c"], []), ("d", 2, [], ["b"]), ("d", 3, [], [])])
+    out = ft.prefix_tf(pairs).groupBy("prefix_no", "channel").agg(F.sum("tf").alias("n")).collect()
     got = {(r["prefix_no"], r["channel"]): r["n"] for r in out}
-    assert got == {(0, "caller"): 1, (0, "victim"): 1, (1, "caller"): 3, (1, "victim"): 1, (2, "caller"): 3, (2, "victim"): 2}
+    assert got == {
+        (0, "caller"): 1, (0, "victim"): 1, (1, "caller"): 3, (1, "victim"): 1,
+        (2, "caller"): 3, (2, "victim"): 2, (3, "caller"): 3, (3, "victim"): 2,
+    }
 
 
 def test_mllib_pipeline_width_and_serving(spark):
