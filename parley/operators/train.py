@@ -136,6 +136,12 @@ def cross_validate(
     return cv.fit(cached)
 
 
+def reference_search(kind: str, df: DataFrame, parallelism: int = 4):
+    """The reference's full search for ``kind`` (its grid, 7 folds, its CV
+    metric) as a named preset; the default ``cross_validate`` grid is small."""
+    return cross_validate(kind, df, grid=REFERENCE_GRIDS[kind], metric=CV_METRIC[kind], parallelism=parallelism)
+
+
 def tune_mlp(df: DataFrame, hidden: Sequence[Sequence[int]] = ((64, 32, 16), (128, 64, 32)), n_features: int = 400, max_iter: int = 100):
     """Network search: train/validation split 0.8 over hidden-layer shapes,
     best by validation log-loss (MLlib MLP: sigmoid hidden units, softmax out)."""
