@@ -45,17 +45,19 @@ def q_ingest_conversation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "conversation_key",
     oracle="""
-SELECT CAST(conv_id AS VARCHAR) AS conv_id,
-       substr(sha256(array_to_string(list(text ORDER BY turn), chr(31))), 1, 14) AS conv_key
-FROM conversations GROUP BY conv_id
+WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id,
+                  sha256(CAST(turn AS VARCHAR) || chr(31) || coalesce(text, '')) AS d FROM conversations),
+  s AS (SELECT conv_id, sum(CAST(('0x' || substr(d, 1, 14))::BIGINT AS HUGEINT)) AS x,
+               sum(CAST(('0x' || substr(d, 15, 14))::BIGINT AS HUGEINT)) AS y FROM h GROUP BY conv_id)
+SELECT conv_id,
+       lpad(lower(hex(CAST(x % 72057594037927936 AS BIGINT))), 14, '0')
+       || lpad(lower(hex(CAST(y % 72057594037927936 AS BIGINT))), 14, '0') AS conv_key
+FROM s
 """,
 )
 def q_conversation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = load_table(spark, sf_dir, "conversations")
-    grouped = conv.groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t")
-    )
-    return grouped.select("conv_id", ingest.conversation_key(F.transform("_t", lambda x: x["text"])).alias("conv_key"))
+    conv = load_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "text")
+    return ingest.conversation_content_key(conv)
 
 
 SQL_RENDER = "'[' || array_to_string(list_transform({x}, lambda xs: '[' || array_to_string(list_transform(xs, lambda w: '''' || w || ''''), ', ') || ']'), ', ') || ']'"

@@ -33,6 +33,27 @@ def conversation_key(*cols: Column | str, length: int = 14) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, length)
 
 
+KEY_BITS = 56  # bits per key half; two halves make a 112-bit key
+
+
+def conversation_content_key(turns, key: str = "conv_id", order: str = "turn", value: str = "text"):
+    """Content key of whole conversations without gathering them.
+
+    Each turn's ``(turn number, text)`` is hashed with SHA-256; two 56-bit
+    slices of the digest are summed per conversation (order-aware, because the
+    turn number is hashed in; commutative, so the sums pre-aggregate map-side
+    and a conversation of any size never meets in one row).  The key is the
+    two sums modulo 2^56 as 28 hex characters: deterministic, so re-ingesting
+    the same conversation gives the same key.
+    """
+    digest = F.sha2(F.concat_ws("\u001f", F.col(order).cast("string"), F.coalesce(F.col(value), F.lit(""))), 256)
+    half = lambda start: F.conv(F.substring(digest, start, KEY_BITS // 4), 16, 10).cast("decimal(38,0)")
+    sums = turns.groupBy(key).agg(F.sum(half(1)).alias("_x"), F.sum(half(1 + KEY_BITS // 4)).alias("_y"))
+    modulus = F.lit(2**KEY_BITS).cast("decimal(38,0)")
+    fmt = lambda c: F.lpad(F.lower(F.hex(F.pmod(F.col(c), modulus).cast("long"))), KEY_BITS // 4, "0")
+    return sums.select(key, F.concat(fmt("_x"), fmt("_y")).alias("conv_key"))
+
+
 def ingest_conversation_json(
     df: DataFrame,
     json_col: str = "response",

@@ -182,3 +182,12 @@ def test_read_csv_with_fixed_schema_and_multiline_cells(spark, scratch):
     assert [r["seq"] for r in rows] == [0, 1]
     assert rows[0]["caller"] == 'hello, "there"' and rows[0]["victim"] == "line one\nline two"
     assert rows[0]["label"] == 1
+
+
+def test_content_key_order_aware_and_row_order_free(spark):
+    rows = [("a", 0, "hello"), ("a", 1, "world"), ("b", 0, "world"), ("b", 1, "hello")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, text string")
+    keys = {r["conv_id"]: r["conv_key"] for r in ingest.conversation_content_key(df).collect()}
+    shuffled = spark.createDataFrame(list(reversed(rows)), "conv_id string, turn long, text string").repartition(3)
+    again = {r["conv_id"]: r["conv_key"] for r in ingest.conversation_content_key(shuffled).collect()}
+    assert keys == again and keys["a"] != keys["b"] and len(keys["a"]) == 28
