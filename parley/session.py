@@ -71,3 +71,33 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder."""
     return "/".join([checkpoint_root(spark), *parts])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``parley`` importable on every executor's Python workers.
+
+    Functions that run in Python workers (stateful stream handlers, batched
+    predict UDFs) are imported there by module name, so the package is zipped
+    once per SparkContext and added with ``addPyFile`` — the programmatic twin
+    of ``spark-submit --py-files``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="parley-pkg-")
+    archive = os.path.join(folder, "parley.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _dirs, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
