@@ -31,14 +31,14 @@ FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 OP10 = r"""
 WITH i AS (
   SELECT item_id, words, len(words) AS w, least(len(words), 5) AS k FROM (
-    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM benchmark)
+    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM benchmark)
   WHERE len(words) > 0),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents),
 ks AS (SELECT DISTINCT k FROM i),
-ish AS (SELECT item_id, w, k, unnest(list_transform(range(1, w - k + 2), p -> list_aggregate(words[p:p + k - 1], 'string_agg', ' '))) AS s FROM i),
+ish AS (SELECT item_id, w, k, unnest(list_transform(range(1, w - k + 2), lambda p: list_aggregate(words[p:p + k - 1], 'string_agg', ' '))) AS s FROM i),
 ic AS (SELECT item_id, w, k, s, count(*) AS n FROM ish GROUP BY ALL),
 dsh AS (SELECT doc_id, k, len(words) AS nw, unnest(range(1, len(words) - k + 2)) AS p,
-               unnest(list_transform(range(1, len(words) - k + 2), p -> list_aggregate(words[p:p + k - 1], 'string_agg', ' '))) AS s
+               unnest(list_transform(range(1, len(words) - k + 2), lambda p: list_aggregate(words[p:p + k - 1], 'string_agg', ' '))) AS s
         FROM d, ks WHERE len(words) >= k),
 hit AS (SELECT dsh.doc_id, dsh.nw, dsh.p, ic.item_id, ic.w, ic.k, dsh.s, ic.n FROM dsh JOIN ic ON dsh.s = ic.s AND dsh.k = ic.k),
 st AS (SELECT DISTINCT doc_id, item_id, nw, w, k, unnest(range(greatest(1, p - (w - k)), greatest(1, least(p, nw - w + 1)) + 1)) AS start FROM hit),
