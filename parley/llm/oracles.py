@@ -51,4 +51,36 @@ SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similari
 FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 """
 
-ORACLES = {"op6_mixture": OP6, "op10_decontaminate": OP10}
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN g.last IS NOT NULL AND g.last IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.last IS DISTINCT FROM p.page_id THEN g.last END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html
+"""
+
+OP3 = r"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS turns, count(*) AS n FROM t GROUP BY conv_id),
+u AS (SELECT turns, n, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY turns, n),
+k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.n > u.n AND o.turns[1:u.n] = u.turns))
+SELECT k.conv_id, (pos - 1) // 256 AS segment, any_value(k.n) AS n_turns, any_value(k.copies) AS copies,
+       string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY 1, 2
+"""
+
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.a = c.component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.a
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_chat": OP3, "op9_embeddings": OP9, "op6_mixture": OP6, "op10_decontaminate": OP10}
