@@ -140,7 +140,7 @@ def candidates(text: str) -> list[tuple[int, str, int]]:
 FEATURES = (
     "kind email, kind card, kind phone, kind id, kind key, length, digits, letters, capitals, groups, first group, last group, longest group, "
     "separators, kinds of separator, colon or slash, plus sign, bracket, luhn, distinct characters, hexadecimal, quote before, quote after, "
-    "sign before, cue reach, cue person, cue secret, cue amount, checksum, date order"
+    "sign before, blanks, last word, cue reach, cue person, cue secret, cue amount, checksum, date order"
 ).split(", ")
 
 
@@ -165,6 +165,7 @@ def features(text: str, start: int, kind: str, end: int) -> list[float]:
     row += [len(span), len(digits), sum(c.isalpha() for c in span), sum(c.isupper() for c in span), len(groups), len(groups[0]), len(groups[-1]), max(map(len, groups))]
     row += [len(seps), len(set(seps)), any(c in ":/" for c in seps), span[0] == "+", "(" in span, luhn(digits) if digits else False, len(set(span))]
     row += [all(c in "0123456789abcdefABCDEF" for c in span), before[-1:] in "\"'" and bool(before), text[end : end + 1] in ("\"", "'"), last in ("=", ":", "#", "$", "€")]
+    row += [span.count(" "), len(re.split(r"[^A-Za-z]+", span)[-1])]
     words = re.findall(r"[a-z]+", before)
     row += [any(w in CUES[c] for w in words) for c in ("reach", "person", "secret", "amount")]
     row += [_checksum(span) if kind == "id" else False, _date_like(groups)]
@@ -180,7 +181,7 @@ def _with_luhn(rng: random.Random, n: int, valid: bool) -> str:
 def examples(words: list[str], n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, str, int, int]]:
     """``(text, start, kind, end, label)``: formats made by rule, in corpus words."""
     rng = random.Random(seed)
-    words = words or ["the", "of", "and", "on"]
+    words = words or "the of and on was for with that from this".split()
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
     word = lambda: re.sub(r"[^A-Za-z]", "", rng.choice(words)) or "an"
@@ -313,15 +314,17 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = EXAMPLES,
     if docs is not None:
         rows = docs.select(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 50).alias("w")).limit(context_docs).collect()
         words = sorted({w for r in rows for w in r.w if w and not any(c.isdigit() or c == "@" for c in w)})
-    made = examples(words, n, seed)
+    # Held-out examples use other words, so thresholds do not lean on the words seen.
+    made = examples(words[::2], n * 2 // 3, seed)
+    fit = range(len(made))
+    made += examples(words[1::2], n - len(made), seed + 1)
+    held = range(len(fit), len(made))
     x = [features(t, s, k, e) for t, s, k, e, _ in made]
     y = [m[4] for m in made]
-    fit = [i for i in range(len(made)) if i % 3]
     frame = spark.createDataFrame([(x[i], float(y[i])) for i in fit], "x array<double>, label double").coalesce(1)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(frame.select(array_to_vector("x").alias("features"), "label"))
     trees = [_tree(t.toDebugString.strip().split("\n")[1:], 0)[0] for t in model.trees]
     out = Model(trees, list(model.treeWeights), {})
-    held = [i for i in range(len(made)) if i % 3 == 0]
     scores = out.scores(np.array([x[i] for i in held]))
     for kind in KINDS:
         ranked = sorted(((p, y[i]) for p, i in zip(scores, held) if made[i][2] == kind), reverse=True)
