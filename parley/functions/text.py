@@ -59,10 +59,6 @@ def flatten_tokens(c: Column | str) -> Column:
     return F.flatten(F.filter(F.coalesce(_col(c), F.array().cast(UTTERANCES)), lambda x: x.isNotNull()))
 
 
-def join_words(c: Column | str, sep: str = " ") -> Column:
-    return F.array_join(_col(c), sep)
-
-
 def parse_nested_list(c: Column | str) -> Column:
     """Parse a list-literal cell such as ``[['a', 'b'], ['c']]``.
 
@@ -84,15 +80,6 @@ def render_nested_list(c: Column | str) -> Column:
     return F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]"))
 
 
-def pad_sequences(c: Column | str, width: int) -> Column:
-    """Fixed-width ids: zeros in front, and the last ``width`` ids kept."""
-    ids = _col(c)
-    n = F.size(ids)
-    keep = F.slice(ids, F.greatest(n - F.lit(width), F.lit(0)) + F.lit(1), width)
-    zeros = F.array_repeat(F.lit(0), F.greatest(F.lit(width) - n, F.lit(0)))
-    return F.concat(zeros, keep)
-
-
 def encode_message(*cols: Column | str) -> Column:
     """One JSON line per row (the stream producer's encoding)."""
     return F.to_json(F.struct(*[_col(c) for c in cols]))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from parley.schemas import CALLER, VICTIM
 
 
-DEFAULT_CHUNK = 4096  # turns per ordinal chunk; bounds the rows one window task sorts
+DEFAULT_CHUNK = 4096  # turn numbers per ordinal chunk
+LIST_CHUNK = 1024  # rows per chunk of a list; bounds what one window task sorts
 
 
 def channel_ordinal(
@@ -93,20 +94,39 @@ def pair_turns(
     )
 
 
-def conversation_prefixes(pairs: DataFrame, values: Sequence[str] = ("caller", "victim"), carry: Sequence[str] = ()) -> DataFrame:
+def growing_lists(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], keep: Sequence[str], chunk: int = LIST_CHUNK) -> DataFrame:
+    """Per key and in ``order`` (a dense 0-based number), every row with the
+    lists of ``values`` so far, as ``_<value>``.
+
+    Windows run inside ``(keys, chunk of chunk rows)``; the chunks' own lists
+    are put together once over one row per chunk and prepended, so the
+    quadratic output of a hot key is made in many tasks.
+    """
+    part = F.floor(F.col(order) / chunk).alias("_part")
+    rows = df.select(*keys, order, *values, *keep, part)
+    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *values)))
+    chunks = rows.groupBy(*keys, "_part").agg(packed.alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = chunks.select(*keys, "_part", *[F.flatten(F.collect_list(F.transform("_rows", _field(v))).over(before)).alias(f"_e_{v}") for v in values])
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.select(*keys, order, *keep, "_part", *[F.collect_list(v).over(inside).alias(f"_l_{v}") for v in values])
+    joined = own.join(earlier, [*keys, "_part"])
+    return joined.select(*keys, order, *keep, *[F.concat(f"_e_{v}", f"_l_{v}").alias(f"_{v}") for v in values])
+
+
+def conversation_prefixes(pairs: DataFrame, values: Sequence[str] = ("caller", "victim"), carry: Sequence[str] = (), chunk: int = LIST_CHUNK) -> DataFrame:
     """Prefix expansion: pair k becomes a row holding pairs 0..k of both channels.
 
-    ``prefix_id`` is ``<conv_id>_<k>``.  Both lists share one window frame, so
-    the plan is a single Sort + Window over the existing ``conv_id``
-    partitioning.  Output size is quadratic in the conversation length by
-    definition of the operator.
+    ``prefix_id`` is ``<conv_id>_<k>``.  Output size is quadratic in the
+    conversation length by definition of the operator; it is made chunk-wise
+    (``growing_lists``).
     """
-    w = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pairs.select(
+    grown = growing_lists(pairs, ["conv_id"], "seq", values, carry, chunk)
+    return grown.select(
         F.concat_ws("_", F.col("conv_id"), F.col("seq").cast("string")).alias("prefix_id"),
         F.col("conv_id"),
         F.col("seq").cast("int").alias("prefix_no"),
-        *[F.collect_list(F.col(v)).over(w).alias(v) for v in values],
+        *[F.col(f"_{v}").alias(v) for v in values],
         *carry,
     )
 
@@ -115,20 +135,29 @@ def _field(name: str):
     return lambda x: x[name]
 
 
-def assemble_conversations(pairs: DataFrame, values: Sequence[str] = ("caller", "victim"), carry: Sequence[str] = ()) -> DataFrame:
-    """One row per conversation with its utterance lists in ``seq`` order.
+def ordered_lists(df: DataFrame, keys: Sequence[str], order: str, value: str, chunk: int = LIST_CHUNK) -> DataFrame:
+    """``keys, values``: the values of each key in ``order`` (a dense number).
 
-    ``collect_list`` order after a shuffle is not defined, so structs carrying
-    ``seq`` are collected and sorted before the values are projected out.
+    Sorted chunk by chunk first, then the chunks are put together, so only the
+    finished list of a hot key meets in one row.
     """
-    packed = F.struct(F.col("seq"), *[F.col(v) for v in values])
-    out = pairs.groupBy("conv_id", *carry).agg(F.array_sort(F.collect_list(packed)).alias("_turns"))
-    return out.select(
-        "conv_id",
-        *carry,
-        *[F.transform("_turns", _field(v)).alias(v) for v in values],
-        F.size("_turns").alias("n_pairs"),
-    )
+    parts = df.groupBy(*keys, F.floor(F.col(order) / chunk).alias("_part")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v")))).alias("_rows"))
+    parts = parts.select(*keys, F.struct("_part", F.transform("_rows", _field("_v")).alias("_vs")).alias("_p"))
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_ps")).select(*keys, F.flatten(F.transform("_ps", _field("_vs"))).alias("values"))
+
+
+def assemble_conversations(turns: DataFrame, value: str = "text", carry: Sequence[str] = (), channels: Sequence[str] = (CALLER, VICTIM), chunk: int = LIST_CHUNK) -> DataFrame:
+    """One row per conversation with both channels' complete utterance lists.
+
+    Unequal channels keep their surplus; a conversation in which one side never
+    speaks has an empty list there.
+    """
+    ordered = channel_ordinal(turns.select("conv_id", "turn", "channel", value, *carry), channels)
+    lists = ordered_lists(ordered, ["conv_id", *carry, "channel"], "seq", value, chunk)
+    side = lambda ch: F.first(F.when(F.col("channel") == ch, F.col("values")), ignorenulls=True)
+    out = lists.groupBy("conv_id", *carry).agg(*[side(ch).alias(f"_{ch}") for ch in channels])
+    empty = F.array().cast(lists.schema["values"].dataType)
+    return out.select("conv_id", *carry, *[F.coalesce(f"_{ch}", empty).alias(ch) for ch in channels])
 
 
 def distinct_conversations(turns: DataFrame) -> DataFrame:
@@ -182,15 +211,11 @@ def fetch_prefix(prefixes: DataFrame, prefix_id: str, columns: Sequence[str] = (
     return prefixes.select(*columns).where(F.col("prefix_id") == F.lit(prefix_id)).limit(1)
 
 
-def running_transcript(turns: DataFrame, value: str = "text") -> DataFrame:
+def running_transcript(turns: DataFrame, value: str = "text", chunk: int = LIST_CHUNK) -> DataFrame:
     """Per channel, the list of utterances so far, re-emitted at every utterance."""
-    w = Window.partitionBy("conv_id", "channel").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return turns.select(
-        "conv_id",
-        "channel",
-        "turn",
-        F.collect_list(F.col(value)).over(w).alias("transcript"),
-    )
+    numbered = channel_ordinal(turns.select("conv_id", "channel", "turn", value))
+    grown = growing_lists(numbered, ["conv_id", "channel"], "seq", [value], ["turn"], chunk)
+    return grown.select("conv_id", "channel", "turn", F.col(f"_{value}").alias("transcript"))
 
 
 def union_conversations(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def channel_tokens(pairs: DataFrame, doc: str = "conv_id", channels: Sequence[st
     return per_channel.select(doc, "seq", *carry, F.col("_c.channel").alias("channel"), F.explode("_c.tokens").alias("token"))
 
 
+def channel_list_tokens(docs: DataFrame, doc: str = "conv_id", channels: Sequence[str] = CHANNEL_ORDER, carry: Sequence[str] = ()) -> DataFrame:
+    """Complete utterance lists (``array<array<string>>`` per channel) -> one
+    row per token: ``doc, carry, channel, seq, pos, token``."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(ch).alias("channel"), F.col(ch).alias("said")) for ch in channels])).alias("_c")
+    lines = docs.select(doc, *carry, stacked).select(doc, *carry, F.col("_c.channel").alias("channel"), F.posexplode("_c.said").alias("seq", "_tokens"))
+    return lines.select(doc, *carry, "channel", "seq", F.posexplode("_tokens").alias("pos", "token"))
+
+
 def bucket_tf(tokens: DataFrame, doc: str = "conv_id", num_features: int = NUM_FEATURES, carry: Sequence[str] = ()) -> DataFrame:
     """Hashed term frequency in long form: ``doc, channel, slot, tf`` (counts; collisions add)."""
     return tokens.groupBy(doc, *carry, "channel", token_slot("token", num_features).alias("slot")).agg(F.count(F.lit(1)).alias("tf"))
@@ -92,24 +100,30 @@ def feature_vectors(
     channels: Sequence[str] = CHANNEL_ORDER,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Long ``(doc, channel, slot, value)`` -> one dense ``channels x width``
-    array and MLlib vector per document (caller slots first).
-
-    Each document contributes at most ``len(channels) * num_features`` entries,
-    so the per-document collect is bounded.  Documents with no tokens get an
-    all-zero vector (``docs`` drives the left join).
+    """Long ``(doc, channel, slot, value)`` -> one ``channels x width``
+    array and MLlib vector per document (caller slots first), and its non-zero
+    ``entries``.
+
+    ``docs`` (one row per document, with the ``keep`` columns) is united with
+    the entries as rows without a slot, so one aggregate does it all and
+    documents without tokens get an empty vector.  A document has at most
+    ``len(channels) * num_features`` entries, so the collect is bounded.
     """
     offset = F.when(F.col("channel") == channels[0], F.lit(0))
     for i, ch in enumerate(channels[1:], start=1):
         offset = offset.when(F.col("channel") == ch, F.lit(i * num_features))
     width = len(channels) * num_features
-    entries = weights.select(doc, (offset + F.col("slot")).alias("_k"), F.col(value).cast("double").alias("_v"))
-    # Pivot on the known slot range: one aggregate that places each value
-    # directly by index (no per-slot search), one column per slot.
-    per_doc = entries.groupBy(doc).pivot("_k", list(range(width))).agg(F.first("_v"))
-    dense = F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in range(width)])
-    out = docs.select(doc, *keep).join(per_doc.select(doc, dense.alias("features_array")), doc, "left")
-    out = out.withColumn("features_array", F.coalesce("features_array", F.array_repeat(F.lit(0.0), width)))
+    entry = F.struct((offset + F.col("slot")).cast("int").alias("k"), F.col(value).cast("double").alias("v"))
+    empty = F.lit(None).cast("struct<k:int,v:double>")
+    rows = weights.select(doc, entry.alias("_e")).unionByName(docs.select(doc, *keep, empty.alias("_e")), allowMissingColumns=True)
+    carried = [F.max(c).alias(c) for c in keep]
+    per_doc = rows.groupBy(doc).agg(*carried, F.array_sort(F.collect_list("_e")).alias("_es"))
+    # The zeros between neighbouring entries, then the entry: linear in the width.
+    filled = F.expr(
+        "flatten(transform(_es, (e, i) -> concat(array_repeat(0D, e.k - if(i = 0, -1, _es[i - 1].k) - 1), array(e.v))))"
+    )
+    tail = F.expr(f"array_repeat(0D, {width} - 1 - if(size(_es) = 0, -1, element_at(_es, -1).k))")
+    out = per_doc.select(doc, *keep, F.col("_es").alias("entries"), F.concat(filled, tail).alias("features_array"))
     return out.withColumn("features", array_to_vector("features_array"))
 
 
@@ -117,28 +131,21 @@ def prefix_tf(pairs: DataFrame, doc: str = "conv_id", num_features: int = NUM_FE
     """Term frequencies of every conversation prefix without materialising it.
 
     Input: paired token lists (``doc, seq, caller, victim``).  Per-pair slot
-    counts are summed with a running window over ``seq`` inside
-    ``(doc, channel, slot)``, so prefix k's TF is O(slots) work instead of O(k)
-    tokens.  The (slot, prefix) grid is expanded inside each row —
-    ``sequence(first_seq, last_seq)`` per slot seen, with ``last_seq`` from a
-    one-row-per-document table — so no join fans out a hot document.
-    Output: ``prefix_id, doc, prefix_no, channel, slot, tf`` for every slot
-    seen in the prefix, for every pair (also pairs without tokens).
+    counts get a running sum over ``seq`` inside ``(doc, channel, slot)``; each
+    sum holds until the slot's next pair (``lead``) or the document's last
+    pair, so one ``sequence`` per sparse row fills the grid and no join fans
+    out a hot document.  Output: ``prefix_id, doc, prefix_no, channel, slot,
+    tf`` for every slot seen in the prefix (also for pairs without tokens).
     """
     tokens = channel_tokens(pairs, doc, channels)
     per_pair = tokens.groupBy(doc, "seq", "channel", token_slot("token", num_features).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    last = pairs.groupBy(doc).agg(F.max("seq").alias("last_seq"))
-    first_seen = per_pair.groupBy(doc, "channel", "slot").agg(F.min("seq").alias("first_seq"))
-    grid = first_seen.join(last, doc).select(doc, "channel", "slot", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
-    filled = grid.join(per_pair, [doc, "seq", "channel", "slot"], "left").fillna(0, ["n"])
-    w = Window.partitionBy(doc, "channel", "slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = pairs.groupBy(doc).agg(F.max("seq").alias("_last"))
+    w = Window.partitionBy(doc, "channel", "slot").orderBy("seq")
+    summed = per_pair.select(doc, "seq", "channel", "slot", F.sum("n").over(w).alias("tf"), F.lead("seq").over(w).alias("_next"))
+    until = F.coalesce(F.col("_next") - 1, F.col("_last"))
+    filled = summed.join(last, doc).select(doc, "channel", "slot", "tf", F.explode(F.sequence("seq", until)).alias("_k"))
     return filled.select(
-        F.concat_ws("_", F.col(doc), F.col("seq").cast("string")).alias("prefix_id"),
-        doc,
-        F.col("seq").cast("int").alias("prefix_no"),
-        "channel",
-        "slot",
-        F.sum("n").over(w).alias("tf"),
+        F.concat_ws("_", F.col(doc), F.col("_k").cast("string")).alias("prefix_id"), doc, F.col("_k").cast("int").alias("prefix_no"), "channel", "slot", "tf"
     )
 
 
@@ -173,6 +180,11 @@ def feature_model(
     return Pipeline(stages=stages)
 
 
+def hashing_model(caller_col: str = CALLER, victim_col: str = VICTIM, num_features: int = NUM_FEATURES) -> PipelineModel:
+    """The two HashingTF stages alone; they need no fit."""
+    return PipelineModel(stages=[HashingTF(inputCol=c, outputCol=o, numFeatures=num_features, binary=False) for c, o in ((caller_col, "AH_features"), (victim_col, "V_features"))])
+
+
 def serving_model(fitted: PipelineModel) -> PipelineModel:
     """The fitted training pipeline without its flatten stages, for messages
     whose channels are already flat ``array<string>``."""

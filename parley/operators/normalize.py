@@ -2,8 +2,7 @@
 
 * Stop words: left-anti join of ``(lang, lower(token))`` against the broadcast
   stop-word table (a few hundred words per language).
-* Language vote: tokens ⋈ stop-word profiles, hits counted per
-  ``(doc, lang)``, top-1 by a window over at most 4 rows per document; a tie
+* Language vote: stop-word hits per language are counted inside the row; a tie
   at the top or no hit at all gives ``unknown``.
 * Stemming: distinct ``(lang, token)`` pairs are stemmed once with the column
   expressions of :mod:`parley.functions.porter` and joined back on the token.
@@ -16,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import porter
-from parley.functions.stopwords import LANGUAGES, UNKNOWN, stop_word_rows
+from parley.functions.stopwords import LANGUAGES, UNKNOWN, stop_word_rows, stop_words
 
 STEMMED_LANGUAGES = ("en",)  # languages with a rule-based stemmer
 
@@ -36,27 +35,34 @@ def remove_stopwords(tokens: DataFrame, stop_words: DataFrame, token: str = "tok
     return tokens.join(sw, cond, "left_anti")
 
 
-def detect_language(tokens: DataFrame, stop_words: DataFrame, doc: str = "conv_id", token: str = "token") -> DataFrame:
+def keep_content_words(tokens: str, lang: str, languages: Sequence[str] = tuple(LANGUAGES)) -> Column:
+    """The same removal on a token array column: in the row, order kept.
+    Rows of a language without a list keep every token."""
+    out = F.col(tokens)
+    for code in languages:
+        words = sorted({w.lower() for w in stop_words(code)})
+        out = F.when(F.col(lang) == code, F.filter(tokens, lambda t: ~F.lower(t).isin(words))).otherwise(out)
+    return out
+
+
+def detect_language(docs: DataFrame, doc: str = "conv_id", tokens: str = "tokens", languages: Sequence[str] = tuple(LANGUAGES)) -> DataFrame:
     """``doc, lang, hits``: the language whose stop words occur most often.
 
-    Hits are pre-aggregated per ``(doc, lang)`` (map-side), so a hot document
-    is reduced before the shuffle; ties at the top and documents without any
-    hit get ``unknown``.
+    ``docs`` has one row per document with its token array.  Every language's
+    hits are counted in the row, so there is no shuffle; ties at the top and
+    documents without any hit (also without any token) get ``unknown``.
     """
-    sw = F.broadcast(stop_words.select(F.col("lang").alias("_lang"), F.col("word").alias(token)))
-    hits = tokens.select(doc, token).join(sw, token).groupBy(doc, "_lang").agg(F.count(F.lit(1)).alias("hits"))
-    rank = Window.partitionBy(doc).orderBy(F.desc("hits"))
-    ranked = hits.select(doc, "_lang", "hits", F.rank().over(rank).alias("_r"))
-    top = ranked.where(F.col("_r") == 1).groupBy(doc).agg(
-        F.count(F.lit(1)).alias("_n_top"), F.min("_lang").alias("_lang"), F.max("hits").alias("hits")
-    )
-    decided = top.select(doc, F.when(F.col("_n_top") == 1, F.col("_lang")).otherwise(F.lit(UNKNOWN)).alias("lang"), "hits")
-    docs = tokens.select(doc).distinct()
-    return docs.join(decided, doc, "left").select(doc, F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    hits = lambda code: F.size(F.filter(tokens, lambda t: t.isin(list(stop_words(code)))))
+    votes = [F.struct(hits(code).alias("hits"), F.lit(code).alias("lang")) for code in languages]
+    counted = docs.select(doc, F.array(*votes).alias("_votes")).select(doc, "_votes", F.array_max(F.transform("_votes", lambda v: v["hits"])).alias("hits"))
+    top = F.filter("_votes", lambda v: v["hits"] == F.col("hits"))
+    lang = F.when((F.col("hits") > 0) & (F.size(top) == 1), top[0]["lang"]).otherwise(F.lit(UNKNOWN))
+    return counted.select(doc, lang.alias("lang"), F.col("hits").cast("long").alias("hits"))
 
 
 def stem_vocabulary(tokens: DataFrame, token: str = "token", lang: str | None = "lang") -> DataFrame:
-    """Distinct ``(lang, token)`` -> ``stem`` for the stemmed languages."""
+    """Distinct ``(lang, token)`` -> ``stem`` for the stemmed languages (without
+    ``lang`` all tokens count as one stemmed language)."""
     cols = [lang, token] if lang else [token]
     vocab = tokens.select(*cols).distinct()
     if lang:

@@ -1,10 +1,9 @@
 """Vocabulary-encoded sequences.
 
-The vocabulary is the top ``num_words - 1`` tokens by count (ties by token),
-ids from 1.  Ranking runs after ``orderBy(...).limit(n)``: Spark plans that as
-a per-partition top-n plus a merge, so the global sort touches only ``n``
-rows and the resulting table has a proven bound, which makes broadcasting it
-into the token stream safe.
+The vocabulary ranks every token by count (ties by token), ids from 1.  The
+rank is distributed: a range partitioning by (count, token), row numbers
+inside each partition and one offset per partition.  Which ids an encoder
+emits can be limited (``num_words``); the vocabulary itself never is.
 """
 
 from __future__ import annotations
@@ -14,12 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import pad_sequences
+from parley.operators.assemble import LIST_CHUNK
 from parley.schemas import CALLER, VICTIM
+from parley.session import cut_lineage
 
 # Fixed values of the sequence contract.
-NUM_WORDS = 10000  # ids >= NUM_WORDS are dropped; id 0 is padding
-FIRST_ID = 1
+FIRST_ID = 1  # id 0 is padding
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -27,40 +26,53 @@ def word_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def vocabulary(counts: DataFrame, num_words: int = NUM_WORDS) -> DataFrame:
-    """``token, cnt, idx``: id 1 is the most frequent token; only ids below
-    ``num_words`` are kept, since no other id is ever emitted."""
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(num_words - FIRST_ID)
-    rank = Window.orderBy(F.desc("cnt"), F.asc("token"))  # over <= num_words rows
-    return top.select("token", "cnt", (F.row_number().over(rank) + (FIRST_ID - 1)).cast("int").alias("idx"))
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """``token, cnt, idx`` of every token; id 1 is the most frequent one.
+
+    The ranged rows are written to the shared folder once, so numbering and
+    offsets see the same partitions even if an executor is lost in between.
+    """
+    order = [F.desc("cnt"), F.asc("token")]
+    ranged = cut_lineage(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits of the id are the partition, the lower 33 the row in it.
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", offset.alias("_off"))
+    numbered = ranged.withColumn("_part", part).withColumn("_row", row).join(offsets, "_part")
+    return numbered.select("token", "cnt", (F.col("_off") + F.col("_row") + FIRST_ID).cast("int").alias("idx"))
 
 
 def encode_sequences(
-    pairs: DataFrame,
+    tokens: DataFrame,
+    docs: DataFrame,
     vocab: DataFrame,
     doc: str = "conv_id",
     channels: Sequence[str] = (CALLER, VICTIM),
     carry: Sequence[str] = (),
+    num_words: int | None = None,
+    chunk: int = LIST_CHUNK,
 ) -> DataFrame:
     """Each channel's tokens (all utterances in ``seq`` order) as vocabulary ids.
 
-    Tokens are exploded with their position, looked up in the broadcast
-    vocabulary (bounded by ``num_words``), and re-collected in position order.
-    Unknown tokens drop out of the inner join.  Documents whose channel has no
-    known token get ``[]``.
+    ``tokens`` has ``doc, channel, seq, pos, token``; ``docs`` one row per
+    document with the ``carry`` columns.  Tokens are looked up by an equi-join
+    that AQE broadcasts only if the vocabulary measures small, collected per
+    ``chunk`` utterances and then put together, so only the finished list of a
+    document meets in one row.  Unknown tokens, and ids from ``num_words`` on
+    when it is given, drop out; a channel without known tokens gets ``[]``.
     """
-    stacked = F.explode(F.array(*[F.struct(F.lit(ch).alias("channel"), F.col(ch).alias("tokens")) for ch in channels])).alias("_c")
-    per_channel = pairs.select(doc, "seq", *carry, stacked)
-    positioned = per_channel.select(
-        doc, "seq", *carry, F.col("_c.channel").alias("channel"), F.posexplode("_c.tokens").alias("pos", "token")
-    )
-    hits = positioned.join(F.broadcast(vocab.select("token", "idx")), "token")
-    collected = hits.groupBy(doc, "channel").agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "idx"))).alias("_ids"))
-    ids = collected.select(doc, "channel", F.transform("_ids", lambda x: x["idx"]).alias("ids"))
-    wide = ids.groupBy(doc).pivot("channel", list(channels)).agg(F.first("ids"))
-    docs = pairs.select(doc, *carry).distinct()
-    out = docs.join(wide, doc, "left")
-    return out.select(doc, *carry, *[F.coalesce(F.col(ch), F.array().cast("array<int>")).alias(ch) for ch in channels])
+    known = vocab.select("token", "idx")
+    if num_words is not None:
+        known = known.where(F.col("idx") < num_words)
+    hits = tokens.select(doc, "channel", "seq", "pos", "token").join(known, "token")
+    parts = hits.groupBy(doc, "channel", F.floor(F.col("seq") / chunk).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "idx"))).alias("_ids"))
+    packed = F.struct("channel", "_part", F.transform("_ids", lambda x: x["idx"]).alias("ids")).alias("_p")
+    empty = F.lit(None).cast("struct<channel:string,_part:bigint,ids:array<int>>").alias("_p")
+    rows = parts.select(doc, packed).unionByName(docs.select(doc, *carry, empty), allowMissingColumns=True)
+    out = rows.groupBy(doc).agg(*[F.max(c).alias(c) for c in carry], F.array_sort(F.collect_list("_p")).alias("_ps"))
+    side = lambda ch: F.flatten(F.transform(F.filter("_ps", lambda p: p["channel"] == F.lit(ch)), lambda p: p["ids"]))
+    return out.select(doc, *carry, *[side(ch).alias(ch) for ch in channels])
 
 
 def sequence_stats(encoded: DataFrame, vocab_tokens: DataFrame, channels: Sequence[str] = (CALLER, VICTIM)) -> DataFrame:
@@ -89,6 +101,3 @@ def _pad(ids, width):
     keep = F.slice(ids, F.greatest(n - width, F.lit(0)) + 1, width)
     zeros = F.array_repeat(F.lit(0), F.greatest(width - n, F.lit(0)))
     return F.concat(zeros, keep)
-
-
-__all__ = ["word_counts", "vocabulary", "encode_sequences", "sequence_stats", "padded_sequences", "pad_sequences"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as tx
 from parley.operators import assemble as asm
 from parley.plans.registry import SQL_CLEAN, SQL_CONV_TURNS, SQL_DOC_TURNS, SQL_TOKENS, register, sql_pairs
-from parley.sources.tables import conversation_turns, document_line_pairs
+from parley.sources.tables import conversation_turns, document_channels
 
 
 def tokenized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,37 +72,49 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(
-    "assemble_conversations",
-    oracle=f"""
-WITH {sql_pairs(SQL_CONV_TURNS, SQL_TOKENS.format(x='text'))}
-SELECT conv_id, to_json(list(caller ORDER BY seq)) AS caller, to_json(list(victim ORDER BY seq)) AS victim,
-       CAST(count(*) AS INTEGER) AS n_pairs
-FROM p GROUP BY conv_id
-""",
-)
+SQL_LISTS = """
+WITH t AS (SELECT * FROM ({turns}) x)
+SELECT conv_id{carry},
+       to_json(coalesce(list({value} ORDER BY turn) FILTER (WHERE channel = 'caller'), [])) AS caller,
+       to_json(coalesce(list({value} ORDER BY turn) FILTER (WHERE channel = 'victim'), [])) AS victim,
+       count(*) FILTER (WHERE channel = 'caller') AS n_caller, count(*) FILTER (WHERE channel = 'victim') AS n_victim
+FROM t GROUP BY conv_id{carry}
+"""
+
+
+def _listed(df: DataFrame, *carry: str) -> DataFrame:
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("caller", "victim")]
+    return df.select("conv_id", *carry, F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"), *sizes)
+
+
+@register("assemble_conversations", oracle=SQL_LISTS.format(turns=SQL_CONV_TURNS, value=SQL_TOKENS.format(x="text"), carry=""))
 def q_assemble_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = asm.pair_turns(tokenized_turns(spark, sf_dir), value="tokens")
-    out = asm.assemble_conversations(pairs)
-    return out.select("conv_id", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"), F.col("n_pairs").cast("int").alias("n_pairs"))
+    return _listed(asm.assemble_conversations(tokenized_turns(spark, sf_dir), value="tokens"))
+
+
+@register("assemble_documents", oracle=SQL_LISTS.format(turns=SQL_DOC_TURNS, value=SQL_TOKENS.format(x="text"), carry=", label"))
+def q_assemble_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both complete line lists of every labelled document, cleaned in the row."""
+    docs = document_channels(spark, sf_dir)
+    lists = docs.select("conv_id", "label", *[F.transform(c, tx.clean_tokens).alias(c) for c in ("caller", "victim")])
+    return _listed(lists, "label")
 
 
 @register(
-    "assemble_documents",
+    "fetch_prefix",
     oracle=f"""
-WITH {sql_pairs(SQL_DOC_TURNS, SQL_TOKENS.format(x='text'), carry='label')}
-SELECT conv_id, label, to_json(list(caller ORDER BY seq)) AS caller, to_json(list(victim ORDER BY seq)) AS victim,
-       CAST(count(*) AS INTEGER) AS n_pairs
-FROM p GROUP BY conv_id, label
+WITH {sql_pairs(SQL_CONV_TURNS, 'text')}
+SELECT conv_id || '_' || CAST(max(seq) AS VARCHAR) AS prefix_id, to_json(list(caller ORDER BY seq)) AS caller, to_json(list(victim ORDER BY seq)) AS victim
+FROM p WHERE conv_id = (SELECT min(conv_id) FROM p) GROUP BY conv_id
 """,
 )
-def q_assemble_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = document_line_pairs(spark, sf_dir)
-    pairs = lines.select("conv_id", "seq", tx.clean_tokens("caller").alias("caller"), tx.clean_tokens("victim").alias("victim"), "label")
-    out = asm.assemble_conversations(pairs, carry=["label"])
-    return out.select(
-        "conv_id", "label", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"), F.col("n_pairs").cast("int").alias("n_pairs")
-    )
+def q_fetch_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookup of one prefix: the last one of the first conversation."""
+    pairs = asm.pair_turns(conversation_turns(spark, sf_dir))
+    last = pairs.select(F.min(F.struct("conv_id", (-F.col("seq")).alias("s"))).alias("m")).first()["m"]
+    wanted = f"{last['conv_id']}_{-last['s']}" if last else ""
+    out = asm.fetch_prefix(asm.conversation_prefixes(pairs), wanted)
+    return out.select("prefix_id", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"))
 
 
 @register(

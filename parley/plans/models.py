@@ -8,7 +8,7 @@ SQL twin (model fitting is iterative); the tests check their invariants.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +18,15 @@ from parley.operators import score as sc
 from parley.operators import train as tr
 from parley.plans.features import document_weights
 from parley.plans.registry import register
+from parley.session import cut_lineage
 
 
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, label, split, fold, combined_features`` (persisted once)."""
-    pairs, tf, idf = document_weights(spark, sf_dir)
-    docs = pairs.select("conv_id", "label").distinct()
+    """``conv_id, label, split, fold, combined_features``, written once to the
+    shared folder: every fit, fold and model reads it from there."""
+    docs, tf, idf = document_weights(spark, sf_dir)
     vec = ft.feature_vectors(ft.tfidf(tf, idf), docs, keep=["label"]).withColumnRenamed("features", tr.FEATURES)
-    out = tr.with_folds(tr.split_dataset(vec)).select("conv_id", "label", "split", "fold", tr.FEATURES, "features_array")
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(tr.with_folds(tr.split_dataset(vec)).select("conv_id", "label", "split", "fold", tr.FEATURES))
 
 
 def _fit_and_score(spark: SparkSession, sf_dir: str, kind: str, **params) -> DataFrame:
@@ -112,6 +112,7 @@ def q_score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = training_frame(spark, sf_dir)
     lr = tr.train("logistic_regression", data.where(F.col("split") == "train"))
     make = _logistic_predictor(lr.coefficients.toArray().tolist(), float(lr.intercept))
-    scored = sc.score_with_model(data.where(F.col("split") == "test"), make, input_col="features_array")
+    test = data.where(F.col("split") == "test").withColumn("features_array", vector_to_array(tr.FEATURES))
+    scored = sc.score_with_model(test, make, input_col="features_array")
     out = sc.with_verdict(scored)
     return out.select("conv_id", "label", F.round("probability", 6).alias("probability"), "prediction", "verdict")

@@ -7,70 +7,88 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.functions.stopwords import stop_word_sql
-from parley.operators import features as ft
 from parley.operators import normalize as nz
-from parley.plans.features import SQL_DOC_PAIRS, document_pairs
+from parley.plans.porter_sql import stem_ctes
 from parley.plans.registry import SQL_TOKENS, register
-from parley.sources.tables import load_table, spread
+from parley.sources.tables import scan_texts
 
+SQL_ALL_TK = f"""
+  t AS (SELECT CAST(doc_id AS VARCHAR) AS conv_id, lang, {SQL_TOKENS.format(x='text')} AS tokens FROM documents),
+  tk AS MATERIALIZED (SELECT conv_id, lang, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM t)
+"""
 
-def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's cleaned tokens, one row per token."""
-    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
-    return docs.select(F.col("doc_id").cast("string").alias("conv_id"), "lang", F.explode(tx.clean_tokens("text")).alias("token"))
 
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, lang, tokens``: every document's cleaned tokens in one array."""
+    docs = scan_texts(spark, sf_dir, "documents", ["doc_id", "lang", "text"], "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("conv_id"), "lang", tx.clean_tokens("text").alias("tokens"))
 
-def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired channel tokens of labelled documents with the document language."""
-    pairs = document_pairs(spark, sf_dir)
-    langs = load_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("conv_id"), "lang")
-    return ft.channel_tokens(pairs).join(langs, "conv_id")
+
+def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one row per token: ``conv_id, lang, pos, token``."""
+    return all_documents(spark, sf_dir).select("conv_id", "lang", F.posexplode("tokens").alias("pos", "token"))
 
 
 @register(
     "remove_stopwords",
     oracle=f"""
-WITH {SQL_DOC_PAIRS},
-  tk AS (SELECT conv_id, 'caller' AS channel, unnest(caller) AS token FROM p
-         UNION ALL SELECT conv_id, 'victim', unnest(victim) FROM p),
-  tl AS (SELECT tk.*, d.lang FROM tk JOIN documents d ON CAST(d.doc_id AS VARCHAR) = tk.conv_id),
+WITH {SQL_ALL_TK},
   sw AS (SELECT DISTINCT lang, lower(word) AS word FROM {stop_word_sql()})
-SELECT conv_id, channel, count(*) AS n_kept
-FROM tl WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.lang = tl.lang AND sw.word = lower(tl.token))
-GROUP BY conv_id, channel
+SELECT conv_id, CAST(pos AS INTEGER) AS pos, token FROM tk
+WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.lang = tk.lang AND sw.word = lower(tk.token))
 """,
 )
 def q_remove_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = nz.remove_stopwords(labelled_tokens(spark, sf_dir), nz.stop_word_table(spark))
-    return kept.groupBy("conv_id", "channel").agg(F.count(F.lit(1)).alias("n_kept"))
+    """Every token that stays, of every document: the anti-join on the table."""
+    return nz.remove_stopwords(all_tokens(spark, sf_dir), nz.stop_word_table(spark)).select("conv_id", "pos", "token")
+
+
+@register(
+    "content_words",
+    oracle=f"""
+WITH {SQL_ALL_TK},
+  sw AS (SELECT DISTINCT lang, lower(word) AS word FROM {stop_word_sql()}),
+  k AS (SELECT conv_id, list(token ORDER BY pos) AS kept FROM tk
+        WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.lang = tk.lang AND sw.word = lower(tk.token)) GROUP BY conv_id)
+SELECT t.conv_id, to_json(coalesce(k.kept, [])) AS tokens FROM t LEFT JOIN k ON k.conv_id = t.conv_id
+""",
+)
+def q_content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same removal inside the row, as the feature path would use it."""
+    docs = all_documents(spark, sf_dir)
+    return docs.select("conv_id", F.to_json(nz.keep_content_words("tokens", "lang")).alias("tokens"))
 
 
 @register(
     "detect_language",
     oracle=f"""
-WITH tk AS (SELECT CAST(doc_id AS VARCHAR) AS conv_id, unnest({SQL_TOKENS.format(x='text')}) AS token FROM documents),
+WITH {SQL_ALL_TK},
   sw AS (SELECT * FROM {stop_word_sql()}),
   h AS (SELECT conv_id, sw.lang, count(*) AS hits FROM tk JOIN sw ON tk.token = sw.word GROUP BY ALL),
   r AS (SELECT *, rank() OVER (PARTITION BY conv_id ORDER BY hits DESC) AS rk FROM h),
-  t AS (SELECT conv_id, count(*) AS n_top, min(lang) AS lang, max(hits) AS hits FROM r WHERE rk = 1 GROUP BY conv_id),
-  d AS (SELECT DISTINCT conv_id FROM tk)
-SELECT d.conv_id, coalesce(CASE WHEN t.n_top = 1 THEN t.lang ELSE 'unknown' END, 'unknown') AS lang, coalesce(t.hits, 0) AS hits
-FROM d LEFT JOIN t USING (conv_id)
+  b AS (SELECT conv_id, count(*) AS n_top, min(lang) AS lang, max(hits) AS hits FROM r WHERE rk = 1 GROUP BY conv_id)
+SELECT t.conv_id, coalesce(CASE WHEN b.n_top = 1 THEN b.lang ELSE 'unknown' END, 'unknown') AS lang, coalesce(b.hits, 0) AS hits
+FROM t LEFT JOIN b USING (conv_id)
 """,
 )
 def q_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nz.detect_language(document_tokens(spark, sf_dir), nz.stop_word_table(spark))
+    return nz.detect_language(all_documents(spark, sf_dir))
 
 
-@register("stem_vocabulary")
+@register(
+    "stem_vocabulary",
+    oracle=f"WITH {SQL_ALL_TK}, english AS (SELECT DISTINCT token FROM tk WHERE lang = 'en'), {stem_ctes('english')} SELECT token, stem FROM stems",
+)
 def q_stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Porter stems of the distinct English tokens (checked against a plain
-    Python implementation of the paper in the tests)."""
-    return nz.stem_vocabulary(document_tokens(spark, sf_dir)).select("token", "stem")
+    """Porter stems of the distinct English tokens."""
+    return nz.stem_vocabulary(all_tokens(spark, sf_dir)).select("token", "stem")
 
 
-@register("normalize_tokens")
+@register(
+    "normalize_tokens",
+    oracle=f"""WITH {SQL_ALL_TK}, english AS (SELECT DISTINCT token FROM tk WHERE lang = 'en'), {stem_ctes('english')}
+SELECT tk.conv_id, CAST(tk.pos AS INTEGER) AS pos, stems.stem AS token FROM tk JOIN stems ON tk.token = stems.token WHERE tk.lang = 'en'""",
+)
 def q_normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stemmed token counts per English labelled document and channel."""
-    stemmed = nz.normalize_tokens(labelled_tokens(spark, sf_dir), unsupported="skip")
-    return stemmed.groupBy("conv_id", "channel").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("token").alias("n_stems"))
+    """Every token of every English document, stemmed."""
+    return nz.normalize_tokens(all_tokens(spark, sf_dir), unsupported="skip").select("conv_id", "pos", "token")

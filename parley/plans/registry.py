@@ -43,10 +43,10 @@ SQL_CONV_TURNS = """
 SQL_DOC_TURNS = """
   SELECT CAST(d.doc_id AS VARCHAR) AS conv_id, CAST(u.line_no - 1 AS BIGINT) AS turn,
          CASE WHEN (u.line_no - 1) % 2 = 0 THEN 'caller' ELSE 'victim' END AS channel,
-         u.line AS text, CAST(l.quality AS INTEGER) AS label
+         u.line AS text, CAST(l.quality AS INTEGER) AS label, d.lang
   FROM documents d JOIN labels l USING (doc_id),
-       LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line,
-                       generate_subscripts(string_split(d.text, chr(10)), 1) AS line_no) u
+       LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS line_no) u
 """
 
 

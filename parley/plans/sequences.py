@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import features as ft
 from parley.operators import sequences as sq
-from parley.plans.features import SQL_DOC_PAIRS, document_pairs
+from parley.plans.features import SQL_DOC_TK, document_ids, document_tokens
 from parley.plans.registry import register
+from parley.session import cut_lineage
 
 SQL_VOCAB = f"""
-WITH {SQL_DOC_PAIRS},
-  tk AS (SELECT conv_id, seq, 'caller' AS channel, unnest(caller) AS token, generate_subscripts(caller, 1) AS pos FROM p
-         UNION ALL SELECT conv_id, seq, 'victim', unnest(victim), generate_subscripts(victim, 1) FROM p),
+WITH {SQL_DOC_TK},
   wc AS (SELECT token, count(*) AS cnt FROM tk GROUP BY token),
-  vocab AS (SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) AS INTEGER) AS idx FROM wc
-            QUALIFY idx < 10000),
+  vocab AS (SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) AS INTEGER) AS idx FROM wc),
   enc AS (SELECT tk.conv_id, tk.channel, list(v.idx ORDER BY tk.seq, tk.pos) AS ids
           FROM tk JOIN vocab v USING (token) GROUP BY tk.conv_id, tk.channel),
-  docs AS (SELECT DISTINCT conv_id, label FROM p),
   seqs AS (SELECT d.conv_id, d.label,
                   coalesce(c.ids, []::INTEGER[]) AS caller, coalesce(v.ids, []::INTEGER[]) AS victim
            FROM docs d LEFT JOIN enc c ON c.conv_id = d.conv_id AND c.channel = 'caller'
@@ -28,28 +24,24 @@ WITH {SQL_DOC_PAIRS},
 
 
 def document_sequences(spark: SparkSession, sf_dir: str):
-    pairs = document_pairs(spark, sf_dir)
-    tokens = ft.channel_tokens(pairs)
+    tokens = document_tokens(spark, sf_dir)
     vocab = sq.vocabulary(sq.word_counts(tokens))
-    encoded = sq.encode_sequences(pairs, vocab, carry=["label"])
-    return pairs, tokens, vocab, encoded
+    return tokens, vocab, sq.encode_sequences(tokens, document_ids(spark, sf_dir), vocab, carry=["label"])
 
 
 @register("word_counts", oracle=SQL_VOCAB + "SELECT token, cnt FROM wc")
 def q_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, tokens, _, _ = document_sequences(spark, sf_dir)
-    return sq.word_counts(tokens)
+    return sq.word_counts(document_tokens(spark, sf_dir))
 
 
 @register("vocabulary", oracle=SQL_VOCAB + "SELECT token, cnt, idx FROM vocab")
 def q_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, vocab, _ = document_sequences(spark, sf_dir)
-    return vocab
+    return sq.vocabulary(sq.word_counts(document_tokens(spark, sf_dir)))
 
 
 @register("encode_sequences", oracle=SQL_VOCAB + "SELECT conv_id, label, to_json(caller) AS caller, to_json(victim) AS victim FROM seqs")
 def q_encode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, _, encoded = document_sequences(spark, sf_dir)
+    _, _, encoded = document_sequences(spark, sf_dir)
     return encoded.select("conv_id", "label", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"))
 
 
@@ -61,8 +53,8 @@ def q_encode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
               (SELECT count(*) FROM wc) + 1 AS vocab_size FROM seqs""",
 )
 def q_sequence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, tokens, _, encoded = document_sequences(spark, sf_dir)
-    return sq.sequence_stats(encoded, tokens)
+    _, vocab, encoded = document_sequences(spark, sf_dir)
+    return sq.sequence_stats(encoded, vocab)
 
 
 SQL_PAD = "list_concat(list_transform(range(greatest({w} - len({x}), 0)), lambda z: 0), {x}[greatest(len({x}) - {w}, 0) + 1:])"
@@ -77,7 +69,8 @@ SELECT conv_id, label, to_json(list_concat({SQL_PAD.format(w='wmax.w', x='caller
 FROM seqs, wmax""",
 )
 def q_pad_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, _, encoded = document_sequences(spark, sf_dir)
+    _, _, encoded = document_sequences(spark, sf_dir)
+    encoded = cut_lineage(encoded)  # read for the width and for the result
     width = encoded.select(F.greatest(F.max(F.size("caller")), F.max(F.size("victim")))).scalar()
     padded = sq.padded_sequences(encoded, width, carry=["label"])
     return padded.select("conv_id", "label", F.to_json("ids").alias("ids"), F.size("ids").alias("width"))

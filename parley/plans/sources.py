@@ -32,14 +32,21 @@ def q_dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ingest_conversation_json",
     oracle=f"""
 WITH {sql_pairs(SQL_DOC_TURNS, 'text', carry='label')}
-SELECT conv_id, seq, CAST(seq + 1 AS VARCHAR) AS turn_key, caller, victim, label FROM p
+SELECT conv_id, seq, CAST(seq + 1 AS VARCHAR) AS turn_key, caller, victim, label, false AS rejected
+FROM p WHERE CAST(conv_id AS BIGINT) % 10 <> 0
+UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL, label, true FROM p WHERE CAST(conv_id AS BIGINT) % 10 = 0
 """,
 )
 def q_ingest_conversation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = document_line_pairs(spark, sf_dir)
-    responses = ingest.render_response(pairs)
-    turns, _rejects = ingest.ingest_conversation_json(responses)
-    return turns
+    """Responses of every labelled document; those of each tenth document are
+    cut in half first, so the query also shows what becomes of malformed JSON:
+    one reject row each, and no turn rows."""
+    responses = ingest.render_response(document_line_pairs(spark, sf_dir))
+    half = F.substr(F.col("response"), F.lit(1), F.floor(F.length("response") / 2).cast("int"))
+    broken = F.col("conv_id").cast("long") % 10 == 0
+    turns, rejects = ingest.ingest_conversation_json(responses.withColumn("response", F.when(broken, half).otherwise(F.col("response"))))
+    kept = turns.withColumn("rejected", F.lit(False))
+    return kept.unionByName(rejects.select("conv_id", ingest.encode_label("conversation_type").alias("label"), F.lit(True).alias("rejected")), allowMissingColumns=True)
 
 
 @register(
@@ -66,14 +73,14 @@ SQL_RENDER = "'[' || array_to_string(list_transform({x}, lambda xs: '[' || array
 @register(
     "parse_nested_list",
     oracle=f"""
-WITH {sql_pairs(SQL_CONV_TURNS, SQL_TOKENS.format(x='text'))},
-  a AS (SELECT conv_id, list(caller ORDER BY seq) AS caller FROM p GROUP BY conv_id)
+WITH a AS (SELECT conv_id, coalesce(list({SQL_TOKENS.format(x='text')} ORDER BY turn) FILTER (WHERE channel = 'caller'), []) AS caller
+           FROM ({SQL_CONV_TURNS}) t GROUP BY conv_id)
 SELECT conv_id, {SQL_RENDER.format(x='caller')} AS cell, to_json(caller) AS parsed FROM a
 """,
 )
 def q_parse_nested_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_turns(spark, sf_dir).withColumn("tokens", tx.clean_tokens("text"))
-    conv = asm.assemble_conversations(asm.pair_turns(turns, value="tokens"), values=["caller"])
+    conv = asm.assemble_conversations(turns, value="tokens")
     cells = conv.select("conv_id", tx.render_nested_list("caller").alias("cell"))
     return cells.select("conv_id", "cell", F.to_json(tx.parse_nested_list("cell")).alias("parsed"))
 
@@ -93,7 +100,7 @@ def q_encode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = asm.conversation_prefixes(asm.pair_turns(turns, value="tokens"))
     return prefixes.select(
         "prefix_id",
-        tx.encode_message(F.flatten("caller").alias("Attacker_Helper"), F.flatten("victim").alias("Victim")).alias("message"),
+        tx.encode_message(tx.flatten_tokens("caller").alias("Attacker_Helper"), tx.flatten_tokens("victim").alias("Victim")).alias("message"),
     )
 
 

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.operators import assemble as asm
 from parley.operators import features as ft
 from parley.operators import train as tr
 from parley.plans.conversation import ORACLE_PREFIXES
-from parley.plans.features import document_pairs
+from parley.plans.features import fitted_features
 from parley.plans.registry import SQL_CONV_TURNS, register, sql_pairs
 from parley.session import scratch_path
 from parley.sources.tables import conversation_turns
@@ -58,9 +57,8 @@ def q_stream_running_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fitted_scorer(spark: SparkSession, sf_dir: str):
     """TF-IDF model + logistic regression fitted on the labelled documents."""
-    docs = asm.assemble_conversations(document_pairs(spark, sf_dir), carry=["label"])
-    fitted = ft.feature_model().fit(docs)
-    train = tr.split_dataset(fitted.transform(docs)).where(F.col("split") == "train")
+    fitted, features = fitted_features(spark, sf_dir)
+    train = tr.split_dataset(features).where(F.col("split") == "train")
     model = tr.train("logistic_regression", train)
     return ft.serving_model(fitted), model
 

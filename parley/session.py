@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -45,19 +45,36 @@ def build_session(
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder once and read it from there."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared, fault-tolerant folder there).  Only when it is unset — tests and
-    local runs — a fallback is installed: the given folder, or a fresh
-    ``mktemp``-style folder under the system temp dir.
+    shared, fault-tolerant folder there).  Only when it is unset and the master
+    is local — tests and local runs — a fallback is installed: the given folder,
+    or a fresh temporary one.  On a cluster an unset folder is an error, since
+    executors would each write to their own disk.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not fallback and not _is_local(spark):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     folder = fallback or tempfile.mkdtemp(prefix="parley-ckpt-")
     os.makedirs(folder, exist_ok=True)
     spark.sparkContext.setCheckpointDir(folder)

@@ -2,9 +2,9 @@
 
 * ``conversation_turns``: the ``conversations`` table as utterances — role
   ``assistant`` is the caller side, ``user`` the victim, ``system`` dropped.
-* ``document_turns``: a labelled two-channel corpus from ``documents``
+* ``document_channels``: a labelled two-channel corpus from ``documents``
   (odd lines caller, even lines victim) joined to ``labels`` (label =
-  ``quality``).
+  ``quality``), with both complete line lists in the row.
 
 Scans are plain parquet reads, so Catalyst pushes filters and prunes columns
 into ``ReadSchema``.
@@ -30,18 +30,17 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan by ``key`` when it has fewer input splits than the
-    cluster's default parallelism (e.g. one file with a single row group).
+# Session setting: number of partitions that scans of long texts are dealt
+# into.  Unset (the default) scans keep their file splits; the bench and tests
+# set it because their tables are single row groups.
+SCAN_PARTITIONS = "spark.parley.scanPartitions"
 
-    Large inputs — many files and row groups — already scan in parallel and
-    are returned unchanged.  Apply it to a plain scan: the split count is then
-    file metadata and no job runs to decide.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target * 2, key)
+
+def scan_texts(spark: SparkSession, sf_dir: str, name: str, columns: list[str], key: str) -> DataFrame:
+    """A column-pruned scan, dealt by ``key`` when the session asks for it."""
+    df = load_table(spark, sf_dir, name).select(*columns)
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,47 +59,46 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents ⋈ labels`` on ``doc_id``; the join strategy is left to AQE,
     which turns it into a broadcast join only when the label side measures
     under the broadcast threshold at run time."""
-    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
+    docs = scan_texts(spark, sf_dir, "documents", ["doc_id", "text", "lang", "n_chars"], "doc_id")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id")
 
 
-def document_turns(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
-    """Lines of each document as alternating caller/victim utterances.
+def document_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as two-channel conversations, one row each:
+    ``conv_id, label, lang, caller, victim``.
 
-    Line 1, 3, 5, ... (1-based) are caller turns, line 2, 4, ... victim turns;
-    ``turn`` is the 0-based line number.  With ``labelled`` only documents that
-    have a label are kept and ``label = quality``.
+    Lines alternate: line 1, 3, 5, ... are the caller's, line 2, 4, ... the
+    victim's.  Both lists are complete, whether or not they are equally long.
+    A null text is one empty line, as an empty text is.
     """
-    if labelled:
-        docs = labelled_documents(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("int").alias("label"))
-    else:
-        docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    lines = docs.select("*", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line")).drop("text")
-    return lines.select(
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    every = lambda k: F.filter(lines, lambda x, i: i % 2 == F.lit(k))  # noqa: E731  one pass over the lines
+    return labelled_documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("conv_id"),
-        F.col("line_no").cast("long").alias("turn"),
-        F.when(F.col("line_no") % 2 == 0, F.lit(CALLER)).otherwise(F.lit(VICTIM)).alias("channel"),
-        F.col("line").alias("text"),
-        *([F.col("label")] if labelled else []),
+        F.col("quality").cast("int").alias("label"),
+        "lang",
+        every(0).alias(CALLER),
+        every(1).alias(VICTIM),
     )
 
 
-def document_line_pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
-    """Paired turns of the two-channel documents, built inside each row.
+def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as turns: ``conv_id, label, lang, turn, channel, text``."""
+    docs = document_channels(spark, sf_dir)
+    sides = F.explode(F.array(*[F.struct(F.lit(ch).alias("channel"), F.lit(k).alias("k"), F.col(ch).alias("lines")) for k, ch in enumerate((CALLER, VICTIM))])).alias("s")
+    lines = docs.select("conv_id", "label", "lang", sides).select("conv_id", "label", "lang", "s.channel", "s.k", F.posexplode("s.lines").alias("seq", "text"))
+    return lines.select("conv_id", "label", "lang", (F.col("seq") * 2 + F.col("k")).cast("long").alias("turn"), "channel", "text")
+
+
+def document_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional pairs of the two-channel documents, built inside each row and
+    truncated to the shorter side: ``conv_id, seq, caller, victim, label``.
 
-    Lines alternate strictly (line 2k caller, line 2k+1 victim), so the k-th
-    pair is read straight from the split text: no ordinal window, no join and
-    no shuffle — the same rows as ``pair_turns(document_turns(...))``.
-    Output: ``conv_id, seq, caller, victim[, label]``.
+    Linear in the lines: both lists are zipped and generated, without a
+    window, join or shuffle.
     """
-    if labelled:
-        docs = labelled_documents(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("int").alias("label"))
-    else:
-        docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    lines = F.split(F.col("text"), "\n")
-    n_pairs = F.floor(F.size(lines) / 2).cast("int")
-    ks = F.when(n_pairs > 0, F.sequence(F.lit(0), n_pairs - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(ks, lambda k: F.struct(k.alias("seq"), F.get(lines, 2 * k).alias("caller"), F.get(lines, 2 * k + 1).alias("victim")))
-    rows = docs.select(F.col("doc_id").cast("string").alias("conv_id"), *(["label"] if labelled else []), F.explode(pairs).alias("_p"))
-    return rows.select("conv_id", F.col("_p.seq").cast("int").alias("seq"), "_p.caller", "_p.victim", *(["label"] if labelled else []))
+    docs = document_channels(spark, sf_dir)
+    zipped = F.posexplode(F.arrays_zip(CALLER, VICTIM)).alias("seq", "p")
+    # Only the longer (caller) side can miss a partner, in its last line.
+    return docs.select("conv_id", "label", F.size(VICTIM).alias("n"), zipped).where("seq < n").select("conv_id", "seq", f"p.{CALLER}", f"p.{VICTIM}", "label")
