@@ -1,8 +1,10 @@
 """Porter (1980) suffix-stripping stemmer as Spark column expressions.
 
-Meant to run over the *distinct* vocabulary (one row per token), never over
-the token stream: ``stem_column(df, "token")`` adds ``stem``; the result is
-joined back to the tokens.  Every step is a ``CASE`` over suffixes, longest
+In batch it is meant to run over the *distinct* vocabulary (one row per
+token), not over the token stream: ``stem_column(df, "token")`` adds ``stem``
+and the result is joined back to the tokens.  ``stem_tokens`` stems an array
+in the row, for streams, whose small messages have no vocabulary to join.
+Every step is a ``CASE`` over suffixes, longest
 suffix first (the paper's rule: only the longest matching suffix of a step is
 considered).  Conditions use the measure ``m`` of the stem, computed from a
 consonant/vowel map of the word built once per step with a JVM
@@ -50,120 +52,115 @@ def _cv(word: Column) -> Column:
     )
 
 
-def _w() -> Column:
-    return F.col(W)
+class Word:
+    """A working word and its consonant/vowel map, as columns."""
 
+    def __init__(self, w: Column, c: Column):
+        self.w, self.c = w, c
 
-def _len() -> Column:
-    return F.length(F.col(W))
+    @property
+    def n(self) -> Column:
+        return F.length(self.w)
 
+    def prefix(self, n: Column) -> Column:
+        return F.substr(self.w, F.lit(1), n)
 
-def _prefix(n: Column) -> Column:
-    return F.substr(F.col(W), F.lit(1), n)
+    def cv_prefix(self, n: Column) -> Column:
+        return F.substr(self.c, F.lit(1), n)
 
+    def m(self, n: Column) -> Column:
+        """Measure of the first ``n`` letters."""
+        return F.regexp_count(self.cv_prefix(n), F.lit("VC"))
 
-def _cv_prefix(n: Column) -> Column:
-    return F.substr(F.col(C), F.lit(1), n)
+    def has_vowel(self, n: Column) -> Column:
+        return F.instr(self.cv_prefix(n), "V") > 0
 
+    def char(self, pos: Column) -> Column:
+        return F.substr(self.w, pos, F.lit(1))
 
-def _m(n: Column) -> Column:
-    """Measure of the first ``n`` letters."""
-    return F.regexp_count(_cv_prefix(n), F.lit("VC"))
+    def double_consonant(self, n: Column) -> Column:
+        """The first ``n`` letters end with a double consonant."""
+        return (n >= 2) & (self.char(n) == self.char(n - 1)) & (F.substr(self.c, n - 1, F.lit(2)) == "CC")
 
+    def cvc(self, n: Column) -> Column:
+        """The first ``n`` letters end consonant-vowel-consonant, last not w, x, y."""
+        return (n >= 3) & (F.substr(self.c, n - 2, F.lit(3)) == "CVC") & ~self.char(n).isin("w", "x", "y")
 
-def _has_vowel(n: Column) -> Column:
-    return F.instr(_cv_prefix(n), "V") > 0
+    def ends(self, suffix: str) -> Column:
+        return self.w.endswith(suffix)
 
 
-def _char(pos: Column) -> Column:
-    return F.substr(F.col(W), pos, F.lit(1))
-
-
-def _double_consonant(n: Column) -> Column:
-    """The first ``n`` letters end with a double consonant."""
-    return (n >= 2) & (_char(n) == _char(n - 1)) & (F.substr(F.col(C), n - 1, F.lit(2)) == "CC")
-
-
-def _cvc(n: Column) -> Column:
-    """The first ``n`` letters end consonant-vowel-consonant, last not w, x, y."""
-    return (n >= 3) & (F.substr(F.col(C), n - 2, F.lit(3)) == "CVC") & ~_char(n).isin("w", "x", "y")
-
-
-def _ends(suffix: str) -> Column:
-    return F.col(W).endswith(suffix)
-
-
-def _rules(rules: list[tuple[str, str]], condition) -> Column:
+def _rules(x: Word, rules: list[tuple[str, str]], condition) -> Column:
     """Longest matching suffix decides; its condition gates the replacement."""
     out = None
     for suffix, repl in sorted(rules, key=lambda r: -len(r[0])):
-        n = _len() - len(suffix)
-        value = F.when(condition(n, suffix), F.concat(_prefix(n), F.lit(repl))).otherwise(_w())
-        out = F.when(_ends(suffix), value) if out is None else out.when(_ends(suffix), value)
-    return out.otherwise(_w())
+        n = x.n - len(suffix)
+        value = F.when(condition(n, suffix), F.concat(x.prefix(n), F.lit(repl))).otherwise(x.w)
+        out = F.when(x.ends(suffix), value) if out is None else out.when(x.ends(suffix), value)
+    return out.otherwise(x.w)
 
 
-def _step1a() -> Column:
+def _step1a(x: Word) -> Column:
     return (
-        F.when(_ends("sses"), _prefix(_len() - 2))
-        .when(_ends("ies"), _prefix(_len() - 2))
-        .when(_ends("ss"), _w())
-        .when(_ends("s"), _prefix(_len() - 1))
-        .otherwise(_w())
+        F.when(x.ends("sses"), x.prefix(x.n - 2))
+        .when(x.ends("ies"), x.prefix(x.n - 2))
+        .when(x.ends("ss"), x.w)
+        .when(x.ends("s"), x.prefix(x.n - 1))
+        .otherwise(x.w)
     )
 
 
-def _step1b_fix(n: Column) -> Column:
-    stem = _prefix(n)
-    tail2 = F.substr(F.col(W), n - 1, F.lit(2))
+def _step1b_fix(x: Word, n: Column) -> Column:
+    stem = x.prefix(n)
+    tail2 = F.substr(x.w, n - 1, F.lit(2))
     return (
         F.when(tail2.isin("at", "bl", "iz"), F.concat(stem, F.lit("e")))
-        .when(_double_consonant(n) & ~_char(n).isin("l", "s", "z"), _prefix(n - 1))
-        .when((_m(n) == 1) & _cvc(n), F.concat(stem, F.lit("e")))
+        .when(x.double_consonant(n) & ~x.char(n).isin("l", "s", "z"), x.prefix(n - 1))
+        .when((x.m(n) == 1) & x.cvc(n), F.concat(stem, F.lit("e")))
         .otherwise(stem)
     )
 
 
-def _step1b() -> Column:
-    n_eed, n_ed, n_ing = _len() - 3, _len() - 2, _len() - 3
+def _step1b(x: Word) -> Column:
+    n_eed, n_ed, n_ing = x.n - 3, x.n - 2, x.n - 3
     return (
-        F.when(_ends("eed"), F.when(_m(n_eed) > 0, _prefix(_len() - 1)).otherwise(_w()))
-        .when(_ends("ed") & _has_vowel(n_ed), _step1b_fix(n_ed))
-        .when(_ends("ing") & _has_vowel(n_ing), _step1b_fix(n_ing))
-        .otherwise(_w())
+        F.when(x.ends("eed"), F.when(x.m(n_eed) > 0, x.prefix(x.n - 1)).otherwise(x.w))
+        .when(x.ends("ed") & x.has_vowel(n_ed), _step1b_fix(x, n_ed))
+        .when(x.ends("ing") & x.has_vowel(n_ing), _step1b_fix(x, n_ing))
+        .otherwise(x.w)
     )
 
 
-def _step1c() -> Column:
-    n = _len() - 1
-    return F.when(_ends("y") & _has_vowel(n), F.concat(_prefix(n), F.lit("i"))).otherwise(_w())
+def _step1c(x: Word) -> Column:
+    n = x.n - 1
+    return F.when(x.ends("y") & x.has_vowel(n), F.concat(x.prefix(n), F.lit("i"))).otherwise(x.w)
 
 
-def _step2() -> Column:
-    return _rules(STEP2, lambda n, s: _m(n) > 0)
+def _step2(x: Word) -> Column:
+    return _rules(x, STEP2, lambda n, s: x.m(n) > 0)
 
 
-def _step3() -> Column:
-    return _rules(STEP3, lambda n, s: _m(n) > 0)
+def _step3(x: Word) -> Column:
+    return _rules(x, STEP3, lambda n, s: x.m(n) > 0)
 
 
-def _step4() -> Column:
+def _step4(x: Word) -> Column:
     def cond(n, suffix):
-        base = _m(n) > 1
+        base = x.m(n) > 1
         if suffix == "ion":
-            return base & _char(n).isin("s", "t")
+            return base & x.char(n).isin("s", "t")
         return base
 
-    return _rules([(s, "") for s in STEP4], cond)
+    return _rules(x, [(s, "") for s in STEP4], cond)
 
 
-def _step5a() -> Column:
-    n = _len() - 1
-    return F.when(_ends("e") & ((_m(n) > 1) | ((_m(n) == 1) & ~_cvc(n))), _prefix(n)).otherwise(_w())
+def _step5a(x: Word) -> Column:
+    n = x.n - 1
+    return F.when(x.ends("e") & ((x.m(n) > 1) | ((x.m(n) == 1) & ~x.cvc(n))), x.prefix(n)).otherwise(x.w)
 
 
-def _step5b() -> Column:
-    return F.when((_m(_len()) > 1) & _double_consonant(_len()) & _ends("l"), _prefix(_len() - 1)).otherwise(_w())
+def _step5b(x: Word) -> Column:
+    return F.when((x.m(x.n) > 1) & x.double_consonant(x.n) & x.ends("l"), x.prefix(x.n - 1)).otherwise(x.w)
 
 
 STEPS = (_step1a, _step1b, _step1c, _step2, _step3, _step4, _step5a, _step5b)
@@ -178,6 +175,15 @@ def stem_column(df: DataFrame, token: str = "token", out: str = "stem") -> DataF
     cur = df.withColumn(W, F.col(token))
     for step in STEPS:
         cur = cur.withColumn(C, _cv(F.col(W)))
-        cur = cur.withColumn(W, step())
+        cur = cur.withColumn(W, step(Word(F.col(W), F.col(C))))
     short = F.length(F.col(token)) <= 2
     return cur.withColumn(out, F.when(short, F.col(token)).otherwise(F.col(W))).drop(W, C)
+
+
+def stem_tokens(tokens: Column | str) -> Column:
+    """The same on a token array, inside the row."""
+    cur = F.transform(tokens, lambda t: F.struct(t.alias("o"), t.alias("w")))
+    for step in STEPS:
+        cur = F.transform(cur, lambda x: F.struct(x["o"].alias("o"), x["w"].alias("w"), _cv(x["w"]).alias("c")))
+        cur = F.transform(cur, lambda x: F.struct(x["o"].alias("o"), step(Word(x["w"], x["c"])).alias("w")))
+    return F.transform(cur, lambda x: F.when(F.length(x["o"]) <= 2, x["o"]).otherwise(x["w"]))

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the decision and metric contract.
 VERDICT_THRESHOLD = 0.5  # strict >: scam
 ALERT_THRESHOLD = 0.85  # strict >: alert
+ALERT_MARGIN = 1.0  # strict >: alert of a model without probabilities (outside the SVM's margin)
 EPSILON = 1e-7  # guard in F1 and log-loss clipping
 SCAM = "scam"
 NORMAL = "normal"
@@ -110,7 +112,12 @@ def best_model(evaluations: DataFrame, metric: str = "accuracy") -> DataFrame:
     return evaluations.where(F.col("metric") == metric).orderBy(F.desc("value"), F.asc("model")).limit(1)
 
 
-def misclassified(scored: DataFrame, label: str = "label", prediction: str = "prediction", columns: Sequence[str] = ()) -> DataFrame:
+def misclassified(
+    scored: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    columns: Sequence[str] = ("conv_id", "label", "prediction", "probability"),
+) -> DataFrame:
     return scored.where(F.col(prediction) != F.col(label).cast(scored.schema[prediction].dataType)).select(*columns)
 
 
@@ -126,6 +133,36 @@ def verdict(probability: Column | str) -> tuple[Column, Column, Column]:
     )
 
 
+def is_alert(probability: str = "probability") -> Column:
+    return F.coalesce(F.col(probability) > F.lit(ALERT_THRESHOLD), F.lit(False))
+
+
+def decide(predicted: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` + ``prediction, verdict, confidence, probability, margin, alert``
+    of an MLlib model's output.
+
+    With probabilities the thresholds decide.  Without (linear SVM) the model's
+    own prediction does: probability and confidence are null, and an alert
+    needs a margin beyond ``ALERT_MARGIN``.
+    """
+    margin = vector_to_array("rawPrediction")[1] if "rawPrediction" in predicted.columns else F.lit(None).cast("double")
+    if "probability" in predicted.columns:
+        out = predicted.select(*keep, vector_to_array("probability")[1].alias("probability"), margin.alias("margin"))
+        prediction, said, confidence = verdict("probability")
+        return out.select(*keep, prediction, said, confidence, "probability", "margin", is_alert().alias("alert"))
+    scam = F.col("prediction") == 1
+    none = F.lit(None).cast("double")
+    return predicted.select(
+        *keep,
+        F.col("prediction").cast("int").alias("prediction"),
+        F.when(scam, F.lit(SCAM)).otherwise(F.lit(NORMAL)).alias("verdict"),
+        none.alias("confidence"),
+        none.alias("probability"),
+        margin.alias("margin"),
+        (scam & (margin > F.lit(ALERT_MARGIN))).alias("alert"),
+    )
+
+
 def alerts(scored: DataFrame, prediction: str = "prediction", probability: str = "probability") -> DataFrame:
     """Scam predictions above the alert threshold."""
     return scored.where((F.col(prediction) == 1) & (F.col(probability) > F.lit(ALERT_THRESHOLD)))
@@ -147,6 +184,8 @@ def grid_report(spark: SparkSession, cv_model, metric_name: str | None = None) -
         for i, (m, score) in enumerate(zip(maps, cv_model.avgMetrics))
     ]
     df = spark.createDataFrame(rows, "grid_point int, params string, avg_metric double")
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else -1
+    df = df.withColumn("is_best", F.col("grid_point") == best)
     if metric_name:
         df = df.withColumn("metric", F.lit(metric_name))
     return df.orderBy(F.desc("avg_metric"), "grid_point")

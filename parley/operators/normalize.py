@@ -45,12 +45,21 @@ def keep_content_words(tokens: str, lang: str, languages: Sequence[str] = tuple(
     return out
 
 
+def language_vote(tokens: Column | str, languages: Sequence[str] = tuple(LANGUAGES)) -> tuple[Column, Column]:
+    """``(lang, hits)`` of a token array: the language whose stop words occur
+    most often; a tie at the top or no hit at all is ``unknown``."""
+    hits = [F.size(F.filter(tokens, lambda t: t.isin(list(stop_words(code))))) for code in languages]
+    most = F.greatest(*hits)
+    first = F.coalesce(*[F.when(h == most, F.lit(code)) for h, code in zip(hits, languages)])
+    ties = sum((F.when(h == most, 1).otherwise(0) for h in hits), F.lit(0))
+    return F.when((most > 0) & (ties == 1), first).otherwise(F.lit(UNKNOWN)), most.cast("long")
+
+
 def detect_language(docs: DataFrame, doc: str = "conv_id", tokens: str = "tokens", languages: Sequence[str] = tuple(LANGUAGES)) -> DataFrame:
-    """``doc, lang, hits``: the language whose stop words occur most often.
+    """``doc, lang, hits`` of documents with one token array each.
 
-    ``docs`` has one row per document with its token array.  Every language's
-    hits are counted in the row, so there is no shuffle; ties at the top and
-    documents without any hit (also without any token) get ``unknown``.
+    Every language's hits are counted in the row, so there is no shuffle;
+    documents without any token are ``unknown`` too.
     """
     hits = lambda code: F.size(F.filter(tokens, lambda t: t.isin(list(stop_words(code)))))
     votes = [F.struct(hits(code).alias("hits"), F.lit(code).alias("lang")) for code in languages]
@@ -60,6 +69,12 @@ def detect_language(docs: DataFrame, doc: str = "conv_id", tokens: str = "tokens
     return counted.select(doc, lang.alias("lang"), F.col("hits").cast("long").alias("hits"))
 
 
+def normalize_list(tokens: str, lang: Column | str) -> Column:
+    """A token array with the tokens of the stemmed languages stemmed."""
+    code = F.col(lang) if isinstance(lang, str) else lang
+    return F.when(code.isin(*STEMMED_LANGUAGES), porter.stem_tokens(tokens)).otherwise(F.col(tokens))
+
+
 def stem_vocabulary(tokens: DataFrame, token: str = "token", lang: str | None = "lang") -> DataFrame:
     """Distinct ``(lang, token)`` -> ``stem`` for the stemmed languages (without
     ``lang`` all tokens count as one stemmed language)."""

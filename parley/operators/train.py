@@ -25,7 +25,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +65,6 @@ def split_dataset(df: DataFrame, base_id: str = "conv_id", train_ratio: float =
     return df.withColumn("split", F.when(hash_bucket(base_id, 100, seed) < cut, F.lit("train")).otherwise(F.lit("test")))
 
 
-def random_split(df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Row-level seeded split, kept as an option (it leaks prefixes)."""
-    train, test = df.randomSplit([train_ratio, 1 - train_ratio], seed=seed)
-    return train, test
-
-
 def with_folds(df: DataFrame, base_id: str = "conv_id", k: int = NUM_FOLDS, seed: int = SEED) -> DataFrame:
     """Fold column for ``CrossValidator(foldCol=...)``, by base id."""
     return df.withColumn("fold", hash_bucket(base_id, k, seed + 1))
@@ -117,8 +111,8 @@ def cross_validate(
 ):
     """k-fold CV over a grid (default: the chosen point only) with a fold column.
 
-    The input is persisted once so folds do not recompute the feature plan.
-    Use ``REFERENCE_GRIDS[kind]`` for the full search.
+    The input is persisted while the folds read it.  Use
+    ``REFERENCE_GRIDS[kind]`` for the full search.
     """
     est = estimator(kind, **params)
     grid = grid or {k: [v] for k, v in CHOSEN.get(kind, {}).items()}
@@ -133,7 +127,10 @@ def cross_validate(
         parallelism=parallelism,
         seed=SEED,
     )
-    return cv.fit(cached)
+    try:
+        return cv.fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def reference_search(kind: str, df: DataFrame, parallelism: int = 4):
@@ -142,14 +139,31 @@ def reference_search(kind: str, df: DataFrame, parallelism: int = 4):
     return cross_validate(kind, df, grid=REFERENCE_GRIDS[kind], metric=CV_METRIC[kind], parallelism=parallelism)
 
 
-def tune_mlp(df: DataFrame, hidden: Sequence[Sequence[int]] = ((64, 32, 16), (128, 64, 32)), n_features: int = 400, max_iter: int = 100):
-    """Network search: train/validation split 0.8 over hidden-layer shapes,
-    best by validation log-loss (MLlib MLP: sigmoid hidden units, softmax out)."""
-    est = estimator("mlp", maxIter=max_iter)
-    grid = ParamGridBuilder().addGrid(est.layers, [[n_features, *h, 2] for h in hidden]).build()
+def tune_mlp(
+    df: DataFrame,
+    hidden: Sequence[Sequence[int]] = ((64, 32, 16), (128, 64, 32)),
+    n_features: int = 400,
+    max_iter: int = 100,
+    base_id: str = "conv_id",
+) -> list[tuple[list[int], float]]:
+    """Network search: every hidden-layer shape with its validation log-loss,
+    best first (MLlib MLP: sigmoid hidden units, softmax out).
+
+    Training and validation side are hash buckets of the base id (0.8), so all
+    prefixes of a conversation fall on one side.
+    """
+    side = hash_bucket(base_id, 100, SEED + 2) < int(round(TRAIN_RATIO * 100))
+    fit, held = df.where(side).persist(StorageLevel.MEMORY_AND_DISK), df.where(~side).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, probabilityCol="probability", metricName="logLoss")
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, trainRatio=TRAIN_RATIO, seed=SEED)
-    return tvs.fit(df)
+    shapes = [[n_features, *h, 2] for h in hidden]
+    est = estimator("mlp", maxIter=max_iter)
+    try:
+        models = est.fit(fit, [{est.layers: s} for s in shapes])
+        losses = [evaluator.evaluate(m.transform(held)) for m in models]
+    finally:
+        fit.unpersist()
+        held.unpersist()
+    return sorted(zip(shapes, losses), key=lambda x: x[1])
 
 
 class ModelRegistry:

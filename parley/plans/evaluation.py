@@ -130,35 +130,32 @@ def q_best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "misclassified",
-    oracle=SQL_SCORES + "SELECT conv_id, label, prediction, round(probability, 6) AS probability FROM s WHERE model = 'rule_500' AND prediction <> label",
+    oracle=SQL_SCORES + "SELECT model, conv_id, label, prediction, round(probability, 6) AS probability FROM s WHERE prediction <> label",
 )
 def q_misclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = rule_scores(spark, sf_dir).where(F.col("model") == "rule_500")
-    out = ev.misclassified(scored, columns=["conv_id", "label", "prediction", "probability"])
+    out = ev.misclassified(rule_scores(spark, sf_dir), columns=["model", "conv_id", "label", "prediction", "probability"])
     return out.withColumn("probability", F.round("probability", 6))
 
 
 @register(
     "verdict",
     oracle=SQL_SCORES
-    + """SELECT conv_id, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction,
+    + """SELECT model, conv_id, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction,
               CASE WHEN probability > 0.5 THEN 'scam' ELSE 'normal' END AS verdict,
               round(CASE WHEN probability > 0.5 THEN probability ELSE 1 - probability END, 6) AS confidence
-       FROM s WHERE model = 'rule_500'""",
+       FROM s""",
 )
 def q_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = rule_scores(spark, sf_dir).where(F.col("model") == "rule_500")
     prediction, verdict, confidence = ev.verdict("probability")
-    return scored.select("conv_id", prediction, verdict, F.round(confidence, 6).alias("confidence"))
+    return rule_scores(spark, sf_dir).select("model", "conv_id", prediction, verdict, F.round(confidence, 6).alias("confidence"))
 
 
 @register(
     "alerts",
-    oracle=SQL_SCORES + "SELECT conv_id, label, round(probability, 6) AS probability FROM s WHERE model = 'rule_500' AND prediction = 1 AND probability > 0.85",
+    oracle=SQL_SCORES + "SELECT model, conv_id, label, round(probability, 6) AS probability FROM s WHERE prediction = 1 AND probability > 0.85",
 )
 def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = rule_scores(spark, sf_dir).where(F.col("model") == "rule_500")
-    return ev.alerts(scored).select("conv_id", "label", F.round("probability", 6).alias("probability"))
+    return ev.alerts(rule_scores(spark, sf_dir)).select("model", "conv_id", "label", F.round("probability", 6).alias("probability"))
 
 
 @register(

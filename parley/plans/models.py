@@ -58,37 +58,58 @@ def q_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("train_mlp")
 def q_train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit_and_score(spark, sf_dir, "mlp", layers=[400, 32, 16, 8, 2], maxIter=60)
+    return _fit_and_score(spark, sf_dir, "mlp")
+
+
+def _search(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The whole grid of a kind under 7-fold cross-validation (folds by document
+    hash): the report per grid point, best first."""
+    data = training_frame(spark, sf_dir).where(F.col("split") == "train")
+    cv = tr.reference_search(kind, data, parallelism=8)
+    return ev.grid_report(spark, cv, metric_name=tr.CV_METRIC[kind]).withColumn("avg_metric", F.round("avg_metric", 6))
 
 
 @register("cross_validate")
 def q_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """7-fold CV (folds by document hash) over a small regularisation grid;
-    the per-grid-point report, best first."""
-    data = training_frame(spark, sf_dir).where(F.col("split") == "train")
-    cv = tr.cross_validate("logistic_regression", data, grid={"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.1]}, maxIter=40)
-    return ev.grid_report(spark, cv, metric_name=tr.CV_METRIC["logistic_regression"]).withColumn("avg_metric", F.round("avg_metric", 6))
+    return _search(spark, sf_dir, "logistic_regression")
+
+
+@register("cross_validate_linear_svc")
+def q_cross_validate_linear_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "linear_svc")
 
 
 @register("tune_mlp")
 def q_tune_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
-    tvs = tr.tune_mlp(data, hidden=((16, 8, 4), (32, 16, 8)), max_iter=40)
-    rows = [(str(list(pm.values())[0]), float(v)) for pm, v in zip(tvs.getEstimatorParamMaps(), tvs.validationMetrics)]
+    rows = [(str(shape), float(loss)) for shape, loss in tr.tune_mlp(data)]
     return spark.createDataFrame(rows, "layers string, val_loss double").orderBy("val_loss")
 
 
+MODEL_KINDS = ("logistic_regression", "random_forest", "gbt", "linear_svc", "mlp")
+
+
 @register("evaluate_models")
 def q_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out metrics for several trained models from one confusion aggregate."""
+    """Held-out comparison of all five models: every metric, every cell of the
+    confusion matrix and every misclassified document, as one long table."""
     data = training_frame(spark, sf_dir)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     scored = None
-    for kind in ("logistic_regression", "linear_svc"):
+    for kind in MODEL_KINDS:
         part = sc.score(tr.train(kind, train), test, model_name=kind)
         scored = part if scored is None else scored.unionByName(part)
-    metrics, _matrix = sc.evaluate_models(scored)
-    return metrics.withColumn("value", F.round("value", 6))
+    scored = cut_lineage(scored)  # read three times below
+    metrics, matrix = sc.evaluate_models(scored)
+    wrong = ev.misclassified(scored, columns=["model", "conv_id", "label", "prediction", "probability"])
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias("value")
+    cell = F.concat_ws("->", F.col("actual").cast("string"), F.col("predicted").cast("string"))
+    miss = F.concat_ws(":", "conv_id", F.col("label").cast("string"), F.col("prediction").cast("string"))
+    return (
+        metrics.select("model", F.lit("metric").alias("part"), F.col("metric").alias("name"), number("value"))
+        .unionByName(matrix.select("model", F.lit("matrix").alias("part"), cell.alias("name"), number("n")))
+        .unionByName(wrong.select("model", F.lit("misclassified").alias("part"), miss.alias("name"), number("probability")))
+    )
 
 
 def _logistic_predictor(coefficients: list[float], intercept: float):

@@ -9,7 +9,7 @@ from parley.functions import text as tx
 from parley.operators import assemble as asm
 from parley.plans.registry import SQL_CONV_TURNS, SQL_DOC_TURNS, SQL_TOKENS, register, sql_pairs
 from parley.sources import ingest
-from parley.sources.tables import conversation_turns, document_line_pairs, load_table
+from parley.sources.tables import conversation_turns, document_line_pairs, labelled_documents, load_table
 
 
 @register(
@@ -49,6 +49,25 @@ def q_ingest_conversation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(rejects.select("conv_id", ingest.encode_label("conversation_type").alias("label"), F.lit(True).alias("rejected")), allowMissingColumns=True)
 
 
+@register(
+    "cast_labels",
+    oracle="""
+WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS conv_id, CASE WHEN doc_id % 7 = 0 THEN lang ELSE CAST(quality AS VARCHAR) END AS raw_label
+           FROM documents JOIN labels USING (doc_id))
+SELECT conv_id, raw_label, TRY_CAST(raw_label AS INTEGER) AS label, count(TRY_CAST(raw_label AS INTEGER)) OVER () AS n_valid,
+       count(*) FILTER (WHERE TRY_CAST(raw_label AS INTEGER) IS NULL) OVER () AS n_rejected FROM r
+""",
+)
+def q_cast_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text labels of every labelled document; each seventh holds its language
+    instead of a number.  Valid and rejected rows with both counts."""
+    raw = F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.col("quality").cast("string"))
+    rows = labelled_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("conv_id"), raw.alias("raw_label"))
+    valid, rejects, counts = ingest.cast_labels(rows)
+    rows = valid.unionByName(rejects, allowMissingColumns=True)
+    return rows.select("*", *[counts.select(n).scalar().alias(n) for n in ("n_valid", "n_rejected")])
+
+
 @register(
     "conversation_key",
     oracle="""

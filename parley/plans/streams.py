@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import features as ft
+from parley.operators import normalize as nz
 from parley.operators import train as tr
 from parley.plans.conversation import ORACLE_PREFIXES
 from parley.plans.features import fitted_features
 from parley.plans.registry import SQL_CONV_TURNS, register, sql_pairs
 from parley.session import scratch_path
+from parley.sources import io
 from parley.sources.tables import conversation_turns
 from parley.streaming import jobs
 
@@ -23,14 +25,11 @@ def _workdir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _paired_stream(spark: SparkSession, sf_dir: str, root: str, value_fn=None) -> DataFrame:
-    turns = conversation_turns(spark, sf_dir)
-    if value_fn is not None:
-        turns = turns.withColumn("text", value_fn(F.col("text")))
-    jobs.write_channel_messages(turns, f"{root}/in")
+def _paired_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    jobs.write_channel_messages(conversation_turns(spark, sf_dir), f"{root}/in")
     caller = jobs.read_channel_stream(spark, f"{root}/in", "caller")
     victim = jobs.read_channel_stream(spark, f"{root}/in", "victim")
-    return jobs.stream_pair_turns(caller, victim)
+    return jobs.split_unpaired(jobs.stream_pair_turns(caller, victim))[0]
 
 
 def _drain(df: DataFrame, root: str, name: str) -> DataFrame:
@@ -55,20 +54,25 @@ def q_stream_running_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("prefix_id", "conv_id", "prefix_no", "caller", "victim")
 
 
-def _fitted_scorer(spark: SparkSession, sf_dir: str):
-    """TF-IDF model + logistic regression fitted on the labelled documents."""
+def _served(spark: SparkSession, sf_dir: str, root: str):
+    """The serving pipeline and the classifier, fitted, stored and loaded back
+    as a live run would load them."""
     fitted, features = fitted_features(spark, sf_dir)
-    train = tr.split_dataset(features).where(F.col("split") == "train")
-    model = tr.train("logistic_regression", train)
-    return ft.serving_model(fitted), model
+    model = tr.train("logistic_regression", tr.split_dataset(features).where(F.col("split") == "train"))
+    io.save_model(ft.serving_model(fitted), f"{root}/serving")
+    io.save_model(model, f"{root}/model")
+    return io.load_model(f"{root}/serving"), tr.ModelRegistry({"logistic_regression": f"{root}/model"}).load("logistic_regression")
 
 
 def _message_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
-    """Live messages: paired turns -> growing transcript -> flat word lists
-    of both channels so far (the producer's message shape)."""
+    """Live messages: paired turns -> language vote and stems -> growing
+    transcript -> flat word lists of both channels so far (the producer's
+    message shape)."""
     pairs = _paired_stream(spark, sf_dir, root)
     tokens = pairs.select("conv_id", "seq", "event_ts", tx.clean_tokens("caller").alias("caller"), tx.clean_tokens("victim").alias("victim"))
-    grown = jobs.stream_running_transcript(tokens)
+    voted = tokens.withColumn("lang", nz.language_vote(F.concat("caller", "victim"))[0])
+    stemmed = voted.select("conv_id", "seq", "event_ts", *[nz.normalize_list(c, "lang").alias(c) for c in ("caller", "victim")])
+    grown = jobs.stream_running_transcript(stemmed)
     return grown.select(
         "conv_id",
         F.col("prefix_no").cast("long").alias("seq"),
@@ -82,10 +86,10 @@ def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the live conversation stream with the MLlib model: serving
     features -> model -> verdict and alert, through the idempotent audit
     sink.  Returns the scored rows."""
-    serving, model = _fitted_scorer(spark, sf_dir)
     root = _workdir(spark, "score")
-    scored = jobs.stream_score(_message_stream(spark, sf_dir, root), serving, model)
-    q = jobs.run_stream(scored, name=root.rsplit("/", 1)[-1], foreach_batch=jobs.audit_sink(f"{root}/scored", f"{root}/audit"))
+    serving, model = _served(spark, sf_dir, root)
+    config = jobs.ScoringConfig("logistic_regression")
+    q = jobs.start_scoring(config, _message_stream(spark, sf_dir, root), serving, root.rsplit("/", 1)[-1], f"{root}/scored", f"{root}/audit", model=model)
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/scored")
     return out.select("conv_id", "seq", "prediction", "verdict", F.round("confidence", 6).alias("confidence"), "alert")
@@ -93,21 +97,16 @@ def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_score_external")
 def q_stream_score_external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score the same stream with an external (numpy) model in foreachBatch:
-    serving features on the executors, Arrow-batched predictions, no collect.
+    """Score the same stream with an external (numpy) model in foreachBatch.
     The external model is the fitted regression's weights, so its verdicts
     equal the MLlib path's."""
-    from pyspark.ml.functions import vector_to_array
-
     from parley.plans.models import _logistic_predictor
 
-    serving, model = _fitted_scorer(spark, sf_dir)
-    make = _logistic_predictor(model.coefficients.toArray().tolist(), float(model.intercept))
     root = _workdir(spark, "external")
-    feats = serving.transform(_message_stream(spark, sf_dir, root)).select(
-        "conv_id", "seq", vector_to_array("combined_features").alias("features_array")
-    )
-    q = jobs.run_stream(feats, name=root.rsplit("/", 1)[-1], foreach_batch=jobs.stream_score_external(make, f"{root}/scored"))
+    serving, model = _served(spark, sf_dir, root)
+    make = _logistic_predictor(model.coefficients.toArray().tolist(), float(model.intercept))
+    config = jobs.ScoringConfig("numpy_logistic", path="external")
+    q = jobs.start_scoring(config, _message_stream(spark, sf_dir, root), serving, root.rsplit("/", 1)[-1], f"{root}/scored", f"{root}/audit", predict_factory=make)
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/scored")
-    return out.select("conv_id", "seq", "prediction", "verdict", F.round("confidence", 6).alias("confidence"))
+    return out.select("conv_id", "seq", "prediction", "verdict", F.round("confidence", 6).alias("confidence"), "alert")

@@ -12,16 +12,6 @@ CALLER = "caller"
 VICTIM = "victim"
 CHANNELS = (CALLER, VICTIM)
 
-# One row per utterance.  ``turn`` is explicit because files have no order.
-TURNS = T.StructType(
-    [
-        T.StructField("conv_id", T.StringType(), False),
-        T.StructField("turn", T.LongType(), False),
-        T.StructField("channel", T.StringType(), False),
-        T.StructField("text", T.StringType(), True),
-    ]
-)
-
 # Raw-turn layout of a stored dataset: one row per paired turn.
 RAW_TURNS = T.StructType(
     [
@@ -64,17 +54,6 @@ CHANNEL_MESSAGE = T.StructType(
     ]
 )
 
-# Speech recogniser output: only final results count.
-TRANSCRIPT_EVENT = T.StructType(
-    [
-        T.StructField("conv_id", T.StringType(), True),
-        T.StructField("device", T.IntegerType(), True),
-        T.StructField("seq", T.LongType(), True),
-        T.StructField("is_final", T.BooleanType(), True),
-        T.StructField("alternatives", TOKENS, True),
-    ]
-)
-
 VOCABULARY = T.StructType(
     [
         T.StructField("token", T.StringType(), False),
@@ -82,20 +61,3 @@ VOCABULARY = T.StructType(
         T.StructField("idx", T.IntegerType(), False),
     ]
 )
-
-EVALUATION = T.StructType(
-    [
-        T.StructField("model", T.StringType(), False),
-        T.StructField("metric", T.StringType(), False),
-        T.StructField("value", T.DoubleType(), True),
-    ]
-)
-
-CONFUSION = T.StructType(
-    [
-        T.StructField("model", T.StringType(), False),
-        T.StructField("actual", T.IntegerType(), False),
-        T.StructField("predicted", T.IntegerType(), False),
-        T.StructField("n", T.LongType(), False),
-    ]
-)

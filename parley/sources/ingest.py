@@ -87,6 +87,18 @@ def ingest_conversation_json(
     return turns, rejects
 
 
+def cast_labels(df: DataFrame, raw: str = "raw_label", label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels that arrive as text: ``(valid, rejects, counts)``.
+
+    ``valid`` has the integer ``label``; rows whose text is not an integer go to
+    ``rejects`` unchanged instead of failing the job; ``counts`` has one row,
+    ``n_valid, n_rejected``.  A null text is a missing label and is rejected.
+    """
+    tried = df.withColumn(label, F.col(raw).try_cast("int"))
+    counts = tried.agg(F.count(label).alias("n_valid"), (F.count(F.lit(1)) - F.count(label)).alias("n_rejected"))
+    return tried.where(F.col(label).isNotNull()), tried.where(F.col(label).isNull()).drop(label), counts
+
+
 def render_response(pairs: DataFrame, label_col: str = "label") -> DataFrame:
     """Inverse of :func:`ingest_conversation_json`: one response document per
     conversation, numbered from 1 in ``seq`` order."""

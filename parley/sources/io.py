@@ -6,6 +6,7 @@ CSV sink has no array type.  A CSV export renders arrays with ``to_json``.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,3 +52,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def save_model(model, path: str) -> None:
     """Persist an MLlib model or pipeline, replacing what is there."""
     model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """A fitted pipeline saved with :func:`save_model`; single classifiers load
+    through ``operators.train.ModelRegistry``."""
+    return PipelineModel.load(path)

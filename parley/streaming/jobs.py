@@ -11,13 +11,16 @@ sinks are idempotent per batch id.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from parley.operators import evaluate as ev
@@ -29,7 +32,7 @@ from parley.session import scratch_path
 EVENT_TIME_BASE = 1_700_000_000  # seconds; event times stay far from epoch 0
 SECONDS_PER_TURN = 5
 DEFAULT_WATERMARK = "10 minutes"
-DEFAULT_PAIR_BOUND = "10 minutes"
+ROWS_PER_YIELD = 64  # transcript rows handed over at once
 
 
 # --- sources ----------------------------------------------------------------
@@ -55,22 +58,27 @@ def read_message_stream(
     instead of silently dropped.
     """
     opts = options or {}
+    if fmt == "kafka":
+        return parse_messages(spark.readStream.format("kafka").options(**opts).load(), schema, keep_malformed)
     if keep_malformed:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    if fmt == "kafka":
-        text = F.col("value").cast("string")
-        raw = spark.readStream.format("kafka").options(**opts).load()
-        parsed = raw.select(F.from_json(text, schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("data"), text.alias("_raw"))
-        out = parsed.select("data.*", "_raw")
-        if keep_malformed:
-            out = out.withColumn(CORRUPT, F.when(F.col("data").isNull(), F.col("_raw")).otherwise(F.col(CORRUPT)))
-        return out.drop("_raw")
     reader = spark.readStream.schema(schema).options(**opts)
     if keep_malformed:
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     return reader.format(fmt).load(path)
 
 
+def parse_messages(raw: DataFrame, schema=MESSAGE, keep_malformed: bool = False) -> DataFrame:
+    """The ``value`` of Kafka-shaped rows as the columns of ``schema``; with
+    ``keep_malformed`` also the raw text of lines that do not parse."""
+    text = F.col("value").cast("string")
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    parsed = raw.select(F.from_json(text, full, {"columnNameOfCorruptRecord": CORRUPT}).alias("data"), text.alias("_raw"))
+    bad = F.when(F.col("data").isNull() | F.col(f"data.{CORRUPT}").isNotNull(), F.col("_raw"))
+    columns = [F.col(f"data.{f.name}").alias(f.name) for f in schema.fields]
+    return parsed.select(*columns, *([bad.alias(CORRUPT)] if keep_malformed else []))
+
+
 def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, malformed)`` halves of a stream read with ``keep_malformed``."""
     bad = F.col(CORRUPT).isNotNull()
@@ -101,124 +109,199 @@ def read_channel_stream(spark: SparkSession, folder: str, channel: str) -> DataF
 # --- operators --------------------------------------------------------------
 
 
-def stream_pair_turns(caller: DataFrame, victim: DataFrame, watermark: str = DEFAULT_WATERMARK, bound: str = DEFAULT_PAIR_BOUND) -> DataFrame:
+def stream_pair_turns(caller: DataFrame, victim: DataFrame, watermark: str = DEFAULT_WATERMARK, bound: str | None = None) -> DataFrame:
     """k-th caller message with k-th victim message.
 
-    Inner equi-join on ``(conv_id, seq)`` with an event-time range, so the join
-    state of both sides is dropped once the watermark passes the bound.
+    Without ``bound`` (default) a message waits for its partner as long as it
+    takes, as the batch pairing does; nothing is lost, and the join state grows
+    with the messages still waiting.  With ``bound`` the state is limited: a
+    message whose partner is further away in event time leaves the join when
+    the watermark has passed, as a row with a null side (``split_unpaired``)
+    instead of vanishing.
     """
-    c = caller.withWatermark("event_ts", watermark).alias("c")
-    v = victim.withWatermark("event_ts", watermark).alias("v")
-    cond = (
-        (F.col("c.conv_id") == F.col("v.conv_id"))
-        & (F.col("c.seq") == F.col("v.seq"))
-        & (F.col("c.event_ts") >= F.col("v.event_ts") - F.expr(f"INTERVAL {bound}"))
-        & (F.col("c.event_ts") <= F.col("v.event_ts") + F.expr(f"INTERVAL {bound}"))
-    )
-    return c.join(v, cond, "inner").select(
-        F.col("c.conv_id").alias("conv_id"),
-        F.col("c.seq").alias("seq"),
-        F.col("c.event_ts").alias("event_ts"),  # keeps the watermark for later stateful steps
+    if bound is None:
+        c, v = caller.alias("c"), victim.alias("v")
+        joined = c.join(v, (F.col("c.conv_id") == F.col("v.conv_id")) & (F.col("c.seq") == F.col("v.seq")), "inner")
+    else:
+        c, v = caller.withWatermark("event_ts", watermark).alias("c"), victim.withWatermark("event_ts", watermark).alias("v")
+        cond = (
+            (F.col("c.conv_id") == F.col("v.conv_id"))
+            & (F.col("c.seq") == F.col("v.seq"))
+            & (F.col("c.event_ts") >= F.col("v.event_ts") - F.expr(f"INTERVAL {bound}"))
+            & (F.col("c.event_ts") <= F.col("v.event_ts") + F.expr(f"INTERVAL {bound}"))
+        )
+        joined = c.join(v, cond, "full_outer")
+    return joined.select(
+        F.coalesce("c.conv_id", "v.conv_id").alias("conv_id"),
+        F.coalesce("c.seq", "v.seq").alias("seq"),
+        F.greatest("c.event_ts", "v.event_ts").alias("event_ts"),
         F.col("c.text").alias(CALLER),
         F.col("v.text").alias(VICTIM),
+        F.col("c.seq").isNotNull().alias("has_caller"),
+        F.col("v.seq").isNotNull().alias("has_victim"),
     )
 
 
-TRANSCRIPT_OUT = "prefix_id string, conv_id string, prefix_no int, caller string, victim string"
+def split_unpaired(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, rejects)`` of ``stream_pair_turns``: rejects never met a partner."""
+    both = F.col("has_caller") & F.col("has_victim")
+    return pairs.where(both).drop("has_caller", "has_victim"), pairs.where(~both)
+
+
+TRANSCRIPT_OUT = "prefix_id string, conv_id string, prefix_no int, caller string, victim string, gap boolean"
 TRANSCRIPT_STATE = "next_seq long, caller string, victim string, pending string, last_event_ms long"
 
 
-def _grow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _grower(idle_ms: int | None):
     """Per conversation: append pairs in ``seq`` order and emit the whole
-    transcript so far at every step.  Pairs that arrive ahead of a missing
-    ``seq`` wait in state until the gap closes; a conversation is evicted when
-    the watermark passes its last event time plus the idle gap."""
-    (conv_id,) = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        next_seq, caller_s, victim_s, pending_s, last_ms = state.get
-        callers, victims, pending = json.loads(caller_s), json.loads(victim_s), json.loads(pending_s)
-    else:
-        next_seq, callers, victims, pending, last_ms = 0, [], [], {}, 0
-    for pdf in batches:
-        for seq, c, v in zip(pdf["seq"], pdf["caller"], pdf["victim"]):
-            pending[str(int(seq))] = [json.loads(c), json.loads(v)]
-        if len(pdf):
-            last_ms = max(last_ms, int(pd.to_datetime(pdf["event_ts"]).max().value // 1_000_000))
-    rows = []
-    while str(next_seq) in pending:
-        c, v = pending.pop(str(next_seq))
-        callers.append(c)
-        victims.append(v)
-        rows.append((f"{conv_id}_{next_seq}", conv_id, int(next_seq), json.dumps(callers, ensure_ascii=False, separators=(",", ":")), json.dumps(victims, ensure_ascii=False, separators=(",", ":"))))
-        next_seq += 1
-    state.update((int(next_seq), json.dumps(callers), json.dumps(victims), json.dumps(pending), int(last_ms)))
-    state.setTimeoutTimestamp(int(last_ms) + IDLE_TIMEOUT_MS)
-    if rows:
-        yield pd.DataFrame(rows, columns=["prefix_id", "conv_id", "prefix_no", "caller", "victim"])
-
-
-IDLE_TIMEOUT_MS = 30 * 60 * 1000
-
-
-def stream_running_transcript(pairs: DataFrame) -> DataFrame:
+    transcript so far at every step.
+
+    Pairs that arrive ahead of a missing ``seq`` wait in state until the gap
+    closes.  With an idle limit they wait no longer than that: then they are
+    emitted in order, marked ``gap``, and the conversation goes on behind them.
+    A pair that turns up after its place was passed is emitted at once, marked
+    too.  No pair is dropped, and the state outlives the idle time, so a
+    conversation that comes back continues its numbers.
+    """
+
+    def grow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (conv_id,) = key
+        if state.exists:
+            next_seq, caller_s, victim_s, pending_s, last_ms = state.get
+            callers, victims, pending = json.loads(caller_s), json.loads(victim_s), json.loads(pending_s)
+        else:
+            next_seq, callers, victims, pending, last_ms = 0, [], [], {}, 0
+        rows: list[tuple] = []
+        text = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+        def say(seq: int, pair: list, gap: bool) -> None:
+            callers.append(pair[0])
+            victims.append(pair[1])
+            rows.append((f"{conv_id}_{seq}", conv_id, seq, text(callers), text(victims), gap))
+
+        def hand_over() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["prefix_id", "conv_id", "prefix_no", "caller", "victim", "gap"])
+            rows.clear()
+            return out
+
+        late: list[tuple[int, list]] = []
+        for pdf in batches:
+            for seq, c, v in zip(pdf["seq"], pdf["caller"], pdf["victim"]):
+                pair = [json.loads(c), json.loads(v)]
+                if int(seq) < next_seq:
+                    late.append((int(seq), pair))
+                else:
+                    pending[str(int(seq))] = pair
+            if len(pdf):
+                last_ms = max(last_ms, int(pd.to_datetime(pdf["event_ts"]).max().value // 1_000_000))
+        for seq, pair in sorted(late, key=lambda x: x[0]):
+            say(seq, pair, True)
+        flush = sorted(map(int, pending)) if state.hasTimedOut else []
+        while str(next_seq) in pending or flush:
+            gap = str(next_seq) not in pending
+            if gap:
+                flush = [s for s in flush if s > next_seq]
+                if not flush:
+                    break
+                next_seq = flush[0]
+            say(next_seq, pending.pop(str(next_seq)), gap)
+            next_seq += 1
+            if len(rows) >= ROWS_PER_YIELD:
+                yield hand_over()
+        state.update((int(next_seq), json.dumps(callers), json.dumps(victims), json.dumps(pending), int(last_ms)))
+        if idle_ms is not None and pending:
+            state.setTimeoutTimestamp(max(int(last_ms), int(state.getCurrentWatermarkMs())) + idle_ms)
+        if rows:
+            yield hand_over()
+
+    return grow
+
+
+def stream_running_transcript(pairs: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Growing transcript per conversation (X6), stream twin of the prefix
     expansion: every new pair re-emits both channels' lists so far.  The
-    channel values travel as JSON text so any list type fits the state."""
+    channel values travel as JSON text so any list type fits the state.
+
+    ``idle_ms`` (needs a watermark on ``event_ts``) limits how long pairs wait
+    for a missing one before them; by default they wait for it.
+    """
     packed = pairs.select("conv_id", "seq", "event_ts", F.to_json(F.col(CALLER)).alias("caller"), F.to_json(F.col(VICTIM)).alias("victim"))
-    return packed.groupBy("conv_id").applyInPandasWithState(
-        _grow, TRANSCRIPT_OUT, TRANSCRIPT_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    return packed.groupBy("conv_id").applyInPandasWithState(_grower(idle_ms), TRANSCRIPT_OUT, TRANSCRIPT_STATE, "append", timeout)
 
 
 def stream_score(messages: DataFrame, serving, model) -> DataFrame:
-    """Stateless serving features + MLlib model + verdict on a stream."""
-    from pyspark.ml.functions import vector_to_array
+    """Stateless serving features + MLlib model + verdict on a stream.
 
+    Models with a probability decide by it; models without one (a linear SVM)
+    by their own prediction, with a null confidence and their margin.
+    """
     scored = model.transform(serving.transform(messages))
-    prob = vector_to_array("probability")[1] if "probability" in scored.columns else F.lit(None).cast("double")
-    out = scored.withColumn("probability", prob)
-    prediction, verdict, confidence = ev.verdict("probability")
-    return out.select(
-        *[c for c in ("conv_id", "seq") if c in messages.columns],
-        prediction,
-        verdict,
-        confidence,
-        "probability",
-        ((F.col("prediction") == 1) & (F.col("probability") > F.lit(ev.ALERT_THRESHOLD))).alias("alert"),
-    )
+    return ev.decide(scored, [c for c in ("conv_id", "seq") if c in messages.columns])
+
+
+def stream_alerts(scored: DataFrame) -> DataFrame:
+    """The scored rows that raise an alert."""
+    return scored.where("alert")
 
 
 # --- sinks and lifecycle ----------------------------------------------------
 
 
-def audit_sink(output_path: str, audit_path: str):
+def audit_sink(output_path: str, audit_path: str, score: Callable[[DataFrame], DataFrame] | None = None):
     """foreachBatch handler: scored rows and one audit row per batch.
 
-    Both writes overwrite the ``batch_id=<n>`` folder, so a replayed batch
-    after a failure replaces its own output instead of duplicating it.  Empty
-    batches write nothing (P9).
+    ``score`` scores the batch first (external models, X3); without it the
+    batch is scored already.  The batch is kept while it is checked, written
+    and counted, so it runs once.  Both writes overwrite the ``batch_id=<n>``
+    folder, so a replayed batch after a failure replaces its own output instead
+    of duplicating it.  Empty batches write nothing (P9).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
-        stored = batch.sparkSession.read.parquet(f"{output_path}/batch_id={batch_id}")
-        audit = stored.agg(
-            F.lit(batch_id).cast("long").alias("batch_id"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum(F.when(F.col("prediction") == 1, 1).otherwise(0)).alias("n_scam"),
-            F.sum(F.when(F.col("alert"), 1).otherwise(0)).alias("n_alerts"),
-            F.max("probability").alias("max_probability"),
-        )
-        audit.write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
+        received = datetime.now(timezone.utc)
+        scored = (score(batch) if score else batch).persist()
+        try:
+            if scored.isEmpty():
+                return
+            scored.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+            audit = scored.agg(
+                F.lit(batch_id).cast("long").alias("batch_id"),
+                F.lit(received).alias("received_at"),
+                F.current_timestamp().alias("scored_at"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.sum(F.when(F.col("prediction") == 1, 1).otherwise(0)).alias("n_scam"),
+                F.sum(F.when(F.col("alert"), 1).otherwise(0)).alias("n_alerts"),
+                F.max("probability").alias("max_probability"),
+            )
+            audit.write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
+        finally:
+            scored.unpersist()
 
     return handle
 
 
+class ProgressLog(StreamingQueryListener):
+    """Keeps the latest progress reports of the session's queries (X7):
+    ``spark.streams.addListener(ProgressLog())``."""
+
+    def __init__(self, keep: int = 100):
+        self.reports: deque[dict] = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.reports.append({"name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def run_stream(df: DataFrame, name: str, sink_path: str | None = None, foreach_batch=None, available_now: bool = True, processing_time: str | None = None):
     """Start a query with a checkpoint under the shared checkpoint folder.
 
@@ -256,15 +339,33 @@ class ScoringConfig:
         return self
 
 
-def stream_score_external(predict_factory, output_path: str, width: int = 400):
-    """foreachBatch handler scoring with an external model (X3): features stay
-    on the executors, scored in Arrow batches; nothing is collected."""
+def external_scorer(predict_factory, width: int = 400) -> Callable[[DataFrame], DataFrame]:
+    """Batch scorer for a model outside MLlib (X3): features stay on the
+    executors and are scored in Arrow batches; nothing is collected."""
     from parley.operators.score import score_with_model, with_verdict
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+    def score(batch: DataFrame) -> DataFrame:
         scored = with_verdict(score_with_model(batch, predict_factory, input_col="features_array", width=width))
-        scored.drop("features_array").write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+        return scored.drop("features_array").withColumn("alert", ev.is_alert())
 
-    return handle
+    return score
+
+
+def start_scoring(config: ScoringConfig, messages: DataFrame, serving, name: str, output_path: str, audit_path: str, model=None, predict_factory=None):
+    """Start the scoring path that ``config`` chooses, both with the audit sink.
+
+    ``mllib`` scores in the stream with ``model``; ``external`` computes the
+    serving features in the stream and scores each batch with
+    ``predict_factory``.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    config.validate()
+    if config.path == "mllib":
+        if model is None:
+            raise ValueError("the mllib path needs a model")
+        return run_stream(stream_score(messages, serving, model), name, foreach_batch=audit_sink(output_path, audit_path))
+    if predict_factory is None:
+        raise ValueError("the external path needs a predict factory")
+    features = serving.transform(messages).select("conv_id", "seq", vector_to_array("combined_features").alias("features_array"))
+    return run_stream(features, name, foreach_batch=audit_sink(output_path, audit_path, external_scorer(predict_factory)))

@@ -4,6 +4,14 @@ the column-expression version."""
 from __future__ import annotations
 
 
+# The paper's rules, written out here a second time so that a
+# wrong or missing rule in the module shows.
+STEP2 = [r.split(" ") for r in """ational ate,tional tion,enci ence,anci ance,izer ize,abli able,alli al,entli ent,eli e,ousli ous,ization ize,\
+ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble""".split(",")]
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
 def _is_cons(w: str, i: int) -> bool:
     ch = w[i]
     if ch in "aeiou":
@@ -45,8 +53,6 @@ def _longest(w: str, rules):
 
 
 def stem(word: str) -> str:
-    from parley.functions.porter import STEP2, STEP3, STEP4
-
     if len(word) <= 2:
         return word
     w = word

@@ -62,12 +62,21 @@ def test_mllib_pipeline_width_and_serving(spark):
 
 
 def test_vocabulary_ties_unknown_and_limit(spark):
-    tokens = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "token string")
-    vocab = sq.vocabulary(sq.word_counts(tokens), num_words=3)
-    assert [tuple(r) for r in vocab.orderBy("idx").collect()] == [("c", 2, 1), ("a", 1, 2)]
-    pairs = _pairs(spark, [("d", 0, ["c", "zzz", "a", "b"], [])])
-    enc = sq.encode_sequences(pairs, vocab).first()
-    assert enc["caller"] == [1, 2] and enc["victim"] == []
+    words = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "token string")
+    vocab = sq.vocabulary(sq.word_counts(words))
+    assert [tuple(r) for r in vocab.orderBy("idx").collect()] == [("c", 2, 1), ("a", 1, 2), ("b", 1, 3)]
+    lists = spark.createDataFrame([("d", [["c", "zzz"], [], ["a", "b"]], []), ("e", [], [])], "conv_id string, caller array<array<string>>, victim array<array<string>>")
+    tokens = ft.channel_list_tokens(lists)
+    enc = {r["conv_id"]: r for r in sq.encode_sequences(tokens, lists.select("conv_id"), vocab, chunk=1).collect()}
+    assert enc["d"]["caller"] == [1, 2, 3] and enc["d"]["victim"] == [] and enc["e"]["caller"] == []
+    assert sq.encode_sequences(tokens, lists.select("conv_id"), vocab, num_words=3).where("conv_id = 'd'").first()["caller"] == [1, 2]
+
+
+def test_vocabulary_rank_over_many_partitions(spark):
+    counts = spark.range(5000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"), (F.col("id") % 97).alias("cnt")).repartition(13)
+    got = [(r["token"], r["idx"]) for r in sq.vocabulary(counts).collect()]
+    want = sorted(((f"w{i}", i % 97) for i in range(5000)), key=lambda x: (-x[1], x[0]))
+    assert sorted(got, key=lambda x: x[1]) == [(t, i) for i, (t, _) in enumerate(want, 1)]
 
 
 def test_metrics_and_one_class_confusion(spark):
@@ -130,11 +139,38 @@ def test_external_scoring_equals_mllib(spark):
     lr = tr.train("logistic_regression", data.where("split = 'train'"))
     ml = {r["conv_id"]: r["probability"] for r in sc.score(lr, data).collect()}
     make = _logistic_predictor(lr.coefficients.toArray().tolist(), float(lr.intercept))
-    ext = {r["conv_id"]: r["probability"] for r in sc.score_with_model(data, make).collect()}
+    arrays = data.withColumn("features_array", vector_to_array(tr.FEATURES))
+    ext = {r["conv_id"]: r["probability"] for r in sc.score_with_model(arrays, make).collect()}
     assert ml.keys() == ext.keys()
     assert all(math.isclose(ml[k], ext[k], rel_tol=1e-9, abs_tol=1e-12) for k in ml)
 
 
+def test_searches_report_every_grid_point(spark):
+    """A tiny search of each kind: one row per grid point, the best one marked."""
+    rows = [(f"c{i}", i % 2, [float(i % 2), float(i % 3)]) for i in range(80)]
+    from pyspark.ml.functions import array_to_vector
+
+    data = spark.createDataFrame(rows, "conv_id string, label int, x array<double>").select("conv_id", "label", array_to_vector("x").alias(tr.FEATURES))
+    data = tr.with_folds(data)
+    grids = {
+        "logistic_regression": {"maxIter": [2, 5], "regParam": [0.01]},
+        "random_forest": {"numTrees": [2, 3], "maxDepth": [2], "maxBins": [8]},
+        "gbt": {"maxDepth": [1], "stepSize": [0.1, 0.3], "maxIter": [2]},
+        "linear_svc": {"regParam": [0.1, 0.01], "maxIter": [5]},
+    }
+    for kind, grid in grids.items():
+        report = ev.grid_report(spark, tr.cross_validate(kind, data, grid=grid)).collect()
+        assert len(report) == 2 and sum(r["is_best"] for r in report) == 1 and report[0]["is_best"], kind
+    assert [len(tr.param_grid(tr.estimator(k), g)) for k, g in tr.REFERENCE_GRIDS.items()] == [48, 80, 36, 16]
+    shapes = tr.tune_mlp(data, hidden=((3, 2, 2), (4, 2, 2)), n_features=2, max_iter=5)
+    assert len(shapes) == 2 and shapes[0][1] <= shapes[1][1]
+
+
+def test_misclassified_default_columns(spark):
+    scored = spark.createDataFrame([("a", 1, 0, 0.1), ("b", 1, 1, 0.9)], "conv_id string, label int, prediction int, probability double")
+    assert [tuple(r) for r in ev.misclassified(scored).collect()] == [("a", 1, 0, 0.1)]
+
+
 def test_vocabulary_write_read(spark, scratch):
     from parley.sources import io
 

@@ -39,9 +39,9 @@ def test_porter_matches_reference_on_word_list(spark):
 
 
 def test_porter_matches_reference_on_corpus_vocabulary(spark):
-    from parley.plans.normalize import document_tokens
+    from parley.plans.normalize import all_tokens
 
-    stems = nz.stem_vocabulary(document_tokens(spark, SF01)).select("token", "stem").collect()
+    stems = nz.stem_vocabulary(all_tokens(spark, SF01)).select("token", "stem").collect()
     assert len(stems) > 1000
     bad = [(t, s, ref_stem(t)) for t, s in stems if s != ref_stem(t)]
     assert bad == []
@@ -57,16 +57,26 @@ def test_stopwords_case_insensitive_and_language_scoped(spark):
 
 
 def test_language_vote_accuracy_and_ties(spark):
-    from parley.plans.normalize import document_tokens
+    from parley.plans.normalize import all_documents
 
-    detected = nz.detect_language(document_tokens(spark, SF01), nz.stop_word_table(spark))
+    detected = nz.detect_language(all_documents(spark, SF01))
     truth = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").cast("string").alias("conv_id"), F.col("lang").alias("truth"))
     joined = detected.join(truth, "conv_id")
     acc = joined.select(F.avg((F.col("lang") == F.col("truth")).cast("double"))).first()[0]
     assert acc > 0.9
-    tie = spark.createDataFrame([("x", "the"), ("x", "le"), ("y", "zzz")], "conv_id string, token string")
-    got = dict((r[0], r[1]) for r in nz.detect_language(tie, nz.stop_word_table(spark)).collect())
-    assert got == {"x": "unknown", "y": "unknown"}
+    tie = spark.createDataFrame([("x", ["the", "le"]), ("y", ["zzz"]), ("z", []), ("w", ["the", "and", "le"])], "conv_id string, tokens array<string>")
+    want = {"x": "unknown", "y": "unknown", "z": "unknown", "w": "en"}
+    assert dict((r[0], r[1]) for r in nz.detect_language(tie).collect()) == want
+    assert dict(tuple(r) for r in tie.select("conv_id", nz.language_vote("tokens")[0]).collect()) == want
+
+
+def test_stems_in_the_row_equal_the_vocabulary_stems(spark):
+    from parley.functions import porter
+
+    df = spark.createDataFrame([(PAPER_WORDS, "en"), (["running"], "fr"), ([], "en")], "tokens array<string>, lang string")
+    got = [r[0] for r in df.select(nz.normalize_list("tokens", "lang")).collect()]
+    assert got == [[ref_stem(w) for w in PAPER_WORDS], ["running"], []]
+    assert porter.STEPS
 
 
 def test_stop_word_lists_loaded():

@@ -16,7 +16,7 @@ from tests.conftest import SF001
 def test_stream_pairs_equal_batch_and_restart_is_idempotent(spark, scratch):
     turns = conversation_turns(spark, SF001)
     jobs.write_channel_messages(turns, f"{scratch}/in")
-    pairs = jobs.stream_pair_turns(jobs.read_channel_stream(spark, f"{scratch}/in", "caller"), jobs.read_channel_stream(spark, f"{scratch}/in", "victim"))
+    pairs = jobs.split_unpaired(jobs.stream_pair_turns(jobs.read_channel_stream(spark, f"{scratch}/in", "caller"), jobs.read_channel_stream(spark, f"{scratch}/in", "victim")))[0]
     name = f"test_pairs_{uuid.uuid4().hex[:8]}"
     q = jobs.run_stream(pairs, name, sink_path=f"{scratch}/out")
     q.awaitTermination()
@@ -58,10 +58,10 @@ def test_external_stream_scoring_equals_mllib_stream_scoring(spark):
 
 
 def test_audit_rows_match_scored_output(spark):
-    from parley.plans.streams import _fitted_scorer, _message_stream, _workdir
+    from parley.plans.streams import _message_stream, _served, _workdir
 
-    serving, model = _fitted_scorer(spark, SF001)
     root = _workdir(spark, "audit_test")
+    serving, model = _served(spark, SF001, root)
     scored = jobs.stream_score(_message_stream(spark, SF001, root), serving, model)
     jobs.run_stream(scored, name=root.rsplit("/", 1)[-1], foreach_batch=jobs.audit_sink(f"{root}/scored", f"{root}/audit")).awaitTermination()
     out = spark.read.parquet(f"{root}/scored")
@@ -86,3 +86,110 @@ def test_malformed_messages_are_kept_and_counted(spark, scratch):
     jobs.run_stream(bad, f"{name}_bad", sink_path=f"{scratch}/bad").awaitTermination()
     assert spark.read.parquet(f"{scratch}/good").count() == 2
     assert [r[jobs.CORRUPT] for r in spark.read.parquet(f"{scratch}/bad").collect()] == ["not json"]
+
+
+def _said(spark, scratch, rows):
+    """Turns ``(turn, channel)`` of one conversation as two channel streams."""
+    turns = spark.createDataFrame([("a", t, ch, f"{ch}{t}") for t, ch in rows], "conv_id string, turn long, channel string, text string")
+    jobs.write_channel_messages(turns, f"{scratch}/in")
+    return turns, [jobs.read_channel_stream(spark, f"{scratch}/in", ch) for ch in ("caller", "victim")]
+
+
+def test_one_sided_talk_loses_no_pair(spark, scratch):
+    """All caller turns long before all victim turns: batch and stream agree."""
+    turns, (caller, victim) = _said(spark, scratch, [(t, "caller") for t in range(200)] + [(t, "victim") for t in range(200, 400)])
+    pairs, _ = jobs.split_unpaired(jobs.stream_pair_turns(caller, victim))
+    jobs.run_stream(pairs, f"one_sided_{uuid.uuid4().hex[:8]}", sink_path=f"{scratch}/out").awaitTermination()
+    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{scratch}/out").select("seq", "caller", "victim").collect())
+    assert streamed == sorted(tuple(r) for r in asm.pair_turns(turns).select("seq", "caller", "victim").collect()) and len(streamed) == 200
+
+
+def test_bounded_pairing_rejects_instead_of_dropping(spark, scratch):
+    """With a bound, far partners come out as rejects once the watermark passed."""
+    _, (caller, victim) = _said(spark, scratch, [(0, "caller"), (1, "victim"), (2, "caller"), (4000, "victim"), (8000, "caller"), (8001, "victim"), (16000, "caller"), (16001, "victim")])
+    joined = jobs.stream_pair_turns(caller, victim, bound="10 minutes")
+    name = f"bounded_{uuid.uuid4().hex[:8]}"
+    jobs.run_stream(joined, name, sink_path=f"{scratch}/out").awaitTermination()
+    out = spark.read.parquet(f"{scratch}/out")
+    good, bad = jobs.split_unpaired(out)
+    assert sorted(r["seq"] for r in good.collect()) == [0, 2, 3]
+    assert sorted((r["seq"], r["has_caller"]) for r in bad.collect()) == [(1, False), (1, True)]
+
+
+class _State:
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def _pairs(*seqs):
+    import json
+
+    import pandas as pd
+
+    return pd.DataFrame({"seq": seqs, "event_ts": pd.to_datetime([1_700_000_000 + s for s in seqs], unit="s"), "caller": [json.dumps(f"c{s}") for s in seqs], "victim": [json.dumps(f"v{s}") for s in seqs]})
+
+
+def test_transcript_gap_idle_and_return():
+    """A gap waits; the idle limit emits what waits, marked; a late pair is
+    emitted, marked; a conversation that returns goes on with its numbers."""
+    grow, state = jobs._grower(1000), _State()
+
+    def feed(*seqs):
+        frames = list(grow(("a",), iter([_pairs(*seqs)] if seqs else []), state))
+        return [(int(n), bool(g), c.count(",") + 1) for f in frames for n, g, c in zip(f["prefix_no"], f["gap"], f["caller"])]
+
+    assert feed(0, 2, 3) == [(0, False, 1)] and state.timeout is not None
+    state.hasTimedOut = True
+    assert feed() == [(2, True, 2), (3, False, 3)]
+    state.hasTimedOut = False
+    assert feed(1) == [(1, True, 4)]
+    assert feed(4, 5) == [(4, False, 5), (5, False, 6)]
+    waits, patient = _State(), jobs._grower(None)
+    assert list(patient(("a",), iter([_pairs(1, 2)]), waits)) == [] and waits.timeout is None
+    assert sum(len(f) for f in patient(("a",), iter([_pairs(*([0] + list(range(3, 200))))]), waits)) == 200
+
+
+def test_stream_verdicts_equal_batch_verdicts_for_every_model(spark, scratch):
+    """Every kind decides in the stream as its own predictions do, the SVM too."""
+    from pyspark.ml import PipelineModel
+
+    from parley.operators import features as ft
+    from parley.operators import train as tr
+
+    rows = [(f"c{i}", i, ["win", "prize", "call"] if i % 2 else ["hello", "mum"], ["yes"] * (1 + i % 3), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "conv_id string, seq long, caller array<string>, victim array<string>, label int")
+    fitted = ft.feature_model(flatten=False).fit(docs)
+    data = fitted.transform(docs).cache()
+    small = {"logistic_regression": {}, "random_forest": {"numTrees": 5, "maxDepth": 3}, "gbt": {"maxIter": 3}, "linear_svc": {"maxIter": 20}, "mlp": {"layers": [400, 4, 2], "maxIter": 20}}
+    docs.drop("label").write.json(f"{scratch}/msgs")
+    for kind, params in small.items():
+        model = tr.train(kind, data, **params)
+        serving = PipelineModel(stages=ft.serving_model(fitted).stages)
+        stream = spark.readStream.schema(docs.drop("label").schema).json(f"{scratch}/msgs")
+        config = jobs.ScoringConfig(kind)
+        jobs.start_scoring(config, stream, serving, f"{kind}_{uuid.uuid4().hex[:8]}", f"{scratch}/{kind}/out", f"{scratch}/{kind}/audit", model=model).awaitTermination()
+        out = {r["conv_id"]: r for r in spark.read.parquet(f"{scratch}/{kind}/out").collect()}
+        want = {r["conv_id"]: int(r["prediction"]) for r in model.transform(data).collect()}
+        assert {k: r["prediction"] for k, r in out.items()} == want and 1 in want.values(), kind
+        assert all((r["verdict"] == "scam") == (r["prediction"] == 1) for r in out.values())
+        assert all((r["probability"] is None) == (kind == "linear_svc") for r in out.values())
+        assert spark.read.parquet(f"{scratch}/{kind}/audit").first()["received_at"] is not None
+
+
+def test_kafka_shaped_messages_keep_malformed(spark):
+    raw = spark.createDataFrame([(b'{"conv_id": "a", "seq": 1, "Attacker_Helper": ["x"], "Victim": []}',), (b"not json",), (None,)], "value binary")
+    got = jobs.parse_messages(raw, keep_malformed=True).collect()
+    assert [(r["conv_id"], r[jobs.CORRUPT]) for r in got] == [("a", None), (None, "not json"), (None, None)]
+    assert jobs.parse_messages(raw).columns == [f.name for f in jobs.MESSAGE.fields]

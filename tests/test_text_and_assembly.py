@@ -46,9 +46,10 @@ def test_parse_nested_list_with_none(spark):
 
 
 def test_pad_sequences(spark):
-    df = spark.createDataFrame([([5],), ([1, 2, 3, 4],)], "x array<int>")
-    got = [r["r"] for r in df.select(tx.pad_sequences("x", 3).alias("r")).collect()]
-    assert got == [[0, 0, 5], [2, 3, 4]]
+    from parley.operators import sequences as sq
+
+    df = spark.createDataFrame([("d", [5], [1, 2, 3, 4])], "conv_id string, caller array<int>, victim array<int>")
+    assert sq.padded_sequences(df, 3).first()["ids"] == [0, 0, 5, 2, 3, 4]
 
 
 def _turns(spark, rows):
@@ -171,6 +172,83 @@ def test_document_line_pairs_equal_generic_pairing(spark):
     assert fast == generic and len(fast) > 0
 
 
+def test_assembly_keeps_whole_texts(spark):
+    """No line is lost to an unequal or one-sided conversation."""
+    from parley.sources.tables import document_channels, labelled_documents
+    from tests.conftest import SF01
+
+    docs = document_channels(spark, SF01).select("conv_id", (F.size("caller") + F.size("victim")).alias("n"))
+    lines = labelled_documents(spark, SF01).select(F.col("doc_id").cast("string").alias("conv_id"), F.size(F.split("text", "\n")).alias("want"))
+    joined = docs.join(lines, "conv_id")
+    assert joined.count() == lines.count() and joined.where("n <> want").count() == 0
+    turns = spark.createDataFrame([("a", t, "caller", f"x{t}") for t in range(5)] + [("a", 9, "victim", "y"), ("b", 0, "victim", "z")], "conv_id string, turn long, channel string, text string")
+    got = {r["conv_id"]: (r["caller"], r["victim"]) for r in asm.assemble_conversations(turns, chunk=2).collect()}
+    assert got == {"a": ([f"x{t}" for t in range(5)], ["y"]), "b": ([], ["z"])}
+
+
+def test_line_pairing_is_linear(spark):
+    """Twice the lines take about twice the time, not four times."""
+    import time
+
+    from parley.sources import tables
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "line of text\n" * n)], "doc_id long, text string").cache()
+        df.count()
+        lines = F.split("text", "\n")
+        channels = df.select(F.filter(lines, lambda x, i: i % 2 == 0).alias("caller"), F.filter(lines, lambda x, i: i % 2 == 1).alias("victim"))
+        best = 1e9
+        for _ in range(3):
+            t = time.perf_counter()
+            channels.select(F.posexplode(F.arrays_zip("caller", "victim"))).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert tables.document_line_pairs
+    seconds(20_000)
+    assert seconds(80_000) < 3.2 * seconds(40_000) + 0.2
+
+
+def test_hot_lists_are_chunked_and_exact(spark):
+    """One conversation holds everything: prefixes, transcripts and lists equal
+    the single-window results and are made in several tasks."""
+    from parley.sources.tables import conversation_turns
+    from tests.conftest import SF01
+
+    hot = conversation_turns(spark, SF01).select(
+        F.lit("hot").alias("conv_id"), (F.col("conv_id").cast("long") * 100 + F.col("turn")).alias("turn"), "channel", "text"
+    )
+    pairs = asm.pair_turns(hot).cache()
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        prefixes = asm.conversation_prefixes(pairs, chunk=16)
+        got = {r["prefix_no"]: (r["caller"], r["victim"]) for r in prefixes.collect()}
+        ordered = [(r["caller"], r["victim"]) for r in pairs.orderBy("seq").collect()]
+        assert len(got) == len(ordered) > 200
+        for k in (0, 15, 16, 17, 100, len(ordered) - 1):
+            assert got[k] == ([c for c, _ in ordered[: k + 1]], [v for _, v in ordered[: k + 1]])
+        tasks = prefixes.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.size("caller"))).count()
+        assert tasks > 1
+        lists = asm.assemble_conversations(hot, chunk=16).first()
+        for ch in ("caller", "victim"):
+            assert lists[ch] == [r["text"] for r in hot.where(F.col("channel") == ch).orderBy("turn").collect()]
+        said = {(r["channel"], r["turn"]): r["transcript"] for r in asm.running_transcript(hot, chunk=16).collect()}
+        for (ch, _), t in said.items():
+            assert t == lists[ch][: len(t)]
+        assert max(map(len, said.values())) == max(len(lists["caller"]), len(lists["victim"]))
+    finally:
+        spark.conf.set(key, before)
+        pairs.unpersist()
+
+
+def test_text_labels(spark):
+    valid, rejects, counts = ingest.cast_labels(spark.createDataFrame([("1",), ("x",), (None,), ("0",)], "raw_label string"))
+    assert sorted(r["label"] for r in valid.collect()) == [0, 1] and rejects.count() == 2
+    assert tuple(counts.first()) == (2, 2)
+
+
 def test_read_csv_with_fixed_schema_and_multiline_cells(spark, scratch):
     from parley.sources import io
 
