@@ -191,19 +191,21 @@ def lookup_conversation(
     """
     src = df if value is None else df.where(F.col(key) == F.lit(value))
     others = [c for c in df.columns if c not in (key, *list_columns, *exclude)]
-    aggs = [F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("_o"), F.col(c).alias("v")))).alias(f"_l_{c}") for c in list_columns]
-    aggs += [F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"_s_{c}") for c in others]
-    grouped = src.groupBy(key).agg(*aggs)
-    cols = [F.col(key)]
-    cols += [F.transform(f"_l_{c}", lambda x: x["v"]).alias(c) for c in list_columns]
-    cols += [
-        F.struct(
-            F.when(F.size(f"_s_{c}") == 1, F.col(f"_s_{c}")[0]).alias("scalar"),
-            F.when(F.size(f"_s_{c}") != 1, F.col(f"_s_{c}")).alias("values"),
-        ).alias(c)
-        for c in others
-    ]
-    return grouped.select(*cols)
+    out = src.groupBy(key).agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"_s_{c}") for c in others])
+    for c in list_columns:
+        # Sorted chunk by chunk, so a hot key's rows are not sorted in one task.
+        out = out.join(ordered_lists(src, [key], order_by, c).withColumnRenamed("values", f"_l_{c}"), key)
+    return out.select(
+        F.col(key),
+        *[F.col(f"_l_{c}").alias(c) for c in list_columns],
+        *[
+            F.struct(
+                F.when(F.size(f"_s_{c}") == 1, F.col(f"_s_{c}")[0]).alias("scalar"),
+                F.when(F.size(f"_s_{c}") != 1, F.col(f"_s_{c}")).alias("values"),
+            ).alias(c)
+            for c in others
+        ],
+    )
 
 
 def fetch_prefix(prefixes: DataFrame, prefix_id: str, columns: Sequence[str] = ("prefix_id", "caller", "victim")) -> DataFrame:

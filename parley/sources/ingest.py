@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.assemble import ordered_lists
 from parley.schemas import RESPONSE
 
 # Fixed values of the labelling contract.
@@ -111,10 +112,10 @@ def render_response(pairs: DataFrame, label_col: str = "label") -> DataFrame:
             F.col("victim").alias("Victim"),
         ).alias("value"),
     )
-    grouped = pairs.groupBy("conv_id", label_col).agg(F.array_sort(F.collect_list(F.struct(F.col("seq"), entry.alias("e")))).alias("_e"))
+    grouped = ordered_lists(pairs.withColumn("_entry", entry), ["conv_id", label_col], "seq", "_entry")
     return grouped.select(
         "conv_id",
-        F.to_json(F.map_from_entries(F.transform("_e", lambda x: x["e"]))).alias("response"),
+        F.to_json(F.map_from_entries("values")).alias("response"),
         F.when(F.col(label_col) == 1, F.lit(SCAM_TYPE)).otherwise(F.lit(NORMAL_TYPE)).alias("conversation_type"),
     )
 

@@ -103,7 +103,9 @@ def write_channel_messages(turns: DataFrame, folder: str, value: str = "text") -
 
 
 def read_channel_stream(spark: SparkSession, folder: str, channel: str) -> DataFrame:
-    return read_message_stream(spark, f"{folder}/channel={channel}", schema=CHANNEL_MESSAGE)
+    """One channel's messages that parse (``read_message_stream`` with
+    ``keep_malformed`` and ``split_malformed`` also gives the others)."""
+    return split_malformed(read_message_stream(spark, f"{folder}/channel={channel}", schema=CHANNEL_MESSAGE, keep_malformed=True))[0]
 
 
 # --- operators --------------------------------------------------------------
