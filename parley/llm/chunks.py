@@ -9,8 +9,10 @@ a repeat, and neighbouring repeats of one document join to a passage.  A
 passage is reported from ``min_words`` words on, so a phrase that recurs by
 chance is left alone.
 
-Chunks average about 50 bytes: a repeated passage of 50 words holds several
-whole ones wherever it starts.  A chunk that occurs in a third of all
+Chunks average about 45 bytes and never exceed 72, so a repeated passage of 50
+words holds several whole ones wherever it starts: after its first boundary
+natural and forced ends fall alike in every copy.  A repeat inside one
+document is reported as well, with that document as the first place.  A chunk that occurs in a third of all
 documents is pre-aggregated to its first place before the join back.
 
 Edge cases: null and empty texts have no chunks; repeated rows of one id are
@@ -32,8 +34,8 @@ from parley.llm.common import cut
 
 MASK_BITS = 5
 LEAST = 20
-MOST = 512
-MIN_WORDS = 10
+MOST = 72
+MIN_WORDS = 15
 WINDOW = 32
 PIECE = 1 << 20
 

@@ -66,7 +66,7 @@ def _shingle_hashes(words: str, k: str) -> Column:
     return F.expr(_SHINGLES.format(words=words, k=k))
 
 
-def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """``doc_id, w, starts``: per document and item length the first words of
     all windows that hold enough item shingles."""
     lengths = [r.k for r in items.select("k").distinct().collect()]  # at most `shingle` values
@@ -78,7 +78,7 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = tokens.select("doc_id", F.size("words").alias("n_words"), F.explode(every).alias("s")).select("doc_id", "n_words", "s.*").join(index, ["k", "h"])
     by_doc = found.groupBy("doc_id", "n_words", "w", "k", "n", "need").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     # Every run of `need` hits that fits into one window, and the windows around it.
-    whole = F.expr("if(size(p) >= need * (n_words - k + 1 + n) / (2 * n) - 1e-9, array(1), array())")
+    whole = F.expr(f"if(size(p) >= {threshold}D * (n_words - k + 1 + n) / (1 + {threshold}D) - 1e-9D, array(1), array())")
     runs = F.expr(
         "if(size(p) >= need, array_distinct(flatten(transform(filter(sequence(0, size(p) - need), j -> p[j + need - 1] - p[j] < n),"
         " j -> sequence(greatest(1, p[j + need - 1] - n + 1), least(p[j], n_words - w + 1))))), array())"
@@ -114,7 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     and benchmark item that share a passage."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
     items = cut(_items(benchmark.select("item_id", "text"), shingle, threshold))
-    hits = cut(_hits(docs, items))
+    hits = cut(_hits(docs, items, threshold))
     size = hits.agg(F.coalesce(F.sum(32 + 4 * F.size("starts")), F.lit(0))).first()[0]
     side = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
     side = side.select(F.col("doc_id").alias("_id"), "w", "k", "starts")

@@ -6,11 +6,13 @@ and the gaps between neighbouring anchors are aligned the same way (equal ends
 are matched first).  A gap without anchors is matched by its longest common
 subsequence.  Coverage is the share of the template's words that are matched.
 
-A long text is scanned in overlapping windows of twice the template's length,
+A long text is scanned in windows of three template lengths, one length apart,
 so a word counts as unique within a window and a second copy of a license does
-not hide the first.  Windows that do not hold enough template words to reach
-the coverage are skipped; that loses nothing, as a match needs those words.
-Of overlapping finds the best covered one stays.
+not hide the first; every stretch of up to two lengths (``density`` allows no
+longer match) lies in some window.  Windows that do not hold enough template
+words to reach the coverage are skipped; that loses nothing, as a match needs
+those words.  A find is aligned once more from its end, which moves its start
+behind stray words.  Of overlapping finds the best covered one stays.
 
 Edge cases: null, empty and word-less texts and templates match nothing; ties
 in coverage go to the denser, then the earlier find; repeated rows each give
@@ -137,6 +139,19 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def tightest(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """``(matched, first, end)`` of the alignment, with the later start that an
+    alignment from the end finds if it matches as much."""
+    pairs = align(a, b)
+    if not pairs:
+        return 0, 0, 0
+    first, end = pairs[0][1], pairs[-1][1] + 1
+    back = align(a[::-1], b[first:end][::-1])
+    if len(back) >= len(pairs):
+        return len(back), end - 1 - back[-1][1], end - back[0][1]
+    return len(pairs), first, end
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, density: float):
         self.templates = [(n, w) for n, w in ((n, words(t)) for n, t in sorted(templates.items())) if w]
@@ -158,17 +173,19 @@ class Scanner:
                 array = np.array([ids.get(w, -1) for w in tokens], np.int64)
             own = np.unique([ids[w] for w in template])
             upto = np.concatenate(([0], np.cumsum(np.isin(array, own))))
-            width, step = 2 * len(template), max(1, len(template) // 2)
+            width, step = 3 * len(template), len(template)
             starts = np.arange(0, max(1, len(tokens) - width + step), step)
             held = upto[np.minimum(starts + width, len(tokens))] - upto[starts]
             ranked = []
-            for at in starts[held >= need].tolist():
-                pairs = align(template, tokens[at : at + width])
-                if len(pairs) < need:
+            parts = [(at, min(at + width, len(tokens))) for at in starts[held >= need].tolist()]
+            while parts:
+                lo, hi = parts.pop()
+                if upto[hi] - upto[lo] < need:
                     continue
-                first, last = at + pairs[0][1], at + pairs[-1][1] + 1
-                if len(pairs) >= self.density * (last - first):
-                    ranked.append((-len(pairs), last - first, first, last))
+                matched, first, last = tightest(template, tokens[lo:hi])
+                if matched >= need and matched >= self.density * (last - first):
+                    ranked.append((-matched, last - first, lo + first, lo + last))
+                    parts += [(lo, lo + first), (lo + last, hi)]  # further copies in the same window
             taken: list[tuple[int, int]] = []
             for matched, _, first, last in sorted(set(ranked)):
                 if all(last <= s or first >= e for s, e in taken):

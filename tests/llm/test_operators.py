@@ -163,6 +163,9 @@ def test_decontamination_equals_brute_force(spark):
             at = rng.randint(0, len(words))
             words[at:at] = [p.upper() + "," for p in passage]
         docs.append((i, " ".join(words)))
+    # Documents shorter than an item are one window.
+    docs += [(200 + i, " ".join(items[6][1].split()[i % 4 : 60 - i])) for i in range(16)]
+    docs += [(220 + i, " ".join(items[3][1].split()[: 20 - i])) for i in range(6)]
     docs += [(100, None), (101, ""), (102, "la " * 500), (103, items[4][1]), (103, items[4][1]), (104, items[6][1].rsplit(" ", 2)[0])]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("item_id", F.lit("x"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(5))
@@ -422,13 +425,28 @@ def test_repeated_passages(spark):
     text = {i: t for i, t, _ in rows}
     for r in got:
         piece = text[r.doc_id].encode()[r.start_byte : r.end_byte].decode()
-        assert piece in text[100] and r.words >= 10
+        assert piece in text[100] and r.words >= 15
     left = {r.doc_id: r.text for r in chunks.without_repeats(frame).collect()}
     assert all(left[i] == text[i] for i in range(40)) and all(len(left[i]) < len(text[i]) - 150 for i in range(101, 130)) and left[100] == text[100]
     assert chunks.repeated_passages(docs_frame(spark, [])).count() == 0
     assert chunks.repeated_passages(docs_frame(spark, [r for r in EDGE if r[0] == 7])).count() == 0
 
 
+def test_long_repeats_are_caught_on_the_corpus(spark):
+    """Documents that repeat a passage of over 50 words of an earlier document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first, later, tens, shared = {}, set(), {}, set()
+    for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id):
+        w = (r.text or "").split()
+        for k, seen, out in ((51, first, later), (8, tens, shared)):
+            grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+            if len(set(grams)) < len(grams) or any([seen.setdefault(g, r.doc_id) != r.doc_id for g in grams]):
+                out.add(r.doc_id)
+    flagged = {r.doc_id for r in chunks.repeated_passages(docs).collect()}
+    assert len(later - flagged) <= 0.01 * len(later)
+    assert flagged <= shared  # documents that share nothing are left alone
+
+
 # -- 7 licenses ------------------------------------------------------------------------------
 
 
@@ -453,6 +471,19 @@ def test_patience_alignment_is_a_common_subsequence():
     assert licenses.align(list("abc"), list("abc")) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_license_matches_are_tight():
+    a = "licensed under the mit license".split()
+    assert licenses.tightest(a, "the under work the x y licensed under the mit license z the".split()) == (5, 6, 11)
+    assert licenses.tightest(a, "nothing here".split()) == (0, 0, 0)
+    rng = random.Random(3)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, 0.5)
+    for name, text in licenses.TEMPLATES.items():
+        for _ in range(5):
+            noise = [rng.choice(["the", "of", "under", "license", "software", "x", "y", "is"]) for _ in range(rng.randint(0, 120))]
+            found = scanner.scan(" ".join(noise) + " " + text + " " + " ".join(noise[:30]))
+            assert any(f[0] == name and f[1] == 1.0 for f in found), name
+
+
 def test_license_scan(spark):
     rng = random.Random(9)
     noise = lambda n: " ".join(rng.choice(["the", "of", "under", "this", "work", "is", "lorem", "ipsum", "dolor"]) for _ in range(n))
