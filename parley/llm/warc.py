@@ -8,8 +8,11 @@ each record (version line, fields, block length, record end, block and payload
 digest); what fails comes back with its error instead of being dropped.
 
 Archives are written by the tasks straight into the shared folder, under a
-temporary name first, so a repeated or lost task leaves no half archive.  An
-archive closes after ``archive_bytes``, which bounds what a reading task holds.
+temporary name first, so a lost task leaves no half archive, and every attempt
+of a task has names of its own.  ``write_archives`` returns the names of the
+attempts that counted; given that manifest, ``read_archives`` leaves out
+archives of attempts that were lost.  An archive closes after
+``archive_bytes``, which bounds what a reading task holds.
 
 Equal payloads of at least ``min_revisit`` bytes are stored once: the record
 with the largest id is the response and the others are revisits.  The groups
@@ -95,7 +98,8 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``records(page_id, url, html, refers_to)``; returns ``path, records``."""
+    """Write ``records(page_id, url, html, refers_to)``; returns the manifest
+    ``name, records`` of the archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -105,7 +109,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         paths, counts = [], []
 
         def name(temporary: bool) -> str:
-            return f"{root}/.tmp-{attempt}-{number:05d}" if temporary else f"{root}/{task.partitionId():06d}-{number:05d}.warc.zst"
+            return f"{root}/.tmp-{attempt}-{number:05d}" if temporary else f"{root}/{attempt}-{number:05d}.warc.zst"
 
         def start() -> None:
             nonlocal sink, box
@@ -124,7 +128,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             if sink is not None:
                 sink.close()
                 fs.move(name(True), name(False))
-                paths.append(name(False))
+                paths.append(name(False).rpartition("/")[2])
                 counts.append(count)
                 number, sink, size, count = number + 1, None, 0, 0
 
@@ -141,12 +145,12 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 if size >= archive_bytes:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["name", "records"])
 
     spark = records.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    return cut(records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"))
+    return cut(records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, records long"))
 
 
 def frames(data: bytes) -> Iterator[bytes]:
@@ -215,8 +219,9 @@ _RECORD = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(),
 BATCH_BYTES = 8 << 20
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives in ``folder``; invalid ones carry ``error``."""
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """Every record of the archives in ``folder`` (of those in ``manifest``, if
+    given); invalid ones carry ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +259,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
+    if manifest is not None:
+        # Names alone are compared; contents meet the manifest only if an attempt was lost.
+        named, known = files.withColumn("name", F.substring_index("path", "/", -1)), manifest.select("name")
+        if named.select("name").join(known, "name", "left_anti").limit(1).count():
+            files = named.join(known, "name", "left_semi")
     return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
@@ -269,7 +279,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or archive_folder(spark)
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
     folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file:///") else folder
-    write_archives(plan_records(pages), folder)
-    found = read_archives(spark, folder, payloads=False)
+    manifest = write_archives(plan_records(pages), folder)
+    found = read_archives(spark, folder, payloads=False, manifest=manifest)
     wrong = F.raise_error(F.concat(F.lit("invalid record: "), F.col("error"))).cast("long")
     return found.select(F.when(F.col("error").isNull(), F.col("page_id")).otherwise(wrong).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -345,6 +345,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert by_id[2][0].record_type == "response" and "\r" not in by_id[2][0].url
     assert {r.record_type for i in (5, 6, 9) for r in by_id[i]} == {"response"}
     assert len({r.path for r in got}) > 1
+    # An archive that a lost attempt left behind is not in the manifest.
+    import shutil
+
+    stray = sorted((tmp_path / "warc").glob("*.warc.zst"))[0]
+    manifest = spark.createDataFrame([(p.name,) for p in (tmp_path / "warc").glob("*.warc.zst")], "name string")
+    shutil.copy(stray, tmp_path / "warc" / "000000-999-00000.warc.zst")
+    assert warc.read_archives(spark, folder, manifest=manifest).count() == len(rows) < warc.read_archives(spark, folder).count()
     assert warc.round_trip(pages.limit(0), f"{tmp_path}/none").count() == 0
 
 
