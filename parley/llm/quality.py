@@ -165,25 +165,24 @@ class Scorer:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[dict[int, float]], target: np.ndarray, rounds: int = FIT_ROUNDS) -> Scorer:
+def fit(lengths: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray, rounds: int = FIT_ROUNDS) -> Scorer:
     """Full-batch Adam on soft labels with an L2 penalty; rare and common
-    classes weigh the same."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.fromiter((k for r in rows for k in r), np.int64, len(row))
-    val = np.fromiter((v for r in rows for v in r.values()), float, len(row))
+    classes weigh the same.  Row ``i`` has ``lengths[i]`` entries of ``col``, ``val``."""
+    n = len(lengths)
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     bad = max(float(target.sum()), 1.0)
-    weight = target * (len(rows) / (2 * bad)) + (1 - target) * (len(rows) / (2 * max(len(rows) - bad, 1.0)))
+    weight = target * (n / (2 * bad)) + (1 - target) * (n / (2 * max(n - bad, 1.0)))
     size = 1 << HASH_BITS
     w, m, s = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col] * val, len(rows)) + w[size]
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / len(rows)
+        z = np.bincount(row, w[col] * val, n) + w[size]
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / n
         g = np.append(np.bincount(col, e[row] * val, size), e.sum()) + RIDGE * np.append(w[:size], 0.0)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     # Move the intercept to the cut that agrees best with the labels, midway
     # between the two scores around it.
-    z = np.bincount(row, w[col] * val, len(rows)) + w[size]
+    z = np.bincount(row, w[col] * val, n) + w[size]
     order = np.argsort(z)
     wrong = np.concatenate(([(1 - target).sum()], (1 - target).sum() + np.cumsum(2 * target[order] - 1)))
     at = int(np.argmin(wrong))
@@ -242,8 +241,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, Scorer]:
     for axis, k, v in (("quality", "qk", "qv"), ("toxic", "tk", "tv")):
         model = models[axis]
         target = np.array([model["posterior"][p[model["at"] : model["at"] + len(AXES[axis])]] for p in votes])
-        rows = [dict(zip(a, b)) for a, b in zip(got.column(k).to_pylist(), got.column(v).to_pylist())]
-        scorers[axis] = fit(rows, target)
+        keys, values = (got.column(c).combine_chunks() for c in (k, v))
+        lengths = np.diff(keys.offsets.to_numpy())
+        scorers[axis] = fit(lengths, keys.flatten().to_numpy(), values.flatten().to_numpy(), target)
     return scorers
 
 
