@@ -198,8 +198,7 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = COSINE, block:
     left = pairs.join(slim, pairs["i"] == slim["block"])
     right = pairs.where("i <> j").join(slim, pairs["j"] == slim["block"])
     members = left.unionByName(right).select("i", "j", "block", "at", "node", "n", "embedding")
-    n_tasks = max(1, min(pairs.count(), 20_000))
-    members = members.repartition(n_tasks, "i", "j").sortWithinPartitions("i", "j", "at")
+    members = members.repartition("i", "j").sortWithinPartitions("i", "j", "at")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Join(cosine, axes)
