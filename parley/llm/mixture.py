@@ -10,7 +10,7 @@ running sum over the histogram, and only that bucket is split again by the
 next bits, until the hash has no bits left.  The document on the boundary
 joins if that brings the source nearer to its target.
 
-A histogram has at most 2**15 rows per source whatever the number of
+A histogram has at most 2**10 rows per source whatever the number of
 documents, and a hot source is pre-aggregated like any other.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
@@ -28,8 +28,8 @@ from parley.llm.common import WORD, cut
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-LEVELS = 4
-LEVEL_BITS = 15
+LEVELS = 6
+LEVEL_BITS = 10
 
 
 def sized(docs: DataFrame) -> DataFrame:
