@@ -100,20 +100,17 @@ class BKTree:
                 return
             at = nxt
 
-    def search(self, value: int, radius: int) -> list[int]:
-        """Node numbers within ``radius`` of ``value``."""
-        if not self.values:
-            return []
-        found, stack, values, children = [], [0], self.values, self.children
+    def search(self, value: int, radius: int) -> Iterator[int]:
+        """Node numbers within ``radius`` of ``value``, as they are found."""
+        stack, values, children = [0] if self.values else [], self.values, self.children
         while stack:
             at = stack.pop()
             d = (values[at] ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             for edge, child in children[at].items():
                 if d - radius <= edge <= d + radius:
                     stack.append(child)
-        return found
 
 
 def _shard_links(radius: int):
@@ -126,16 +123,21 @@ def _shard_links(radius: int):
         return i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree, up = None, BKTree(), []
+        shard, tree, up, groups = None, BKTree(), [], 0
         for batch in batches:
             left, right = [], []
             for s, part, guest, fp in zip(*(c.to_pylist() for c in batch.columns)):
                 if (s, part) != shard:
-                    shard, tree, up = (s, part), BKTree(), []
+                    shard, tree, up, groups = (s, part), BKTree(), [], 0
                 value = fp & 0xFFFFFFFFFFFFFFFF
-                hits = tree.search(value, radius)
-                tops = {root(up, h): h for h in hits}
-                for top, hit in tops.items():
+                # One link per group of linked members; when every group is
+                # met, further hits add nothing (a dense shard ends at once).
+                tops: dict[int, int] = {}
+                for hit in tree.search(value, radius):
+                    tops.setdefault(root(up, hit), hit)
+                    if len(tops) == groups:
+                        break
+                for hit in tops.values():
                     v = tree.values[hit]
                     left.append(fp)
                     right.append(v - (1 << 64) if v >> 63 else v)
@@ -144,6 +146,7 @@ def _shard_links(radius: int):
                     up.append(len(up))
                     for top in tops:
                         up[top] = len(up) - 1
+                    groups += 1 - len(tops)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
