@@ -7,7 +7,7 @@ Unit vectors with cosine of at least ``cosine`` lie within
 2. The leading principal dimensions come from a bounded sample
    (``SAMPLE`` classes by hash); they steer the order only, never the result.
 3. Classes are sorted by their grid cells of side ``eps`` on those dimensions
-   and cut into sequence intervals (blocks) by a range partitioning.
+   (a range partitioning) and cut into sequence intervals of ``block`` rows.
 4. Blocks meet if their cell ranges touch on the first dimension (an equi-join
    on cells) and their boxes lie within ``eps`` of each other.
 5. In a task a pair of blocks is joined recursively: intervals whose boxes are
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import cut, pairs_to_components
@@ -186,7 +186,15 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = COSINE, block:
     order = [F.col("cells")[d] for d in range(dims)] + [F.col("spot")[0], F.col("node")]
     n_blocks = max(1, math.ceil(total / block))
     placed = placed.repartitionByRange(n_blocks, *order).sortWithinPartitions(*order)
-    placed = cut(placed.withColumn("block", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    placed = cut(placed.withColumn("at", F.monotonically_increasing_id()))
+    # The rank of a row is its partition's offset plus its number in it (the
+    # lower 33 bits), so blocks hold ``block`` rows whatever the partitions.
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))  # one row per partition
+    offset = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("part", part).join(sizes.select("part", offset.alias("before")), "part")
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(ranked.withColumn("block", F.floor(rank / block).cast("int")).drop("part", "before"))
     boxes = placed.groupBy("block").agg(
         F.array(*[F.min(F.col("spot")[d]) for d in range(dims)]).alias("low"),
         F.array(*[F.max(F.col("spot")[d]) for d in range(dims)]).alias("high"),
