@@ -581,9 +581,9 @@ def test_pipeline_edge_tables(spark):
     import corpus_pipeline
 
     for rows in (EDGE, []):
-        docs = docs_frame(spark, rows).withColumn("copies", F.lit("clash")).withColumn("taken", F.lit(1))
+        docs = docs_frame(spark, rows).withColumn("copies", F.lit("clash")).withColumn("taken", F.lit(1)).withColumn("id", F.lit(1)).withColumn("n", F.lit(2)).withColumn("a.b", F.lit(3))
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         assert docs.columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "copies", "taken"]
-        assert len(set(docs.columns)) == 9
+        assert len(set(docs.columns)) == 12
         assert docs.count() <= len(rows)
