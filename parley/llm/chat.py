@@ -14,8 +14,8 @@ chunk.  A conversation that holds a third of all turns is thus many tasks;
 prefixes that many conversations share are pre-aggregated to one row; a
 rendered row never holds more than ``segment`` turns.
 
-Edge cases: turns are ordered by turn number, then role and text (nulls
-first), so ties and repeated rows have a fixed order; a null role is rendered
+Edge cases: turns are ordered by turn number, then role (nulls first), then a
+hash of role and text, so ties and repeated rows have a fixed order; a null role is rendered
 as ``unknown`` and a null text as empty, both distinct from those values in
 the comparison; rows with a null ``conv_id`` form one conversation; an empty
 table gives no rows.
@@ -34,25 +34,38 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 HASHES = ("p", "q")
 
 
-def _turn_hash(salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), F.col("pos"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+def _content(salt: int) -> Column:
+    """Hash of a turn's role and text; null differs from empty."""
+    return F.xxhash64(F.lit(salt), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
 
-def rolling(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``conv_id, pos, role, text, p, q``: 1-based position and the hash of the prefix that ends there."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+def _positions(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` with ``chunk`` and the 1-based ``pos`` of the turn in its conversation."""
     rows = rows.withColumn("chunk", F.floor(F.col("turn") / chunk))
-    by_chunk = Window.partitionBy("conv_id").orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_chunk), F.lit(0)))
+    counts = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(_earlier()), F.lit(0)))
     rows = _with(rows, counts.select("conv_id", "chunk", "before"))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = rows.withColumn("pos", F.col("before") + F.row_number().over(inside)).drop("before", "turn")
-    rows = cut(rows.withColumns({h: _turn_hash(i + 1) for i, h in enumerate(HASHES)}))
+    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), *HASHES)
+    return rows.withColumn("pos", F.col("before") + F.row_number().over(inside)).drop("before")
+
+
+def _earlier():
+    """The chunks of a conversation before this one."""
+    return Window.partitionBy("conv_id").orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _hashed(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", *[_content(i + 1).alias(h) for i, h in enumerate(HASHES)])
+
+
+def rolling(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``conv_id, pos, p, q``: every turn's position and the hash of the prefix
+    that ends there.  Texts are hashed in the scan and not carried along."""
+    rows = _positions(_hashed(turns).drop("text"), chunk)
+    rows = cut(rows.select("conv_id", "chunk", "pos", *[F.xxhash64("pos", h).alias(h) for h in HASHES]))
     xors = rows.groupBy("conv_id", "chunk").agg(*[F.bit_xor(h).alias(h) for h in HASHES])
-    xors = xors.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(h).over(by_chunk), F.lit(0)).alias(f"{h}_before") for h in HASHES])
+    xors = xors.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(h).over(_earlier()), F.lit(0)).alias(f"{h}_before") for h in HASHES])
     upto = Window.partitionBy("conv_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _with(rows, xors)
-    return rows.select("conv_id", "pos", "role", "text", *[F.bit_xor(h).over(upto).bitwiseXOR(F.col(f"{h}_before")).alias(h) for h in HASHES])
+    return _with(rows, xors).select("conv_id", "pos", *[F.bit_xor(h).over(upto).bitwiseXOR(F.col(f"{h}_before")).alias(h) for h in HASHES])
 
 
 def _with(rows: DataFrame, side: DataFrame) -> DataFrame:
@@ -71,10 +84,10 @@ def maximal(rolled: DataFrame) -> DataFrame:
 
 def format_chats(turns: DataFrame, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
     """``conv_id, segment, n_turns, copies, rendered`` of the maximal conversations."""
-    rolled = cut(rolling(turns, chunk))
-    kept = maximal(rolled).withColumnRenamed("conv_id", "_conv")
+    kept = cut(maximal(cut(rolling(turns, chunk)))).withColumnRenamed("conv_id", "_conv")
+    texts = _hashed(turns).join(kept, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     piece = F.concat(F.lit(START), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(STOP + "\n"))
-    rows = rolled.join(kept, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    rows = _positions(texts, chunk)
     rows = rows.select("conv_id", F.floor((F.col("pos") - 1) / segment).cast("long").alias("segment"), "n_turns", "copies", F.struct("pos", piece.alias("piece")).alias("x"))
     out = rows.groupBy("conv_id", "segment", "n_turns", "copies").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return out.select("conv_id", "segment", F.col("n_turns").cast("long").alias("n_turns"), "copies", F.array_join("xs.piece", "").alias("rendered"))
