@@ -133,6 +133,8 @@ def plain_contaminated(docs, items, threshold=0.8):
         bs = [" ".join(b[i : i + k]) for i in range(len(b) - k + 1)]
         for doc, t in docs:
             d = split(t)
+            if not set(bs) & {" ".join(d[i : i + k]) for i in range(len(d) - k + 1)}:
+                continue  # no common shingle: every window has similarity 0
             for s in range(max(1, len(d) - len(b) + 1)):
                 w = d[s : s + len(b)]
                 ws = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
