@@ -1,23 +1,31 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by content-defined marks.
 
 A gear rolling hash (shift left, add a table value per byte) runs over each
-text's UTF-8 bytes; a chunk ends where its top bits are zero, so boundaries
-depend on the last 32 bytes only and an insertion moves none of those behind
-it.  Chunks are deduplicated by a 128-bit digest of their bytes: the first
-place (smallest ``doc_id``, then offset) keeps the chunk, every later place is
-a repeat, and neighbouring repeats of one document join to a passage.  A
-passage is reported from ``min_words`` words on, so a phrase that recurs by
-chance is left alone.
-
-Chunks average about 45 bytes and never exceed 72, so a repeated passage of 50
-words holds several whole ones wherever it starts: after its first boundary
-natural and forced ends fall alike in every copy.  A repeat inside one
-document is reported as well, with that document as the first place.  A chunk that occurs in a third of all
-documents is pre-aggregated to its first place before the join back.
-
-Edge cases: null and empty texts have no chunks; repeated rows of one id are
-one document; rows with a null ``doc_id`` have no place and are left out; an
-empty table gives no rows.
+text's UTF-8 bytes, so its value depends on the last ``WINDOW`` bytes only.  A
+mark is set wherever that value is the smallest of some ``SPAN`` neighbouring
+ones (local minima): marks depend on content alone, and any two copies of
+``WINDOW + SPAN - 1`` = 101 bytes, wherever they stand, share one.  51 words
+have at least as many.
+
+1. Marks are deduplicated by a digest of their window: the first place
+   (smallest ``doc_id``, then offset) keeps it, every later place is a repeat.
+2. Neighbouring repeats with the same distance to their first places and the
+   same bytes between them (by digest) join to a run.
+3. Both ends of every run are extended byte by byte against its first place
+   (up to ``SIDE`` bytes; marks further out have runs of their own), which also
+   checks the window itself.  Touching runs of a document join to a passage,
+   which is then narrowed to whole words.
+4. A passage is reported from ``min_words`` words on, so a phrase that recurs
+   by chance is left alone.
+
+A repeat inside one document is reported as well, with that document as the
+first place.  A window that occurs in a third of all documents is
+pre-aggregated to its first place before the join back.
+
+Edge cases: null and empty texts have no marks; a text shorter than a window
+is marked as a whole; in a run of equal windows one mark per ``SPAN`` stays;
+repeated rows of one id are one document; rows with a null ``doc_id`` have no
+place and are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +45,8 @@ LEAST = 20
 MOST = 72
 MIN_WORDS = 15
 WINDOW = 32
+SPAN = 70
+SIDE = 256
 PIECE = 1 << 20
 
 # One value per byte, made by rule: the upper half of a multiplicative hash.
@@ -81,11 +91,47 @@ def boundaries(data: np.ndarray, mask_bits: int = MASK_BITS, least: int = LEAST,
     return ends
 
 
-CHUNK_SCHEMA = "doc_id long, seq int, start_byte int, end_byte int, words int, d1 long, d2 long"
+def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
+    """``f`` over every ``w`` neighbouring values."""
+    size = 1
+    while size * 2 <= w:
+        x = f(x[:-size], x[size:])
+        size *= 2
+    return f(x[: len(x) - w + size], x[w - size :]) if size < w else x
+
+
+def marks(data: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Ends of the marked windows of a whole text."""
+    n = len(data)
+    if n < WINDOW:
+        return np.arange(n, n + (n > 0))
+    ends, values = [], []
+    for at in range(WINDOW - 1, n, PIECE):
+        low = max(WINDOW - 1, at - span + 1)  # enough hashes around the piece for whole spans
+        back = low - WINDOW + 1
+        h = gear(data[back : at + PIECE + span - 1])[low - back :]
+        w = min(span, len(h))
+        edge = np.zeros(w - 1, h.dtype)
+        least = _slide(np.concatenate((edge, _slide(h, w, np.minimum), edge)), w, np.maximum)
+        here = np.flatnonzero(h == least)
+        here = here[(here + low >= at) & (here + low < at + PIECE)]
+        ends.append(here + low + 1)
+        values.append(h[here])
+    end, value = np.concatenate(ends), np.concatenate(values)
+    new = np.ones(len(end), bool)
+    new[1:] = (value[1:] != value[:-1]) | (np.diff(end) >= span)
+    step = (end - end[np.maximum.accumulate(np.where(new, np.arange(len(end)), 0))]) // span
+    new[1:] |= step[1:] != step[:-1]
+    return end[new]
+
+
+# ``place``: end of the window (31 bits), distance from the mark before (8 bits, 0 at
+# the first) and a digest of the bytes between (24 bits), in one value for a lean shuffle.
+MARK_SCHEMA = "doc_id long, place long, d long"
 
 
-def chunked(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """One row per chunk: place, number of words that start in it, digest."""
+def marked(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """One row per mark: place and digest of its window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,45 +140,130 @@ def chunked(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, mos
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 if not raw:
                     continue
-                data = np.frombuffer(raw, np.uint8)
-                ends = np.array(boundaries(data, mask_bits, least, most), np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                space = _SPACE[data]
-                first = ~space
-                first[1:] &= space[:-1]
-                words = np.add.reduceat(first, starts, dtype=np.int64)
-                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
-                parts.append((np.full(len(ends), i.as_py()), np.arange(len(ends)), starts, ends, words, digests[:, 0], digests[:, 1]))
+                ends = marks(np.frombuffer(raw, np.uint8), span).astype(np.int64)
+                gaps = np.diff(ends, prepend=ends[0])
+                at = ends.tolist()
+                d = b"".join([xxhash.xxh3_64_digest(raw[max(0, b - WINDOW) : b]) for b in at])
+                between = np.array([xxhash.xxh32_intdigest(raw[a:b]) >> 8 for a, b in zip([at[0], *at], at)], np.int64)
+                parts.append((np.full(len(ends), i.as_py()), ends << 32 | gaps << 24 | between, np.frombuffer(d, "<i8")))
                 size += len(ends)
                 if size >= 100_000:
-                    yield _chunk_batch(parts)
+                    yield _mark_batch(parts)
                     parts, size = [], 0
             if parts:
-                yield _chunk_batch(parts)
+                yield _mark_batch(parts)
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MARK_SCHEMA)
+
+
+def _mark_batch(parts: list[tuple]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in MARK_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=names)
+
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK_SCHEMA)
+def _runs(docs: DataFrame, span: int) -> DataFrame:
+    """``doc_id, a, b, n, first_doc_id, fa, fb``: the ends of a run's first and
+    last window here and at the first place."""
+    found = marked(docs, span)
+    first = found.groupBy("d").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
+    end = lambda place: F.shiftright(place, 32)
+    repeats = found.join(first, "d").where((F.col("doc_id") != F.col("first.doc_id")) | (end("place") != end("first.place")))
+    low = lambda place: F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+    back = F.when(low("place") == low("first.place"), F.shiftright(low("place"), 24)).otherwise(0)
+    repeats = repeats.select("doc_id", end("place").alias("b"), F.col("first.doc_id").alias("first_doc_id"), end("first.place").alias("fb"), back.alias("back"))
+    repeats = cut(repeats.distinct())
+    order = Window.partitionBy("doc_id").orderBy("b", "first_doc_id", "fb")
+    same = F.expr("back > 0") & (F.lag("b").over(order) == F.col("b") - F.col("back")) & (F.lag("first_doc_id").over(order) == F.col("first_doc_id")) & (F.lag("fb").over(order) == F.col("fb") - F.col("back"))
+    run = F.sum(F.when(same, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = repeats.withColumn("run", run).groupBy("doc_id", "run", "first_doc_id")
+    return runs.agg(F.min("b").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"), F.min("fb").alias("fa"), F.max("fb").alias("fb")).drop("run")
 
 
-def _chunk_batch(parts: list[tuple]) -> pa.RecordBatch:
-    names = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
-    types = [np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts), types)], names=names)
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
+    return low
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes before and behind the asked places."""
+    for batch in batches:
+        rows = []
+        for i, t, asked in zip(*batch.columns):
+            raw = t.as_py().encode("utf-8", "surrogatepass")
+            rows += [(i.as_py(), p["fa"], p["fb"], raw[max(0, p["fa"] - WINDOW - SIDE) : p["fa"]], raw[p["fb"] : p["fb"] + SIDE]) for p in asked.as_py()]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, [pa.int64()] * 3 + [pa.binary()] * 2)], names=["first_doc_id", "fa", "fb", "before", "behind"])
+
+
+def _whole(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without broken words at its ends (characters, where a word is
+    longer than a window) and leading white space."""
+    if start and not _SPACE[raw[start - 1]]:
+        start = next((i for i in range(start, min(end, start + WINDOW)) if _SPACE[raw[i]]), start)
+    if end < len(raw) and not _SPACE[raw[end]]:
+        end = next((i for i in range(end, max(start, end - WINDOW), -1) if _SPACE[raw[i - 1]]), end)
+    while start < end and (raw[start] & 0xC0 == 0x80 or _SPACE[raw[start]]):
+        start += 1
+    while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+PASSAGES = "doc_id long, start_byte int, end_byte int, words int, chunks int, first_doc_id long"
+
+
+def _passages(min_words: int):
+    def one(raw: bytes, runs: list[dict]) -> list[tuple[int, int, int, int]]:
+        found = []
+        for r in runs:
+            left = _common(raw[max(0, r["a"] - len(r["before"])) : r["a"]][::-1], r["before"][::-1])
+            if left < min(WINDOW, r["a"]):
+                continue  # equal digests of different bytes
+            start, end = r["a"] - left, r["b"] + _common(raw[r["b"] : r["b"] + SIDE], r["behind"])
+            found.append((start, end, r["n"], r["first_doc_id"]))
+        out: list[list[int]] = []
+        for start, end, n, first in sorted(found):
+            if out and start <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+                out[-1][2] += n
+            else:
+                out.append([start, end, n, first])
+        return [(*_whole(raw, start, end), n, first) for start, end, n, first in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t, runs in zip(*batch.columns):
+                raw = t.as_py().encode("utf-8", "surrogatepass")
+                space = _SPACE[np.frombuffer(raw, np.uint8)]
+                starts = ~space
+                starts[1:] &= space[:-1]
+                for a, b, n, first in one(raw, runs.as_py()):
+                    words = int(starts[a:b].sum())
+                    if words >= min_words:
+                        rows.append((i.as_py(), a, b, words, n, first))
+            cols = list(zip(*rows)) or [()] * 6
+            types = [pa.int64(), *[pa.int32()] * 4, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types)], names=[f.split()[0] for f in PASSAGES.split(", ")])
+
+    return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, **params) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span: int = SPAN) -> DataFrame:
     """``doc_id, start_byte, end_byte, words, chunks, first_doc_id`` of every
-    passage that an earlier place already holds."""
-    chunks = chunked(docs, **params)
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "seq")).alias("first"), F.max(F.struct("doc_id", "seq")).alias("last"))
-    first = first.where("first <> last").select("d1", "d2", "first")
-    here = F.struct("doc_id", "seq")
-    repeats = chunks.join(first, ["d1", "d2"]).where(here != F.col("first"))
-    repeats = cut(repeats.select("doc_id", "seq", "start_byte", "end_byte", "words", F.col("first.doc_id").alias("first_doc_id")).distinct())
-    run = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq"))
-    runs = repeats.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min(F.struct("seq", "first_doc_id")).alias("f")
-    )
-    return runs.where(F.col("words") >= min_words).select("doc_id", "start_byte", "end_byte", "words", "chunks", F.col("f.first_doc_id").alias("first_doc_id"))
+    passage that an earlier place already holds (``chunks``: its marks)."""
+    runs = cut(_runs(docs, span))
+    texts = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    asked = runs.select(F.col("first_doc_id").alias("doc_id"), "fa", "fb").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("fa", "fb")).alias("asked"))
+    around = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_around, "first_doc_id long, fa long, fb long, before binary, behind binary")
+    known = runs.join(around, ["first_doc_id", "fa", "fb"]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "n", "first_doc_id", "before", "behind")).alias("runs"))
+    return texts.join(known, "doc_id").select("doc_id", "text", "runs").mapInArrow(_passages(min_words), PASSAGES).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **params) -> DataFrame:

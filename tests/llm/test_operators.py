@@ -456,6 +456,40 @@ def test_long_repeats_are_caught_on_the_corpus(spark):
     assert flagged <= shared  # documents that share nothing are left alone
 
 
+def test_marks_are_shared_by_every_copy_of_101_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    whole = rng.integers(97, 107, 5000).astype(np.uint8)
+    at = chunks.marks(whole)
+    monkeypatch.setattr(chunks, "PIECE", 700)
+    assert chunks.marks(whole).tolist() == at.tolist()
+    for _ in range(300):
+        part = rng.integers(97, 107, 101).astype(np.uint8)
+        seen = []
+        for _ in range(2):
+            raw = np.concatenate((rng.integers(97, 107, rng.integers(0, 200)), part, rng.integers(97, 107, rng.integers(0, 200)))).astype(np.uint8)
+            seen.append({raw[max(0, e - chunks.WINDOW) : e].tobytes() for e in chunks.marks(raw).tolist()})
+        assert any(w in part.tobytes() for w in seen[0] & seen[1])
+    assert len(chunks.marks(np.zeros(100_000, np.uint8))) < 2000
+
+
+def test_passages_of_51_words_with_two_copies(spark):
+    rng = random.Random(12)
+    word = lambda least, most: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most)))
+    some = lambda n: " ".join(word(3, 9) for _ in range(n))
+    rows, planted = [], {}
+    for k in range(400):
+        passage = " ".join(word(1, 1 + k % 8) for _ in range(51))
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, f"{some(rng.randint(0, 40))} {passage} {some(rng.randint(0, 40))}", "a"))
+        planted[2 * k + 1] = passage
+    text = {i: t for i, t, _ in rows}
+    got = {r.doc_id: r for r in chunks.repeated_passages(docs_frame(spark, rows)).collect()}
+    assert set(got) == set(planted)
+    for i, r in got.items():
+        assert r.first_doc_id == i - 1 and planted[i] in text[i].encode()[r.start_byte : r.end_byte].decode()
+        assert text[i].encode()[r.start_byte : r.end_byte].decode() in text[i - 1]
+
+
 # -- 7 licenses ------------------------------------------------------------------------------
 
 
