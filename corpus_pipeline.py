@@ -5,8 +5,8 @@ stage before it kept, and returns the columns of ``documents`` (the last one
 adds its own).  ``run`` writes each stage to the shared folder as Parquet and
 reads it back, so a lost executor never reaches behind a finished stage.
 
-Rows with a null ``doc_id`` pass the stages that decide by id (they cannot be
-named as copies); null and empty texts are kept; an empty table gives no rows.
+Rows with a null ``doc_id`` pass the near-duplicate stage (they cannot be named
+as copies); the other stages decide by row, also where ids are shared; null and empty texts are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations

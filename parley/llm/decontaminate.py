@@ -147,6 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that share no passage with the benchmark."""
-    bad = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that share no passage with the benchmark.  The text
+    alone decides, so rows are told apart by its digest: those that share an id,
+    or have none, do not share their fate."""
+    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **params).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == bad["_bad"], "left_anti")

@@ -188,22 +188,39 @@ def near_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, t
 
 def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs(doc_id, text)``."""
+    return _grouped(docs, shingle, radius, blocks, tree_size).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """``doc_id, fp, component_id, component``: the latter is one of its
+    fingerprints, as components of one shared id have equal ``component_id``."""
     marked = cut(fingerprints(docs, shingle))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     comp = pairs_to_components(near_links(classes.select("fp"), radius, blocks, tree_size))
     # Only linked fingerprints can have a component id other than their own first id.
     linked = classes.join(comp.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = linked.join(lowest, "component").select("fp", F.col("component_id").alias("linked_id"))
-    ids = classes.join(ids, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = linked.join(lowest, "component").select("fp", "component", F.col("component_id").alias("linked_id"))
+    ids = classes.join(ids, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    return marked.join(ids, "fp").select("doc_id", "fp", "component_id", "component")
 
 
 def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the
-    document with the smallest id stays (once, when its row is repeated).
+    document with the smallest id stays (once, when its row is repeated).  Texts
+    of one id that lie in different components are different documents.
     Rows without an id cannot be named as copies and stay."""
-    found = simhash_near_duplicates(docs, **params)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = cut(_grouped(docs, **params).where("doc_id is not null"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("f")).groupBy("f.doc_id").agg(F.collect_list("f.fp").alias("_prints"))
+    shared = found.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_shared"))
+    stay = first.join(shared, "doc_id").withColumnRenamed("doc_id", "_first")
+
+    @F.pandas_udf("long")
+    def fingerprint(texts):
+        return texts.map(lambda t: int(np.uint64(simhash(t, params.get("shingle", SHINGLE))).view(np.int64)))
+
+    # Only ids with several fingerprints need theirs again.
+    kept = docs.join(stay, docs["doc_id"] == stay["_first"])
+    kept = kept.withColumn("_print", F.when(F.col("_shared"), fingerprint(F.when(F.col("_shared"), docs["text"]))).otherwise(F.lit(0)))
+    kept = kept.where(~F.col("_shared") | F.array_contains("_prints", F.col("_print"))).dropDuplicates(["_first", "_print"])
+    return kept.drop("_first", "_prints", "_shared", "_print").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -181,6 +181,18 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_rows_without_or_with_shared_ids_have_their_own_fate(spark):
+    rng = random.Random(21)
+    some = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60))
+    item, a, b, c, near = some(), some(), some(), some(), some()
+    frame = docs_frame(spark, [(None, item, "a"), (None, a, "a"), (7, f"{b} {item}", "a"), (7, b, "a"), (8, c, "a")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontaminate.drop_contaminated(frame, bench).collect()} == {(None, a), (7, b), (8, c)}
+    # One id with texts in two groups, one of them copied by a later id.
+    frame = docs_frame(spark, [(7, a, "a"), (7, a, "a"), (7, near, "a"), (8, near, "a"), (9, c, "a"), (6, b, "a"), (7, b, "a")])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one_of_each(frame).collect()) == sorted([(7, a), (7, near), (9, c), (6, b)])
+
+
 def test_decontamination_of_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(d, b).count() == 0
