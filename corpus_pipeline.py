@@ -14,7 +14,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, mixture, pii, quality, simhash
 from parley.llm.common import table
@@ -46,14 +45,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often and how many words."""
-    mixed = mixture.mix(docs)
     names = {n.lower() for n in docs.columns}
     free = lambda n: n if n.lower() not in names else free(f"mix_{n}")
-    # Rows that share an id share their fate, so one row per id decides.
-    taken = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("n"))
-    size = F.coalesce(F.regexp_count(docs["text"], F.lit(mixture.WORD)), F.lit(0)).cast("long")
-    kept = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"]))
-    return kept.select(*[docs[f"`{c}`"] for c in docs.columns], taken["n"].alias(free("copies")), (size * taken["n"]).alias(free("taken")))
+    return mixture.take(docs, free("copies"), free("taken"))
 
 
 STAGES = [

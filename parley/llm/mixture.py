@@ -20,7 +20,7 @@ size 0 get target 0; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import WORD, cut
@@ -32,11 +32,17 @@ LEVELS = 6
 LEVEL_BITS = 10
 
 
+def _size(docs: DataFrame) -> Column:
+    return F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _hash(key: Column) -> Column:
+    return F.conv(F.substring(F.md5(key), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, h``: whitespace words and a 60-bit hash of the id."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), h.alias("h"))
+    return docs.select("doc_id", "source", _size(docs).alias("size"), _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -94,12 +100,33 @@ def _few(df: DataFrame, most: int = 100_000) -> bool:
     return df.count() <= most
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row."""
-    slim = cut(sized(docs))
+def _cuts(slim: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """``thresholds`` by ``_source``, ready to be joined."""
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = cut(targets(sizes, weights, share, most))
     cuts = thresholds(slim, goals).withColumnRenamed("source", "_source")
-    joined = slim.join(F.broadcast(cuts) if _few(goals) else cuts, slim["source"].eqNullSafe(cuts["_source"]))
+    return F.broadcast(cuts) if _few(goals) else cuts
+
+
+def take(docs: DataFrame, copies: str = "copies", taken: str = "taken", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with how often and how many words.
+
+    The hash is of id, source and text, so rows that share an id, or have none,
+    are taken one by one; only fully equal rows share their fate.
+    """
+    part = lambda c: F.coalesce(docs[c].cast("string"), F.lit("null"))
+    h = _hash(F.concat_ws("|", part("doc_id"), F.md5(part("text")), part("source")))
+    cuts = _cuts(cut(docs.select("source", _size(docs).alias("size"), h.alias("h"))), weights, share, most)
+    cuts = cuts.select(F.struct("_source", "passes", "threshold").alias("_mix_cut"))
+    n = (F.col("_mix_cut.passes") + F.when(h <= F.col("_mix_cut.threshold"), 1).otherwise(0)).cast("long")
+    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col("_mix_cut._source"))).where(n > 0)
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], n.alias(copies), (_size(docs) * n).alias(taken))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row."""
+    slim = cut(sized(docs))
+    cuts = _cuts(slim, weights, share, most)
+    joined = slim.join(cuts, slim["source"].eqNullSafe(cuts["_source"]))
     copies = F.col("passes") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

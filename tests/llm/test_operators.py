@@ -236,6 +236,24 @@ def test_mixture_meets_its_targets(spark):
     assert mixture.mix(docs_frame(spark, [])).count() == 0
 
 
+def test_mixture_stage_takes_rows_without_or_with_shared_ids_one_by_one(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7]), " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 40))), rng.choice(["a"] * 8 + ["b", "c"])) for _ in range(900)]
+    sizes, taken = {}, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    frame = docs_frame(spark, rows)
+    got = corpus_pipeline.mixture_stage(spark, frame, SF).collect()
+    for r in got:
+        assert r.taken == r.copies * len(r.text.split())
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    want = plain_targets(sizes)
+    assert all(abs(taken.get(s, 0) - want[s]) <= 40 for s in sizes)
+    assert sorted(map(str, corpus_pipeline.mixture_stage(spark, frame, SF).collect())) == sorted(map(str, got))
+
+
 # -- 1 personal data --------------------------------------------------------------
 
 
