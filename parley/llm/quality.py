@@ -9,8 +9,9 @@ Two axes are judged, form (``quality``) and abuse (``toxic``).  For each:
    by the labellers, not by the corpus) and expectation-maximisation estimates
    every labeller's accuracy and every pattern's posterior.  No given labels
    are read.
-3. The posteriors label a bounded sample (``TRAIN_DOCS`` documents, chosen by
-   a hash of the id) on which a logistic scorer over hashed tokens is trained:
+3. The posteriors label a bounded sample (at most ``TRAIN_DOCS`` distinct texts,
+   chosen by their digest, each weighing as many rows as a sample of that size
+   would hold of it) on which a logistic scorer over hashed tokens is trained:
    word shapes and repeats for form, words for abuse.
 4. The scorers judge every whole document; it stays if neither finds it bad.
 
@@ -165,26 +166,30 @@ class Scorer:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(lengths: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray, rounds: int = FIT_ROUNDS) -> Scorer:
+def fit(lengths: np.ndarray, col: np.ndarray, val: np.ndarray, target: np.ndarray, rounds: int = FIT_ROUNDS, count: np.ndarray | None = None) -> Scorer:
     """Full-batch Adam on soft labels with an L2 penalty; rare and common
-    classes weigh the same.  Row ``i`` has ``lengths[i]`` entries of ``col``, ``val``."""
-    n = len(lengths)
-    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
-    bad = max(float(target.sum()), 1.0)
-    weight = target * (n / (2 * bad)) + (1 - target) * (n / (2 * max(n - bad, 1.0)))
+    classes weigh the same.  Row ``i`` has ``lengths[i]`` entries of ``col``, ``val``
+    and stands for ``count`` equal ones."""
+    rows = len(lengths)
+    count = np.ones(rows) if count is None else count
+    n = float(count.sum())
+    row = np.repeat(np.arange(rows, dtype=np.int32), lengths)
+    bad = max(float((target * count).sum()), 1.0)
+    weight = count * (target * (n / (2 * bad)) + (1 - target) * (n / (2 * max(n - bad, 1.0))))
     size = 1 << HASH_BITS
     w, m, s = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col] * val, n) + w[size]
+        z = np.bincount(row, w[col] * val, rows) + w[size]
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / n
         g = np.append(np.bincount(col, e[row] * val, size), e.sum()) + RIDGE * np.append(w[:size], 0.0)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     # Move the intercept to the cut that agrees best with the labels, midway
     # between the two scores around it.
-    z = np.bincount(row, w[col] * val, n) + w[size]
+    z = np.bincount(row, w[col] * val, rows) + w[size]
     order = np.argsort(z)
-    wrong = np.concatenate(([(1 - target).sum()], (1 - target).sum() + np.cumsum(2 * target[order] - 1)))
+    kept = (count * (1 - target)).sum()
+    wrong = np.concatenate(([kept], kept + np.cumsum((count * (2 * target - 1))[order])))
     at = int(np.argmin(wrong))
     cut = (z[order[max(at - 1, 0)]] + z[order[min(at, len(z) - 1)]]) / 2
     if at == 0 or at == len(z):
@@ -217,6 +222,18 @@ def label_models(seen: dict[str, int]) -> dict[str, dict]:
     return out
 
 
+def sample(docs: DataFrame, total: int, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """``d, n, text``: at most ``train_docs`` distinct texts with their weights,
+    in the order of their digests.  A text of ``c`` rows weighs ``c`` times the
+    rate, rounded up or down by its digest, whatever the ids of its rows."""
+    rate = min(1.0, train_docs / total)
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.md5("text").alias("d"), "text")
+    share = F.pmod(F.xxhash64("d"), F.lit(PICK)) / PICK
+    counts = texts.groupBy("d").agg(F.count("*").alias("c")).withColumn("n", F.floor(F.col("c") * rate + share).cast("long"))
+    chosen = counts.where("n > 0").orderBy(F.xxhash64("d", F.lit(1)), "d").limit(train_docs).select("d", "n")
+    return texts.join(F.broadcast(chosen), "d").dropDuplicates(["d"]).orderBy("d").select("d", "n", "text")
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, Scorer]:
     """One scorer per axis; nothing for an empty table."""
     seen = vote_patterns(docs)
@@ -224,26 +241,25 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, Scorer]:
     if not total:
         return {}
     models = label_models(seen)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PICK)) <= int(min(1.0, train_docs / total) * PICK)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [Measured(t.as_py()) for t in batch.column(0)]
+            got = [Measured(t.as_py()) for t in batch.column(2)]
             rows = [(m.votes(), m.features()) for m in got]
-            cols = [pa.array([v for v, _ in rows], pa.string())]
+            cols = [batch.column(1), pa.array([v for v, _ in rows], pa.string())]
             for axis in AXES:
                 cols += [pa.array([list(f[axis]) for _, f in rows], pa.list_(pa.int32())), pa.array([list(f[axis].values()) for _, f in rows], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["votes", "qk", "qv", "tk", "tv"])
+            yield pa.RecordBatch.from_arrays(cols, names=["n", "votes", "qk", "qv", "tk", "tv"])
 
-    got = sample.mapInArrow(run, "votes string, qk array<int>, qv array<float>, tk array<int>, tv array<float>").toArrow()
-    votes = got.column("votes").to_pylist()
+    got = sample(docs, total, train_docs).mapInArrow(run, "n long, votes string, qk array<int>, qv array<float>, tk array<int>, tv array<float>").toArrow()
+    votes, count = got.column("votes").to_pylist(), got.column("n").to_numpy().astype(float)
     scorers = {}
     for axis, k, v in (("quality", "qk", "qv"), ("toxic", "tk", "tv")):
         model = models[axis]
         target = np.array([model["posterior"][p[model["at"] : model["at"] + len(AXES[axis])]] for p in votes])
         keys, values = (got.column(c).combine_chunks() for c in (k, v))
         lengths = np.diff(keys.offsets.to_numpy())
-        scorers[axis] = fit(lengths, keys.flatten().to_numpy(), values.flatten().to_numpy(), target)
+        scorers[axis] = fit(lengths, keys.flatten().to_numpy(), values.flatten().to_numpy(), target, count=count)
     return scorers
 
 

@@ -339,6 +339,21 @@ def test_quality_on_held_out_labels(spark):
     assert abusive and sum(not r.stays for r in abusive) / len(abusive) >= 0.95
 
 
+def test_training_samples_are_bounded_whatever_the_ids(spark):
+    rows = [(None, f"text {i}", "a") for i in range(3000)] + [(7, f"more {i}", "a") for i in range(2000)] + [(i, "same", "a") for i in range(5000)]
+    frame = docs_frame(spark, rows)
+    got = quality.sample(frame, len(rows), 200).collect()
+    weight = {k: sum(r.n for r in got if r.text.startswith(k)) for k in ("text", "more", "same")}
+    assert len(got) <= 200 and [r.d for r in got] == sorted(r.d for r in got)
+    assert weight["same"] in (100, 101) and abs(weight["text"] - 60) <= 25 and abs(weight["more"] - 40) <= 20
+    assert {r.n for r in quality.sample(frame, len(rows), 20_000).collect()} == {1, 5000}
+    # Equal rows weigh like their number.
+    x = (np.array([1, 1, 1]), np.array([3, 4, 3]), np.ones(3), np.array([0.9, 0.1, 0.8]))
+    a = quality.fit(*x, count=np.array([2.0, 3.0, 1.0]))
+    b = quality.fit(*(np.repeat(v, [2, 3, 1]) for v in x))
+    assert np.allclose(a.weights, b.weights) and a.intercept == pytest.approx(b.intercept)
+
+
 def test_quality_edge_cases(spark):
     words = "the of and to in is that for it as was with be by on not he".split()
     rng = random.Random(0)
