@@ -97,7 +97,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
         at = text.find("@", floor)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:

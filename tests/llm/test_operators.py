@@ -282,6 +282,11 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_long_runs_of_zeros_are_numbers():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [(0, "ip", 10006)]
+
+
 def test_pii_query_rows(spark):
     model = pii.train(spark, docs_frame(spark, EDGE))
     texts = EDGE + [(20, 'é mail a.b@c.de token = "0123456789abcdef0123456789abcdef01234567" on 2024-01-31', "a"), (21, "1" * 200_000, "a"), (22, "a" * 200_000 + "@", "b")]
