@@ -314,8 +314,8 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = EXAMPLES,
     words: list[str] = []
     if docs is not None:
         # The documents with the smallest ids, so that every run trains alike; rows of one id by their text.
-        first = docs.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("d"), F.slice(F.array_sort(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"\s+"))), 1, 50).alias("w"))
-        rows = first.orderBy("doc_id", "d").limit(context_docs).collect()
+        first = docs.where("doc_id is not null").select("doc_id", "text").orderBy("doc_id", "text").limit(context_docs)
+        rows = first.select(F.slice(F.array_sort(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"\s+"))), 1, 50).alias("w")).collect()
         words = sorted({w for r in rows for w in r.w if w and not any(c.isdigit() or c == "@" for c in w)})
     # Held-out examples use other words, so thresholds do not lean on the words seen.
     made = examples(words[::2], n * 2 // 3, seed)

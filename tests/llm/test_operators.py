@@ -316,6 +316,13 @@ def test_boosted_trees_on_unseen_examples(spark):
     assert true / sum(h[4] for h in held) >= 0.7
 
 
+def test_pii_context_rows_are_limited(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "examples", lambda words, *a: seen.append(len(words)) or [("call 1234567", 5, "phone", 12, i % 2) for i in range(40)])
+    pii.train(spark, docs_frame(spark, [(7, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}", "a") for i in range(500)]), n=60, context_docs=20)
+    assert sum(seen) == 20
+
+
 # -- 5 quality ----------------------------------------------------------------------
 
 
