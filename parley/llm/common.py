@@ -27,6 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, folder: str) -> str:
+    """``folder``, made and qualified by the session's default file system, as
+    an address that ``pyarrow.fs`` opens inside tasks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = fs.makeQualified(path)
+    fs.mkdirs(path)
+    name = path.toString()
+    return "file://" + name[len("file:") :] if name.startswith("file:/") and not name.startswith("file://") else name
+
+
 def bind(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
 
@@ -64,3 +75,30 @@ def pairs_to_components(links: DataFrame) -> DataFrame:
         state = now
     comp = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return comp.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", per: int = 4096, most: int = 50_000) -> DataFrame:
+    """``left`` joined to ``right`` (few rows a key) where one key, null
+    included, may hold any share of ``left``.
+
+    Keys with more than ``per`` rows are counted map-side; their rows on the
+    left are dealt over one salt for every ``per`` rows and their rows on the
+    right repeated for each.  ``per`` grows with the table so that fewer than
+    ``most`` keys are hot, which bounds their broadcast.  Null keys match
+    nothing.  ``left`` must be materialised (``cut``): the salts follow its row
+    numbers.
+    """
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    per = max(per, left.count() // most + 1)
+    hot = cut(sizes.where(F.col("_n") > per).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_n") / per).cast("int").alias("_salts")))
+
+    def salts(df: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for k in keys:
+            on = on & df[k].eqNullSafe(hot[f"_h_{k}"])
+        return df.join(F.broadcast(hot), on, "left").drop(*[f"_h_{k}" for k in keys])
+
+    dealt = salts(left.withColumn("_row", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_salt", F.pmod(F.col("_row"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_row", "_salts")
+    copied = salts(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")

@@ -83,4 +83,50 @@ SELECT c.a AS vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id,
 FROM c LEFT JOIN n ON n.a = c.a
 """
 
-ORACLES = {"op2_warc": OP2, "op3_chat": OP3, "op9_embeddings": OP9, "op6_mixture": OP6, "op10_decontaminate": OP10}
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, list_inner_product(a.e, o.e)::BIGINT AS score
+      FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+OP13 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+d AS (SELECT doc_id, part,
+        CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails FROM u),
+j AS (SELECT part, fails, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good,
+             EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic FROM d),
+o AS (SELECT unnest(['A','B','C','D','E']) AS o UNION ALL
+      SELECT o.o || f FROM o, (SELECT unnest(['A','B','C','D','E']) AS f) x WHERE length(o.o) < 5 AND NOT contains(o.o, f)),
+s AS (SELECT o AS filter_order, k::INT AS step, o[k:k] AS f, o[1:k-1] AS before FROM o, range(1, 6) r(k) WHERE length(o) = 5),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM j GROUP BY ALL),
+m AS (SELECT g.*, s.*, contains(fails, f) AS failing, regexp_matches(fails, '[' || before || '0]') AS gone FROM g, s),
+a AS (SELECT part, filter_order, step, f,
+        coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0)::BIGINT AS good_lost,
+        coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0)::BIGINT AS toxic_lost
+      FROM m GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM a
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_chat": OP3, "op9_embeddings": OP9, "op6_mixture": OP6, "op10_decontaminate": OP10, "op11_hard_negatives": OP11, "op13_filter_audit": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, chunks, decontaminate, egojoin, licenses, mixture, pii, quality, simhash, warc
+from parley.llm import chat, chunks, decontaminate, egojoin, gnat, interactions, licenses, mixture, pii, planes, quality, simhash, warc
 from parley.llm.common import table
 from parley.llm.oracles import ORACLES
 
@@ -54,9 +54,35 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.round_trip(table(spark, sf_dir, "documents"), planes.default_tokenizer())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_warc, op3_chat, op4_chunks, op5_quality, op6_mixture, op7_licenses, op8_simhash, op9_embeddings, op10_decontaminate)
+    for f in (
+        op1_pii,
+        op2_warc,
+        op3_chat,
+        op4_chunks,
+        op5_quality,
+        op6_mixture,
+        op7_licenses,
+        op8_simhash,
+        op9_embeddings,
+        op10_decontaminate,
+        op11_hard_negatives,
+        op12_id_planes,
+        op13_filter_audit,
+    )
 }
 
 
