@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.session import checkpoint_root, ship_package
@@ -49,6 +49,36 @@ def bind(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:
     return df.select(*keep, one).select(*keep, *[F.col(f"_bound.{n}").alias(n) for n in exprs])
 
 
+def repeated_keys(rows: DataFrame, key: str, per: int = 50_000) -> DataFrame | None:
+    """``_again``: the keys that occur more than once (none: null), counted
+    map-side; broadcast only while there are few."""
+    seen = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    again = cut(seen.select(F.col(key).alias("_again")))
+    n = again.count()
+    return None if not n else F.broadcast(again) if n <= per else again
+
+
+def number_equals(rows: DataFrame, key: str, name: str, again: DataFrame | None) -> DataFrame:
+    """Add ``name``: 0, 1, ... for the rows that share ``key`` (in any order).
+
+    Keys that occur once, all but those of ``again`` (``repeated_keys``), get 0
+    without moving.  The others are written once and numbered inside (key,
+    partition), plus the sizes of the key's partitions before, so one key may
+    hold any share of the rows.
+    """
+    if again is None:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    once = rows.join(again, rows[key] == again["_again"], "left_anti").withColumn(name, F.lit(0).cast("long"))
+    many = cut(rows.join(again, rows[key] == again["_again"], "left_semi").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the upper bits are the partition
+    runs = many.groupBy(key, part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(key, "_part", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_at")) - 1
+    many = many.withColumn("_part", part).withColumn("_in", inside).join(runs, [key, "_part"])
+    return once.unionByName(many.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).select(*rows.columns, name))
+
+
 def pairs_to_components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a long, b long)``.
 

@@ -318,8 +318,8 @@ class Index:
         table = dealt.groupBy("shard").agg(*ranges, F.min("norm").alias("nmin"), F.max("norm").alias("nmax"), F.min("label").alias("lmin"), F.max("label").alias("lmax")).orderBy("shard").toPandas()
         self.table = {
             "shard": table["shard"].to_numpy().astype(np.int32),
-            "near": table[[f"min{s}" for s in range(len(splits))]].to_numpy(float).reshape(len(table), -1),
-            "far": table[[f"max{s}" for s in range(len(splits))]].to_numpy(float).reshape(len(table), -1),
+            "near": table[[f"min{s}" for s in range(len(splits))]].to_numpy(float).reshape(len(table), len(splits)),
+            "far": table[[f"max{s}" for s in range(len(splits))]].to_numpy(float).reshape(len(table), len(splits)),
             "norms": (table["nmin"].to_numpy(float), table["nmax"].to_numpy(float)),
             "lmin": table["lmin"].to_numpy(np.int64),
             "lmax": table["lmax"].to_numpy(np.int64),
