@@ -13,9 +13,13 @@ joins if that brings the source nearer to its target.
 A histogram has at most 2**10 rows per source whatever the number of
 documents, and a hot source is pre-aggregated like any other.
 
+The hash is of id, source, text and a number among fully equal rows, so every
+row has its own, whatever rows share an id or have none: each source ends
+within one document of its target.
+
 Edge cases: a null text has size 0; a null source is a source of its own, last
-in order; documents with one id share their hash and so their fate; sources of
-size 0 get target 0; an empty table gives no rows.
+in order; null and shared ids and repeated rows are taken one by one; sources
+of size 0 get target 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WORD, cut
+from parley.llm.common import WORD, cut, number_equals, repeated_keys
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -40,9 +44,24 @@ def _hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, h``: whitespace words and a 60-bit hash of the id."""
-    return docs.select("doc_id", "source", _size(docs).alias("size"), _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h"))
+def _key(docs: DataFrame) -> Column:
+    """Id, digest of the text and source, equal for fully equal rows only."""
+    part = lambda c: F.coalesce(docs[c].cast("string"), F.lit("null"))
+    return F.concat_ws("|", part("doc_id"), F.md5(part("text")), part("source"))
+
+
+def _hashed(rows: DataFrame, key: str, name: str, again: DataFrame | None) -> DataFrame:
+    """``rows`` with a 60-bit hash of key and number among equal keys."""
+    numbered = number_equals(rows, key, f"{name}_k", again)
+    return numbered.withColumn(name, _hash(F.concat_ws("|", key, F.col(f"{name}_k").cast("string")))).drop(key, f"{name}_k")
+
+
+def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, source, size, h``: whitespace words and a 60-bit hash of each
+    row; and the keys of fully equal rows."""
+    slim = cut(docs.select("doc_id", "source", _size(docs).alias("size"), _key(docs).alias("key")))
+    again = repeated_keys(slim, "key")
+    return cut(_hashed(slim, "key", "h", again)), again
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -52,7 +71,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     target stops at ``most`` times its source's size and the excess is shared
     again by weight; the fixed point is a common level: with the sources by
     size per weight, the first ``j`` are full and the rest get
-    ``level * weight``.  One row per source meets in these windows.
+    ``level * weight``.  One row per source meets in these windows, whose task
+    holds the names of all sources (100 MB for a million of them).
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     place = F.row_number().over(order) - 1
@@ -111,21 +131,22 @@ def _cuts(slim: DataFrame, weights: tuple[int, ...], share: float, most: int) ->
 def take(docs: DataFrame, copies: str = "copies", taken: str = "taken", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with how often and how many words.
 
-    The hash is of id, source and text, so rows that share an id, or have none,
-    are taken one by one; only fully equal rows share their fate.
+    Texts of rows without an equal one stay in the scan: their hash follows
+    from the row.  Only fully equal rows are written once, to be numbered.
     """
-    part = lambda c: F.coalesce(docs[c].cast("string"), F.lit("null"))
-    h = _hash(F.concat_ws("|", part("doc_id"), F.md5(part("text")), part("source")))
-    cuts = _cuts(cut(docs.select("source", _size(docs).alias("size"), h.alias("h"))), weights, share, most)
-    cuts = cuts.select(F.struct("_source", "passes", "threshold").alias("_mix_cut"))
-    n = (F.col("_mix_cut.passes") + F.when(h <= F.col("_mix_cut.threshold"), 1).otherwise(0)).cast("long")
-    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col("_mix_cut._source"))).where(n > 0)
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], n.alias(copies), (_size(docs) * n).alias(taken))
+    sizes, again = sized(docs)
+    cuts = _cuts(sizes, weights, share, most).select(F.struct("_source", "passes", "threshold").alias("_mix_cut"))
+    free = lambda n: n if n.lower() not in {c.lower() for c in docs.columns} else free(f"_{n}")
+    key, h = free("_mix_key"), free("_mix_h")
+    hashed = _hashed(docs.withColumn(key, _key(docs)), key, h, again)
+    n = (F.col("_mix_cut.passes") + F.when(F.col(h) <= F.col("_mix_cut.threshold"), 1).otherwise(0)).cast("long")
+    joined = hashed.join(cuts, hashed["source"].eqNullSafe(F.col("_mix_cut._source"))).where(n > 0)
+    return joined.select(*[hashed[f"`{c}`"] for c in docs.columns], n.alias(copies), (_size(hashed) * n).alias(taken))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row."""
-    slim = cut(sized(docs))
+    slim, _ = sized(docs)
     cuts = _cuts(slim, weights, share, most)
     joined = slim.join(cuts, slim["source"].eqNullSafe(cuts["_source"]))
     copies = F.col("passes") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)

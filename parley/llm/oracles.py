@@ -5,8 +5,8 @@ from __future__ import annotations
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
-  FROM documents),
+         ('0x' || substr(md5(key || '|' || (row_number() OVER (PARTITION BY key) - 1)::VARCHAR), 1, 15))::BIGINT AS h
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, 'null')) || '|' || coalesce(source, 'null') AS key FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, source_size * 2 AS cap,
              [3, 1, 2][((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),

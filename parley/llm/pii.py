@@ -3,22 +3,26 @@
 1. Base finder (``base_spans``): the four fixed patterns with their checks.
    What it finds is always kept.
 2. High-recall generators (``candidates``) propose further, overlapping spans:
-   digit groups, obfuscated addresses, account numbers, long keys.
+   every window of neighbouring digit groups with 7 to 19 digits, obfuscated
+   addresses, account numbers, long keys.
 3. Every candidate becomes a row of format and context features; boosted trees
    (Spark ML ``GBTClassifier``) trained here score it.
 4. Each kind has a threshold calibrated on held-out examples: the lowest score
    from which the share of true spans is at least ``PRECISION``.
 5. Accepted candidates that overlap no base span and no better candidate join
-   the base spans.
+   the base spans; so do numbers that a base card in truth lists.
 
 Training examples are made by rule (``examples``): personal and harmless
-formats, set into words of a bounded sample of the corpus (50 distinct words
-of each of the ``CONTEXT_DOCS`` documents with the smallest ids).  Their number
-is fixed (``EXAMPLES``), so training does not grow with the corpus; every
-document is scored whole.
+formats, alone and in lists, set into words of a bounded sample of the corpus
+(50 distinct words of each of ``CONTEXT_DOCS`` texts, picked by hash).  Their
+number is fixed (``EXAMPLES``), so training does not grow with the corpus; every
+document is scored whole.  The scan cuts a picked text to its words, and equal
+ones are merged before the limit, so what reaches the driver depends on neither
+the length of the texts nor the number of partitions.
 
 All scans are linear in the text: each pattern starts only where a run
-starts, so a megabyte of digits or letters costs one pass.
+starts, so a megabyte of digits or letters costs one pass; a digit group begins
+at most a dozen windows.
 
 Edge cases: a null or empty text has no spans (digest of the empty string);
 repeated rows each give their row; a null ``doc_id`` is kept; an empty table
@@ -28,10 +32,12 @@ gives no rows (the model is then trained without corpus words).
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +49,12 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "id", "key")
 EXAMPLES = 4800
 CONTEXT_DOCS = 200
-TREES = 15
-DEPTH = 4
+TREES = 30
+DEPTH = 5
 PRECISION = 0.98
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+LISTS = 10  # one in so many texts of the examples is a list of numbers
+PIECE = 4096  # candidates scored at once
 SEED = 17
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -56,6 +65,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
+_DIGITS = re.compile(r"[0-9]+")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z_.])[+(]?[0-9]+(?:[ ().\-/:]{1,2}[0-9]+)*")
 _AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?", re.I)
 _SPELT = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.I)
@@ -112,36 +122,48 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(s, KINDS[k], e) for s, k, e in found]
 
 
-def candidates(text: str) -> list[tuple[int, str, int]]:
+def _windows(text: str, groups: list[tuple[int, int]]) -> Iterator[tuple[int, str, int]]:
+    """Every window of neighbouring groups that may be a number of some kind."""
+    for i, (start, _) in enumerate(groups):
+        n, lead = 0, start - (start > 0 and text[start - 1] in "+(")
+        for begin, end in groups[i : i + MOST_DIGITS]:
+            n += end - begin
+            if n > MOST_DIGITS:
+                break
+            if LEAST_DIGITS <= n <= 15:
+                yield lead, "phone", end
+            if n >= 13:
+                yield lead, "card", end
+            if n in (9, 11):
+                yield lead, "id", end
+
+
+def candidates(text: str) -> Iterator[tuple[int, str, int]]:
     """High-recall proposals ``(start, kind, end)``; they may overlap."""
-    found = []
     if _DIGIT.search(text):
         for m in _GROUPS.finditer(text):
-            n = sum(c.isdigit() for c in m.group()) if m.end() - m.start() >= 7 else 0
-            if 7 <= n <= 19:
-                kinds = ["phone"] if n <= 15 else []
-                kinds += ["card"] if n >= 13 else []
-                kinds += ["id"] if n in (9, 11) else []
-                found += [(m.start(), k, m.end()) for k in kinds]
-        found += [(m.start(), "id", m.end()) for m in _ACCOUNT.finditer(text)]
+            if m.end() - m.start() >= LEAST_DIGITS:
+                yield from _windows(text, [g.span() for g in _DIGITS.finditer(text, m.start(), m.end())])
+        for m in _ACCOUNT.finditer(text):
+            yield m.start(), "id", m.end()
         for m in _KEY.finditer(text):
             run = m.group()
             if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-                found.append((m.start(), "key", m.end()))
+                yield m.start(), "key", m.end()
     for m in _AT.finditer(text):
         start = m.start()
-        while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+        while start > 0 and text[start - 1] in _LOCAL:  # at most back to the bracket of the sign before
             start -= 1
         tail = _SPELT.match(text, m.end())
         if tail and start < m.start():
-            found.append((start, "email", tail.end()))
-    return found
+            yield start, "email", tail.end()
 
 
 FEATURES = (
     "kind email, kind card, kind phone, kind id, kind key, length, digits, letters, capitals, groups, first group, last group, longest group, "
     "separators, kinds of separator, colon or slash, plus sign, bracket, luhn, distinct characters, hexadecimal, quote before, quote after, "
-    "sign before, blanks, last word, cue reach, cue person, cue secret, cue amount, checksum, date order"
+    "sign before, blanks, last word, cue reach, cue person, cue secret, cue amount, checksum, date order, "
+    "sign to the number before, its digits, that sign inside, sign to the number after, its digits, that sign inside"
 ).split(", ")
 
 
@@ -149,6 +171,22 @@ def _date_like(groups: list[str]) -> bool:
     return len(groups) >= 3 and (len(groups[0]) == 4 and groups[0][:2] in ("19", "20") or len(groups[2]) == 4 and groups[2][:2] in ("19", "20")) and all(len(g) <= 4 for g in groups[:3])
 
 
+_SIGNS = " -./():,"
+
+
+def _neighbour(text: str, at: int, step: int, span: str) -> list[float]:
+    """What joins a span to a number beside it: the sign, that number's digits,
+    whether the sign stands inside the span too."""
+    i = at if step > 0 else at - 1
+    sign, width = "", 0
+    while 0 <= i < len(text) and width < 2 and text[i] in _SIGNS:
+        sign, width, i = sign or text[i], width + 1, i + step
+    digits = 0
+    while 0 <= i < len(text) and digits < 9 and text[i] in "0123456789":
+        digits, i = digits + 1, i + step
+    return [1 + _SIGNS.index(sign), digits, sign in span] if sign and digits else [0, digits, False]
+
+
 def _checksum(span: str) -> bool:
     """ISO 13616 remainder."""
     s = span.replace(" ", "").upper()
@@ -170,6 +208,7 @@ def features(text: str, start: int, kind: str, end: int) -> list[float]:
     words = re.findall(r"[a-z]+", before)
     row += [any(w in CUES[c] for w in words) for c in ("reach", "person", "secret", "amount")]
     row += [_checksum(span) if kind == "id" else False, _date_like(groups)]
+    row += _neighbour(text, start, -1, span) + _neighbour(text, end, 1, span)
     return [float(x) for x in row]
 
 
@@ -180,7 +219,11 @@ def _with_luhn(rng: random.Random, n: int, valid: bool) -> str:
 
 
 def examples(words: list[str], n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, str, int, int]]:
-    """``(text, start, kind, end, label)``: formats made by rule, in corpus words."""
+    """``(text, start, kind, end, label)``: formats made by rule, in corpus words.
+
+    Of a list of numbers every candidate is an example: windows that are one of
+    its numbers against those that cut or join them.
+    """
     rng = random.Random(seed)
     words = words or "the of and on was for with that from this".split()
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -198,10 +241,42 @@ def examples(words: list[str], n: int = EXAMPLES, seed: int = SEED) -> list[tupl
         sep = rng.choice([" ", "-"])
         return sep.join(s[i : i + 4] for i in range(0, len(s), 4))
 
+    phone = lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(6)}", f"{num(3)}.{num(3)}.{num(4)}", f"00{num(2)} {num(3)} {num(7)}"])
+    social = lambda: f"{rng.randint(1, 899):03d}-{num(2)}-{num(4)}"
+
+    def listed() -> list[tuple[str, int, str, int, int]]:
+        """The candidates of a text with several numbers."""
+        what = rng.choice(["phone", "phone", "id", "card", "after", "harmless"])
+        if what == "phone":
+            make, cue = rng.choice([phone, lambda: f"{num(3)}-{num(3)}-{num(4)}"]), rng.choice(["call", "tel:", "phone", "mobile"])
+        elif what == "id":
+            make, cue = social, rng.choice(["ssn", "social", "insurance"])
+        elif what == "card":
+            make, cue = (lambda: grouped(_with_luhn(rng, 16, True))), rng.choice(["account", ""])
+        elif what == "after":
+            make, cue = (lambda: f"{num(3)}-{num(3)}-{num(4)}"), f"{rng.choice(['order', 'page', 'total', 'build'])} {num(rng.randint(1, 6))}"
+        else:
+            make, cue = (lambda: num(rng.randint(1, 6))), rng.choice(["", "page", "total", "range", "size", "order"])
+        many = rng.randint(4, 9) if what == "harmless" else 1 if what == "after" else rng.randint(2, 3)
+        sign = rng.choice([" ", " ", ", ", "; ", "\n", " / "])
+        head = " ".join(rng.choice(words) for _ in range(rng.randint(0, 3)))
+        text, true = f"{head} {cue} ", set()
+        for k in range(many):
+            text += sign if k else ""
+            number = make()
+            if what != "harmless":
+                true.add((len(text), "phone" if what == "after" else what, len(text) + len(number)))
+            text += number
+        text += f" {' '.join(rng.choice(words) for _ in range(2))}"
+        return [(text, *c, int(c in true)) for c in candidates(text)]
+
     made = []
     for i in range(n):
+        if i % LISTS == LISTS - 1:
+            made += listed()
+            continue
         kind = ("email", "card", "phone", "id", "key")[i % 5]
-        label = (i // 5) % 2
+        label = rng.randint(0, 1)
         cue = ""
         if kind == "email":
             at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", ".")])
@@ -212,15 +287,14 @@ def examples(words: list[str], n: int = EXAMPLES, seed: int = SEED) -> list[tupl
             cue = rng.choice(["account", "", ""]) if label else rng.choice(["order", "isbn", "", "total"])
         elif kind == "phone":
             if label:
-                span = rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(6)}", f"{num(3)}.{num(3)}.{num(4)}", f"00{num(2)} {num(3)} {num(7)}"])
-                cue = rng.choice(["call", "tel:", "phone", "mobile"])
+                span, cue = phone(), rng.choice(["call", "tel:", "phone", "mobile"])
             else:
                 year = rng.randint(1950, 2039)
                 span = rng.choice([f"{year}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28):02d}/{rng.randint(1, 12):02d}/{year}", num(rng.randint(7, 15)), f"{num(1)}.{num(2)}.{num(4)}", f"{year}-{year + 1}", f"{num(2)}:{num(2)}:{num(3)}", f"{num(4)} {num(4)}", f"{year}-01-02 {num(2)}:{num(2)}:{num(2)}", f"{num(3)}-{num(3)}-{num(4)}"])
                 cue = rng.choice(["", "date", "version", "price", "range", "page", "build", "order"])
         elif kind == "id":
             if label:
-                span, cue = rng.choice([(f"{rng.randint(1, 899):03d}-{num(2)}-{num(4)}", rng.choice(["ssn", "social", "insurance"])), (account(True), rng.choice(["iban", "account", ""]))])
+                span, cue = rng.choice([(social(), rng.choice(["ssn", "social", "insurance"])), (account(True), rng.choice(["iban", "account", ""]))])
             else:
                 span = rng.choice([account(False), num(9), num(11), f"{num(3)}-{num(3)}-{num(3)}", f"{num(3)} {num(3)} {num(3)}"])
                 cue = rng.choice(["", "order", "total", "page", "build"])
@@ -267,41 +341,44 @@ class Model:
         return 1 / (1 + np.exp(-2 * margin))
 
     def more_spans(self, text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-        """Accepted candidates that overlap neither a base span nor a better one."""
-        proposed = candidates(text)
-        if not proposed:
-            return []
-        taken = [(s, e) for s, _, e in base]
-        proposed = _free(proposed, taken)
-        if not proposed:
-            return []
-        scored = self.scores(np.array([features(text, *c) for c in proposed]))
-        best = sorted((-p, c) for p, c in zip(scored, proposed) if p >= self.cuts[c[1]])
-        return _disjoint([c for _, c in best])
-
-
-def _free(spans: list[tuple[int, str, int]], taken: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
-    """The spans that overlap none of ``taken`` (one sweep over both)."""
-    taken, out, i = sorted(taken), [], 0
-    reach = []
-    top = 0
-    for s, e in taken:
-        top = max(top, e)
-        reach.append(top)
+        """Accepted candidates that overlap neither a base span nor a better one.
+
+        A base card that is in truth a list of numbers (two or more accepted
+        candidates of other kinds hold all its digits) stays, as every base
+        span does; its numbers are added.
+        """
+        free, best = _free([(s, e) for s, _, e in base]), []
+        cards = [(s, e) for s, k, e in base if k == "card"]
+        within = lambda c: c[1] != "card" and next(((s, e) for s, e in cards[max(0, bisect_left(cards, (c[0] + 1,)) - 1) :][:1] if s <= c[0] and c[2] <= e), None)
+        proposed = (c for c in candidates(text) if free(c) or within(c))
+        while piece := list(itertools.islice(proposed, PIECE)):
+            scored = self.scores(np.array([features(text, *c) for c in piece]))
+            best += [(-p, c) for p, c in zip(scored, piece) if p >= self.cuts[c[1]]]
+        chosen = _disjoint([c for _, c in sorted(best)])
+        listed: dict[tuple[int, int], list] = {}
+        for c in chosen:
+            if not free(c):
+                listed.setdefault(within(c), []).append(c)
+        digits = lambda s, e: sum(d in "0123456789" for d in text[s:e])
+        whole = {c for card, parts in listed.items() if len(parts) > 1 and sum(digits(s, e) for s, _, e in parts) == digits(*card) for c in parts}
+        return [c for c in chosen if c in whole or free(c)]
+
+
+def _free(taken: list[tuple[int, int]]) -> Callable[[tuple[int, str, int]], bool]:
+    """Whether a span overlaps none of ``taken``."""
+    taken = sorted(taken)
     starts = [s for s, _ in taken]
-    from bisect import bisect_left
+    reach = list(itertools.accumulate((e for _, e in taken), max))
 
-    for c in spans:
-        i = bisect_left(starts, c[2])
-        if i == 0 or reach[i - 1] <= c[0]:
-            out.append(c)
-    return out
+    def free(span: tuple[int, str, int]) -> bool:
+        i = bisect_left(starts, span[2])
+        return i == 0 or reach[i - 1] <= span[0]
+
+    return free
 
 
 def _disjoint(ranked: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Greedy choice in rank order of spans that do not overlap."""
-    from bisect import bisect_left, insort
-
     chosen: list[tuple[int, int, str]] = []
     for s, k, e in ranked:
         i = bisect_left(chosen, (e, -1, ""))
@@ -310,17 +387,28 @@ def _disjoint(ranked: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     return [(s, k, e) for s, e, k in chosen]
 
 
+def context(docs: DataFrame, n: int = CONTEXT_DOCS) -> DataFrame:
+    """``w``: 50 words of each of ``n`` different texts, the same in every run.
+
+    Texts are picked by their hash below a cut that follows from the number of
+    rows, and cut to words in the scan; equal ones are merged before the limit.
+    """
+    rows = docs.select("text").where("text <> ''")
+    share = min(1.0, 8 * n / max(docs.count(), 1))
+    h = F.xxhash64("text")
+    picked = rows.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))
+    w = F.slice(F.array_sort(F.array_distinct(F.transform(F.split("text", r"\s+"), lambda x: F.substring(x, 1, 40)))), 1, 50)
+    return picked.select(h.alias("h"), w.alias("w")).distinct().orderBy("h").limit(n).select("w")
+
+
 def train(spark: SparkSession, docs: DataFrame | None = None, n: int = EXAMPLES, context_docs: int = CONTEXT_DOCS, seed: int = SEED) -> Model:
     words: list[str] = []
     if docs is not None:
-        # The documents with the smallest ids, so that every run trains alike; rows of one id by their text.
-        first = docs.where("doc_id is not null").select("doc_id", "text").orderBy("doc_id", "text").limit(context_docs)
-        rows = first.select(F.slice(F.array_sort(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"\s+"))), 1, 50).alias("w")).collect()
-        words = sorted({w for r in rows for w in r.w if w and not any(c.isdigit() or c == "@" for c in w)})
+        words = sorted({w for r in context(docs, context_docs).collect() for w in r.w if w and not any(c.isdigit() or c == "@" for c in w)})
     # Held-out examples use other words, so thresholds do not lean on the words seen.
     made = examples(words[::2], n * 2 // 3, seed)
     fit = range(len(made))
-    made += examples(words[1::2], n - len(made), seed + 1)
+    made += examples(words[1::2], n // 3, seed + 1)
     held = range(len(fit), len(made))
     x = [features(t, s, k, e) for t, s, k, e, _ in made]
     y = [m[4] for m in made]

@@ -10,9 +10,10 @@ digest); what fails comes back with its error instead of being dropped.
 Archives are written by the tasks straight into the shared folder, under a
 temporary name first, so a lost task leaves no half archive, and every attempt
 of a task has names of its own.  ``write_archives`` returns the names of the
-attempts that counted; given that manifest, ``read_archives`` leaves out
-archives of attempts that were lost.  An archive closes after
-``archive_bytes``, which bounds what a reading task holds.
+attempts that counted with their numbers of records; given that manifest,
+``read_archives`` leaves out archives of attempts that were lost, and raises if
+an archive is absent or holds another number of records.  Archives are read in
+pieces of ``READ_BYTES``, one record at a time, whatever their size.
 
 Equal payloads of at least ``min_revisit`` bytes are stored once: the record
 with the largest id is the response and the others are revisits.  The groups
@@ -28,11 +29,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import urllib.parse
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut
+from parley.llm.common import cut, shared_folder
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -100,6 +101,7 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``records(page_id, url, html, refers_to)``; returns the manifest
     ``name, records`` of the archives."""
+    folder = shared_folder(records.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -147,37 +149,51 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         close()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["name", "records"])
 
-    spark = records.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     return cut(records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, records long"))
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The decoded frames of one archive."""
-    at, view, box = 0, memoryview(data), zstandard.ZstdDecompressor()
-    while at + 8 <= len(data):
-        magic, length = struct.unpack_from("<II", data, at)
+READ_BYTES = 1 << 16
+
+
+def frames(source: BinaryIO) -> Iterator[bytes]:
+    """The decoded frames of one archive, read piece by piece."""
+    held, box, first = b"", zstandard.ZstdDecompressor(), True
+
+    def ahead(n: int) -> bytes:
+        nonlocal held
+        while len(held) < n and (piece := source.read(max(READ_BYTES, n - len(held)))):
+            held += piece
+        return held[:n]
+
+    while head := ahead(8):
+        if len(head) < 8:
+            raise ValueError("bytes after the last frame")
+        magic, length = struct.unpack("<II", head)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            if at == 0 and magic == SKIPPABLE:
-                raw = bytes(view[8 : 8 + length])
+            if first and magic == SKIPPABLE:
+                raw = ahead(8 + length)[8:]
                 if len(raw) != length:
                     raise ValueError("the dictionary frame is cut off")
+                held = held[8 + length :]
                 if raw[:4] == struct.pack("<I", ZSTD_MAGIC):
                     raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
                 box = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-            at += 8 + length
+            else:
+                left = 8 + length
+                while left:
+                    if not (piece := ahead(min(left, READ_BYTES))):
+                        raise ValueError("a skippable frame is cut off")
+                    left, held = left - len(piece), held[len(piece) :]
+            first = False
             continue
+        first = False
         reader, parts = box.decompressobj(), []
         while not reader.eof:
-            piece = view[at : at + 65536]
-            if not len(piece):
+            if not ahead(1):
                 raise ValueError("the last frame is cut off")
-            parts.append(reader.decompress(piece))
-            at += len(piece) - len(reader.unused_data)
+            parts.append(reader.decompress(held))
+            held = reader.unused_data
         yield b"".join(parts)
-    if at != len(data):
-        raise ValueError("bytes after the last frame")
 
 
 def parse(raw: bytes) -> dict:
@@ -222,13 +238,15 @@ BATCH_BYTES = 8 << 20
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True, manifest: DataFrame | None = None) -> DataFrame:
     """Every record of the archives in ``folder`` (of those in ``manifest``, if
     given); invalid ones carry ``error``."""
+    address = shared_folder(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(address)
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                rows, size, no = [], 0, 0
-                source = path.as_py()
-                it = frames(content.as_py())
+            for name, expected in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, size, no, broken = [], 0, 0, False
+                source = f"{address.rstrip('/')}/{name}"
+                it = frames(fs.open_input_stream(f"{root.rstrip('/')}/{name}", compression=None))
                 while True:
                     row = dict.fromkeys(_RECORD.names) | {"path": source, "record_no": no}
                     last = False
@@ -237,7 +255,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, manif
                     except StopIteration:
                         break
                     except (ValueError, zstandard.ZstdError) as e:
-                        row["error"], last = str(e), True
+                        row["error"], last, broken = str(e), True, True
                     else:
                         try:
                             f = parse(raw)
@@ -257,14 +275,18 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, manif
                         break
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                if expected is not None and no != expected and not broken:
+                    raise ValueError(f"{name} holds {no} records, the manifest says {expected}")
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
     if manifest is not None:
-        # Names alone are compared; contents meet the manifest only if an attempt was lost.
-        named, known = files.withColumn("name", F.substring_index("path", "/", -1)), manifest.select("name")
-        if named.select("name").join(known, "name", "left_anti").limit(1).count():
-            files = named.join(known, "name", "left_semi")
-    return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
+        records = F.col("records") if "records" in manifest.columns else F.lit(None)
+        files = manifest.select("name", records.cast("long").alias("records"))
+    else:
+        # Names only: without its content column the file is not read here.
+        found = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(address)
+        files = cut(found.select(F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("long").alias("records")))
+    # One archive a task; without a number the few rows would be coalesced into one.
+    return files.repartition(max(1, files.count())).mapInArrow(run, RECORD_SCHEMA)
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -276,9 +298,7 @@ def archive_folder(spark: SparkSession) -> str:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` and read the archives back: one row per page."""
     spark = pages.sparkSession
-    folder = folder or archive_folder(spark)
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
-    folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file:///") else folder
+    folder = shared_folder(spark, folder or archive_folder(spark))
     manifest = write_archives(plan_records(pages), folder)
     found = read_archives(spark, folder, payloads=False, manifest=manifest)
     wrong = F.raise_error(F.concat(F.lit("invalid record: "), F.col("error"))).cast("long")

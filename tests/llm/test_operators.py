@@ -236,6 +236,36 @@ def test_mixture_meets_its_targets(spark):
     assert mixture.mix(docs_frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["no ids", "equal rows", "long text"])
+def test_mixture_takes_every_row_by_itself(spark, kind):
+    """Nine tenths without id, or one row in many copies: every source still
+    ends within one document of its target, in the query and in the stage."""
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 30)))
+    rows = [(None if rng.random() < 0.9 else rng.randint(0, 5), text(), rng.choice("aabc")) for _ in range(600)]
+    if kind == "equal rows":
+        rows = rows[:100] + [(7, "one two three four five", "a")] * 500 + [(None, None, None)] * 50
+    if kind == "long text":
+        rows = rows[:50] + [(8, "word " * 200_000, "a"), (None, "word " * 100_000, "b")]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = plain_targets(sizes)
+    most = {s: max(len((t or "").split()) for _, t, o in rows if o == s) for s in sizes}
+    frame = docs_frame(spark, rows)
+    got = mixture.mix(frame).collect()
+    assert len(got) == len(rows)
+    staged = mixture.take(frame).collect()
+    for found in (got, staged):
+        taken = dict.fromkeys(sizes, 0)
+        for r in found:
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - want[s]) <= most[s] for s in sizes)
+    assert sum(r.copies for r in staged) == sum(r.copies for r in got)
+    again = mixture.mix(frame.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_mixture_stage_takes_rows_without_or_with_shared_ids_one_by_one(spark):
     import corpus_pipeline
 
@@ -316,6 +346,33 @@ def test_boosted_trees_on_unseen_examples(spark):
     assert true / sum(h[4] for h in held) >= 0.7
 
 
+def test_pii_lists_of_numbers_and_long_addresses(spark):
+    """Every window of neighbouring groups is proposed; the right ones win."""
+    model = pii.train(spark)
+    found = lambda t: {(k, t[s:e]) for s, k, e in pii.base_spans(t) + model.more_spans(t, pii.base_spans(t))}
+    assert found("call 555-123-4567 555-987-6543") == {("phone", "555-123-4567"), ("phone", "555-987-6543")}
+    # 18 digits that happen to pass Luhn: the base card stays, the two ids are added.
+    assert found("ssn 123-45-6789 987-65-4321") == {("card", "123-45-6789 987-65-4321"), ("id", "123-45-6789"), ("id", "987-65-4321")}
+    assert found("order 12345 555-123-4567") == {("phone", "555-123-4567")}
+    assert found("mail " + "a" * 80 + " (at) b (dot) com") == {("email", "a" * 80 + " (at) b (dot) com")}
+    proposed = {("x 1 22 333 4444 55555 666666"[s:e], k) for s, k, e in pii.candidates("x 1 22 333 4444 55555 666666")}
+    assert {w for w, _ in proposed} == {"1 22 333 4444", "1 22 333 4444 55555", "22 333 4444", "22 333 4444 55555", "333 4444", "333 4444 55555", "333 4444 55555 666666", "4444 55555", "4444 55555 666666", "55555 666666"}
+    numbers = " ".join(str(i % 10) for i in range(3000))
+    assert len(model.more_spans(numbers, pii.base_spans(numbers))) < 1000  # one pass, in pieces
+
+
+def test_pii_context_reaches_the_driver_as_words_only(spark):
+    """The plan limits words, never texts, and merges equal ones before."""
+    docs = docs_frame(spark, [(i, f"text {i} " + "w" * 5000, "a") for i in range(50)] + [(None, "same same", "a")] * 500)
+    frame = pii.context(docs, 10)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    limit = plan[plan.index("GlobalLimit") :]
+    assert "Aggregate" in limit and "text#" not in limit[: limit.index("Aggregate")]
+    rows = frame.collect()
+    assert len(rows) == 10 and all(len(w) <= 40 for r in rows for w in r.w)
+    assert sorted(map(str, rows)) == sorted(map(str, pii.context(docs.repartition(7), 10).collect()))
+
+
 def test_pii_context_rows_are_limited(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(pii, "examples", lambda words, *a: seen.append(len(words)) or [("call 1234567", 5, "phone", 12, i % 2) for i in range(40)])
@@ -425,6 +482,61 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_warc_manifest_is_checked_both_ways(spark, tmp_path):
+    """An archive that is absent, or holds fewer records than were written, raises."""
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p"), F.repeat(F.col("id").cast("string"), 900)).alias("html"))
+    manifest = warc.write_archives(warc.plan_records(pages), str(tmp_path), archive_bytes=10_000)
+    assert warc.read_archives(spark, str(tmp_path), manifest=manifest).count() == 60
+    with pytest.raises(Exception, match="the manifest says"):
+        warc.read_archives(spark, str(tmp_path), manifest=manifest.withColumn("records", F.col("records") + 1)).collect()
+    next(tmp_path.glob("*.warc.zst")).unlink()
+    with pytest.raises(Exception, match="(?i)no such file"):
+        warc.read_archives(spark, str(tmp_path), manifest=manifest).collect()
+
+
+def test_folders_without_a_scheme_follow_the_default_file_system(spark, tmp_path):
+    from parley.llm.common import shared_folder
+
+    assert shared_folder(spark, f"{tmp_path}/x") == f"file://{tmp_path}/x" and (tmp_path / "x").is_dir()
+    assert shared_folder(spark, f"file:{tmp_path}/y") == shared_folder(spark, f"file://{tmp_path}/y") == f"file://{tmp_path}/y"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://elsewhere/")
+    try:
+        with pytest.raises(Exception, match="(?i)viewfs|elsewhere"):
+            shared_folder(spark, f"{tmp_path}/z")
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_archives_are_read_in_pieces():
+    """A record at a time, whatever the archive's size: frames of any length
+    over piece ends, and a long skippable frame in between."""
+    import io
+    import struct
+
+    import zstandard
+
+    box = zstandard.ZstdCompressor()
+    rng = random.Random(1)
+    records = [rng.randbytes(n) for n in (0, 1, 70_000, 65_536, 200_000, 5, 131_072)]
+    raw = b"".join(box.compress(r) for r in records[:4]) + struct.pack("<II", warc.SKIPPABLE, 150_000) + b"s" * 150_000 + b"".join(box.compress(r) for r in records[4:])
+
+    class Pieces(io.BytesIO):
+        most = 0
+
+        def read(self, n):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    source = Pieces(raw)
+    assert list(warc.frames(source)) == records and source.most <= 2 * warc.READ_BYTES
+    with pytest.raises(ValueError):
+        list(warc.frames(io.BytesIO(raw[:-1])))
+    with pytest.raises(ValueError):
+        list(warc.frames(io.BytesIO(raw + b"abc")))
+
+
 def test_warc_rejects_damage(spark, tmp_path):
     import struct
 
