@@ -75,8 +75,8 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_LISTS = """
 WITH t AS (SELECT * FROM ({turns}) x)
 SELECT conv_id{carry},
-       to_json(coalesce(list({value} ORDER BY turn) FILTER (WHERE channel = 'caller'), [])) AS caller,
-       to_json(coalesce(list({value} ORDER BY turn) FILTER (WHERE channel = 'victim'), [])) AS victim,
+       to_json(coalesce(list({value} ORDER BY turn NULLS LAST, {value} NULLS LAST) FILTER (WHERE channel = 'caller'), [])) AS caller,
+       to_json(coalesce(list({value} ORDER BY turn NULLS LAST, {value} NULLS LAST) FILTER (WHERE channel = 'victim'), [])) AS victim,
        count(*) FILTER (WHERE channel = 'caller') AS n_caller, count(*) FILTER (WHERE channel = 'victim') AS n_victim
 FROM t GROUP BY conv_id{carry}
 """
@@ -111,9 +111,9 @@ FROM p WHERE conv_id = (SELECT min(conv_id) FROM p) GROUP BY conv_id
 def q_fetch_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookup of one prefix: the last one of the first conversation."""
     pairs = asm.pair_turns(conversation_turns(spark, sf_dir))
-    last = pairs.select(F.min(F.struct("conv_id", (-F.col("seq")).alias("s"))).alias("m")).first()["m"]
+    last = pairs.where("conv_id is not null").select(F.min(F.struct("conv_id", (-F.col("seq")).alias("s"))).alias("m")).first()["m"]
     wanted = f"{last['conv_id']}_{-last['s']}" if last else ""
-    out = asm.fetch_prefix(asm.conversation_prefixes(pairs), wanted)
+    out = asm.fetch_prefix(pairs, wanted)
     return out.select("prefix_id", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"))
 
 
@@ -134,9 +134,9 @@ def q_distinct_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lookup_conversation",
     oracle="""
 SELECT CAST(conv_id AS VARCHAR) AS conv_id,
-       to_json(list(text ORDER BY turn)) AS text,
+       to_json(list(text ORDER BY turn NULLS LAST, text NULLS LAST)) AS text,
        CASE WHEN count(DISTINCT role) = 1 THEN min(role) END AS role_scalar,
-       CASE WHEN count(DISTINCT role) <> 1 THEN to_json(list_sort(list(DISTINCT role))) END AS role_values
+       CASE WHEN count(DISTINCT role) <> 1 THEN to_json(list_sort(list(DISTINCT role) FILTER (WHERE role IS NOT NULL))) END AS role_values
 FROM conversations GROUP BY conv_id
 """,
 )
@@ -157,7 +157,7 @@ def q_lookup_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     "running_transcript",
     oracle=f"""
 SELECT conv_id, channel, turn,
-       to_json(list({SQL_CLEAN.format(x='text')}) OVER (PARTITION BY conv_id, channel ORDER BY turn
+       to_json(list({SQL_CLEAN.format(x='text')}) OVER (PARTITION BY conv_id, channel ORDER BY turn NULLS LAST, {SQL_CLEAN.format(x='text')} NULLS LAST
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS transcript
 FROM ({SQL_CONV_TURNS}) t
 """,

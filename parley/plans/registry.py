@@ -55,9 +55,9 @@ def sql_pairs(turns_sql: str, value_sql: str, carry: str = "") -> str:
     carry_sel = f", {carry}" if carry else ""
     return f"""
   s AS (SELECT conv_id, channel, {value_sql} AS v{carry_sel},
-               CAST(row_number() OVER (PARTITION BY conv_id, channel ORDER BY turn) - 1 AS INTEGER) AS seq
+               CAST(row_number() OVER (PARTITION BY conv_id, channel ORDER BY turn NULLS LAST, {value_sql} NULLS LAST) - 1 AS INTEGER) AS seq
         FROM ({turns_sql}) t),
   p AS (SELECT c.conv_id, c.seq, c.v AS caller, v.v AS victim{', c.' + carry if carry else ''}
-        FROM s c JOIN s v ON c.conv_id = v.conv_id AND c.seq = v.seq
+        FROM s c JOIN s v ON c.conv_id IS NOT DISTINCT FROM v.conv_id AND c.seq = v.seq
         WHERE c.channel = 'caller' AND v.channel = 'victim')
 """
