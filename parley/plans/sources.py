@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import assemble as asm
 from parley.plans.registry import SQL_CONV_TURNS, SQL_DOC_TURNS, SQL_TOKENS, register, sql_pairs
-from parley.sources import ingest
+from parley.schemas import RAW_TURNS
+from parley.session import cut_lineage, scratch_path
+from parley.sources import commits, ingest
 from parley.sources.tables import conversation_turns, document_line_pairs, labelled_documents, load_table
 
 
@@ -86,22 +90,48 @@ def q_conversation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.conversation_content_key(conv)
 
 
-SQL_RENDER = "'[' || array_to_string(list_transform({x}, lambda xs: '[' || array_to_string(list_transform(xs, lambda w: '''' || w || ''''), ', ') || ']'), ', ') || ']'"
+_ESCAPED = r"replace(replace(replace(replace(w, '\', '\\'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"
+SQL_LITERAL = (
+    f"CASE WHEN w IS NULL THEN 'None' WHEN contains(w, chr(39)) AND NOT contains(w, '\"') THEN '\"' || {_ESCAPED} || '\"' "
+    f"ELSE chr(39) || replace({_ESCAPED}, chr(39), '\\' || chr(39)) || chr(39) END"
+)
+SQL_RENDER = "'[' || array_to_string(list_transform({x}, lambda xs: '[' || array_to_string(list_transform(xs, lambda w: " + SQL_LITERAL + "), ', ') || ']'), ', ') || ']'"
 
 
 @register(
     "parse_nested_list",
     oracle=f"""
-WITH a AS (SELECT conv_id, coalesce(list({SQL_TOKENS.format(x='text')} ORDER BY turn) FILTER (WHERE channel = 'caller'), []) AS caller
-           FROM ({SQL_CONV_TURNS}) t GROUP BY conv_id)
-SELECT conv_id, {SQL_RENDER.format(x='caller')} AS cell, to_json(caller) AS parsed FROM a
+WITH a AS (SELECT conv_id, coalesce(list(string_split(text, ' ') ORDER BY turn NULLS LAST, text NULLS LAST) FILTER (WHERE channel = 'caller'), []) AS caller
+           FROM ({SQL_CONV_TURNS}) t GROUP BY conv_id),
+  c AS (SELECT conv_id, {SQL_RENDER.format(x='caller')} AS cell, caller FROM a)
+SELECT conv_id, CASE WHEN CAST(conv_id AS BIGINT) % 10 = 0 THEN cell[1:-2] ELSE cell END AS cell,
+       CASE WHEN CAST(conv_id AS BIGINT) % 10 <> 0 THEN to_json(caller) END AS parsed, CAST(conv_id AS BIGINT) % 10 = 0 AS rejected
+FROM c
 """,
 )
 def q_parse_nested_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = conversation_turns(spark, sf_dir).withColumn("tokens", tx.clean_tokens("text"))
-    conv = asm.assemble_conversations(turns, value="tokens")
-    cells = conv.select("conv_id", tx.render_nested_list("caller").alias("cell"))
-    return cells.select("conv_id", "cell", F.to_json(tx.parse_nested_list("cell")).alias("parsed"))
+    """The raw words of every conversation's caller as list-literal cells and
+    back; each tenth cell has lost its last bracket and is rejected."""
+    turns = conversation_turns(spark, sf_dir).withColumn("words", F.split("text", " "))
+    conv = asm.assemble_conversations(turns, value="words")
+    cell = tx.render_nested_list("caller")
+    broken = F.col("conv_id").cast("long") % 10 == 0
+    cells = conv.select("conv_id", F.when(broken, F.substr(cell, F.lit(1), F.length(cell) - 1)).otherwise(cell).alias("cell"))
+    valid, rejects = tx.split_nested_list(cells, "cell", "parsed")
+    out = valid.select("conv_id", "cell", F.to_json("parsed").alias("parsed"), F.lit(False).alias("rejected"))
+    return out.unionByName(rejects.select("conv_id", "cell", F.lit(None).cast("string").alias("parsed"), F.lit(True).alias("rejected")))
+
+
+@register("append_conversations", oracle=f"WITH {sql_pairs(SQL_CONV_TURNS, 'text')} SELECT conv_id, seq, caller, victim, CAST(NULL AS INTEGER) AS label, 2 AS n_batches FROM p")
+def q_append_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paired turns appended as two batches, one of them twice, and read back."""
+    path = scratch_path(spark, "datasets", uuid.uuid4().hex)
+    pairs = cut_lineage(asm.pair_turns(conversation_turns(spark, sf_dir)).select("conv_id", "seq", "caller", "victim", F.lit(None).cast("int").alias("label")))
+    odd = F.coalesce(F.col("conv_id").cast("long") % 2 == 1, F.lit(False))
+    for part in (pairs.where(odd), pairs.where(~odd), pairs.where(odd).repartition(3)):
+        commits.append_batch(part, path)
+    n = commits.commits(spark, path).select(F.count("*").cast("int")).scalar()
+    return commits.read_batches(spark, path, RAW_TURNS).select("*", n.alias("n_batches"))
 
 
 @register(
