@@ -178,11 +178,13 @@ def grid_report(spark: SparkSession, cv_model, metric_name: str | None = None) -
 
     ``avgMetrics`` has one value per parameter map (a handful); the report is
     built from that small list."""
-    maps = cv_model.getEstimatorParamMaps()
-    rows = [
-        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(score))
-        for i, (m, score) in enumerate(zip(maps, cv_model.avgMetrics))
-    ]
+    points = [{p.name: v for p, v in m.items()} for m in cv_model.getEstimatorParamMaps()]
+    return search_report(spark, list(zip(points, cv_model.avgMetrics)), metric_name)
+
+
+def search_report(spark: SparkSession, points: Sequence[tuple[dict, float]], metric_name: str | None = None) -> DataFrame:
+    """The same report from ``(settings, average metric)`` per grid point."""
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in sorted(m.items())), float(score)) for i, (m, score) in enumerate(points)]
     df = spark.createDataFrame(rows, "grid_point int, params string, avg_metric double")
     best = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else -1
     df = df.withColumn("is_best", F.col("grid_point") == best)

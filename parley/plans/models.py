@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators import ensembles as es
 from parley.operators import evaluate as ev
 from parley.operators import features as ft
 from parley.operators import score as sc
@@ -79,6 +80,24 @@ def q_cross_validate_linear_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, "linear_svc")
 
 
+def _staged(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The whole grid of an ensemble kind: the largest ensemble of every other
+    setting is fitted per fold, smaller ones are scored on its first trees."""
+    data = training_frame(spark, sf_dir).where(F.col("split") == "train")
+    points = es.staged_search(kind, data, parallelism=8)
+    return ev.search_report(spark, points, tr.CV_METRIC[kind]).withColumn("avg_metric", F.round("avg_metric", 6))
+
+
+@register("cross_validate_random_forest")
+def q_cross_validate_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged(spark, sf_dir, "random_forest")
+
+
+@register("cross_validate_gbt")
+def q_cross_validate_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged(spark, sf_dir, "gbt")
+
+
 @register("tune_mlp")
 def q_tune_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = training_frame(spark, sf_dir).where(F.col("split") == "train")
