@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import porter
 from parley.functions.stopwords import LANGUAGES, UNKNOWN, stop_word_rows, stop_words
+from parley.session import cut_lineage
 
 STEMMED_LANGUAGES = ("en",)  # languages with a rule-based stemmer
 
@@ -85,6 +86,16 @@ def stem_vocabulary(tokens: DataFrame, token: str = "token", lang: str | None =
     return porter.stem_column(vocab, token, "stem")
 
 
+def stem_families(counts: DataFrame) -> DataFrame:
+    """Distinct ``(family, token)`` rows with ``stem``: tokens of a family that
+    has a stemmer are stemmed, the others are their own stem.  The distinct
+    tokens are written once, as both branches read them."""
+    counts = cut_lineage(counts)
+    stemmed = F.col("family").isin(*STEMMED_LANGUAGES)
+    ruled = porter.stem_column(counts.where(stemmed), "token", "stem")
+    return ruled.unionByName(counts.where(~stemmed).withColumn("stem", F.col("token")))
+
+
 def normalize_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang", unsupported: str = "skip") -> DataFrame:
     """Replace each token by its stem.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators import features as ft
+from parley.operators import normalize as nz
 from parley.operators import sequences as sq
-from parley.plans.features import SQL_DOC_TK, document_ids, document_tokens
+from parley.plans.features import SQL_DOC_TK, document_lists, raw_document_tokens
 from parley.plans.registry import register
 from parley.session import cut_lineage
 
@@ -23,25 +25,40 @@ WITH {SQL_DOC_TK},
 """
 
 
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, label, lang`` and both channels' token lists, cleaned and split
+    once and written to the shared folder: the counts and the encoding read them."""
+    return cut_lineage(document_lists(spark, sf_dir))
+
+
+def raw_tokens(lists: DataFrame) -> DataFrame:
+    return ft.channel_list_tokens(lists, carry=["lang"])
+
+
 def document_sequences(spark: SparkSession, sf_dir: str):
-    tokens = document_tokens(spark, sf_dir)
-    vocab = sq.vocabulary(sq.word_counts(tokens))
-    return tokens, vocab, sq.encode_sequences(tokens, document_ids(spark, sf_dir), vocab, carry=["label"])
+    """The stemmed vocabulary and both channels of every document as its ids."""
+    lists = document_words(spark, sf_dir)
+    tokens = raw_tokens(lists)
+    vocab, lookup = sq.stemmed_vocabulary(sq.family_counts(tokens))
+    family = F.when(F.col("lang").isin(*nz.STEMMED_LANGUAGES), F.col("lang")).otherwise(F.lit("")).alias("family")
+    encoded = sq.encode_sequences(tokens.select("*", family), lists.select("conv_id", "label"), lookup, carry=["label"], on=["family", "token"])
+    return vocab, encoded
 
 
 @register("word_counts", oracle=SQL_VOCAB + "SELECT token, cnt FROM wc")
 def q_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.word_counts(document_tokens(spark, sf_dir))
+    counts = sq.family_counts(raw_document_tokens(spark, sf_dir))
+    return nz.stem_families(counts).groupBy(F.col("stem").alias("token")).agg(F.sum("cnt").alias("cnt"))
 
 
 @register("vocabulary", oracle=SQL_VOCAB + "SELECT token, cnt, idx FROM vocab")
 def q_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sq.vocabulary(sq.word_counts(document_tokens(spark, sf_dir)))
+    return sq.vocabulary(q_word_counts(spark, sf_dir))
 
 
 @register("encode_sequences", oracle=SQL_VOCAB + "SELECT conv_id, label, to_json(caller) AS caller, to_json(victim) AS victim FROM seqs")
 def q_encode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, encoded = document_sequences(spark, sf_dir)
+    _, encoded = document_sequences(spark, sf_dir)
     return encoded.select("conv_id", "label", F.to_json("caller").alias("caller"), F.to_json("victim").alias("victim"))
 
 
@@ -53,7 +70,7 @@ def q_encode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
               (SELECT count(*) FROM wc) + 1 AS vocab_size FROM seqs""",
 )
 def q_sequence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vocab, encoded = document_sequences(spark, sf_dir)
+    vocab, encoded = document_sequences(spark, sf_dir)
     return sq.sequence_stats(encoded, vocab)
 
 
@@ -69,7 +86,7 @@ SELECT conv_id, label, to_json(list_concat({SQL_PAD.format(w='wmax.w', x='caller
 FROM seqs, wmax""",
 )
 def q_pad_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, encoded = document_sequences(spark, sf_dir)
+    _, encoded = document_sequences(spark, sf_dir)
     encoded = cut_lineage(encoded)  # read for the width and for the result
     width = encoded.select(F.greatest(F.max(F.size("caller")), F.max(F.size("victim")))).scalar()
     padded = sq.padded_sequences(encoded, width, carry=["label"])

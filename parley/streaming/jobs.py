@@ -10,29 +10,26 @@ sinks are idempotent per batch id.
 
 from __future__ import annotations
 
-import json
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from parley.operators import evaluate as ev
 from parley.operators.assemble import channel_ordinal
 from parley.schemas import CALLER, CHANNEL_MESSAGE, MESSAGE, VICTIM
 from parley.session import scratch_path
+from parley.streaming.transcripts import stream_running_transcript  # noqa: F401  (part of this module's interface)
 
 # Fixed values of the streaming contract.
 EVENT_TIME_BASE = 1_700_000_000  # seconds; event times stay far from epoch 0
 SECONDS_PER_TURN = 5
 DEFAULT_WATERMARK = "10 minutes"
-ROWS_PER_YIELD = 64  # transcript rows handed over at once
 
 
 # --- sources ----------------------------------------------------------------
@@ -150,88 +147,6 @@ def split_unpaired(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.where(both).drop("has_caller", "has_victim"), pairs.where(~both)
 
 
-TRANSCRIPT_OUT = "prefix_id string, conv_id string, prefix_no int, caller string, victim string, gap boolean"
-TRANSCRIPT_STATE = "next_seq long, caller string, victim string, pending string, last_event_ms long"
-
-
-def _grower(idle_ms: int | None):
-    """Per conversation: append pairs in ``seq`` order and emit the whole
-    transcript so far at every step.
-
-    Pairs that arrive ahead of a missing ``seq`` wait in state until the gap
-    closes.  With an idle limit they wait no longer than that: then they are
-    emitted in order, marked ``gap``, and the conversation goes on behind them.
-    A pair that turns up after its place was passed is emitted at once, marked
-    too.  No pair is dropped, and the state outlives the idle time, so a
-    conversation that comes back continues its numbers.
-    """
-
-    def grow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (conv_id,) = key
-        if state.exists:
-            next_seq, caller_s, victim_s, pending_s, last_ms = state.get
-            callers, victims, pending = json.loads(caller_s), json.loads(victim_s), json.loads(pending_s)
-        else:
-            next_seq, callers, victims, pending, last_ms = 0, [], [], {}, 0
-        rows: list[tuple] = []
-        text = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-
-        def say(seq: int, pair: list, gap: bool) -> None:
-            callers.append(pair[0])
-            victims.append(pair[1])
-            rows.append((f"{conv_id}_{seq}", conv_id, seq, text(callers), text(victims), gap))
-
-        def hand_over() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["prefix_id", "conv_id", "prefix_no", "caller", "victim", "gap"])
-            rows.clear()
-            return out
-
-        late: list[tuple[int, list]] = []
-        for pdf in batches:
-            for seq, c, v in zip(pdf["seq"], pdf["caller"], pdf["victim"]):
-                pair = [json.loads(c), json.loads(v)]
-                if int(seq) < next_seq:
-                    late.append((int(seq), pair))
-                else:
-                    pending[str(int(seq))] = pair
-            if len(pdf):
-                last_ms = max(last_ms, int(pd.to_datetime(pdf["event_ts"]).max().value // 1_000_000))
-        for seq, pair in sorted(late, key=lambda x: x[0]):
-            say(seq, pair, True)
-        flush = sorted(map(int, pending)) if state.hasTimedOut else []
-        while str(next_seq) in pending or flush:
-            gap = str(next_seq) not in pending
-            if gap:
-                flush = [s for s in flush if s > next_seq]
-                if not flush:
-                    break
-                next_seq = flush[0]
-            say(next_seq, pending.pop(str(next_seq)), gap)
-            next_seq += 1
-            if len(rows) >= ROWS_PER_YIELD:
-                yield hand_over()
-        state.update((int(next_seq), json.dumps(callers), json.dumps(victims), json.dumps(pending), int(last_ms)))
-        if idle_ms is not None and pending:
-            state.setTimeoutTimestamp(max(int(last_ms), int(state.getCurrentWatermarkMs())) + idle_ms)
-        if rows:
-            yield hand_over()
-
-    return grow
-
-
-def stream_running_transcript(pairs: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Growing transcript per conversation (X6), stream twin of the prefix
-    expansion: every new pair re-emits both channels' lists so far.  The
-    channel values travel as JSON text so any list type fits the state.
-
-    ``idle_ms`` (needs a watermark on ``event_ts``) limits how long pairs wait
-    for a missing one before them; by default they wait for it.
-    """
-    packed = pairs.select("conv_id", "seq", "event_ts", F.to_json(F.col(CALLER)).alias("caller"), F.to_json(F.col(VICTIM)).alias("victim"))
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
-    return packed.groupBy("conv_id").applyInPandasWithState(_grower(idle_ms), TRANSCRIPT_OUT, TRANSCRIPT_STATE, "append", timeout)
-
-
 def stream_score(messages: DataFrame, serving, model) -> DataFrame:
     """Stateless serving features + MLlib model + verdict on a stream.
 
@@ -254,31 +169,33 @@ def audit_sink(output_path: str, audit_path: str, score: Callable[[DataFrame], D
     """foreachBatch handler: scored rows and one audit row per batch.
 
     ``score`` scores the batch first (external models, X3); without it the
-    batch is scored already.  The batch is kept while it is checked, written
-    and counted, so it runs once.  Both writes overwrite the ``batch_id=<n>``
-    folder, so a replayed batch after a failure replaces its own output instead
-    of duplicating it.  Empty batches write nothing (P9).
+    batch is scored already.  The batch is computed once, by writing it, and not
+    kept: the counters are taken from three columns of what was written, so
+    they also say what is stored.  Both writes replace the ``batch_id=<n>``
+    folder, so a batch that is replayed after a failure replaces its own output
+    and gives the same counts again.  A batch without rows leaves nothing (P9).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         received = datetime.now(timezone.utc)
-        scored = (score(batch) if score else batch).persist()
-        try:
-            if scored.isEmpty():
-                return
-            scored.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
-            audit = scored.agg(
-                F.lit(batch_id).cast("long").alias("batch_id"),
-                F.lit(received).alias("received_at"),
-                F.current_timestamp().alias("scored_at"),
-                F.count(F.lit(1)).alias("n_rows"),
-                F.sum(F.when(F.col("prediction") == 1, 1).otherwise(0)).alias("n_scam"),
-                F.sum(F.when(F.col("alert"), 1).otherwise(0)).alias("n_alerts"),
-                F.max("probability").alias("max_probability"),
-            )
-            audit.write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
-        finally:
-            scored.unpersist()
+        spark, folder = batch.sparkSession, f"{output_path}/batch_id={batch_id}"
+        scored = score(batch) if score else batch
+        scored.write.mode("overwrite").parquet(folder)
+        written = spark.read.schema(scored.schema).parquet(folder).select("prediction", "alert", "probability")
+        audit = written.agg(
+            F.lit(batch_id).cast("long").alias("batch_id"),
+            F.lit(received).alias("received_at"),
+            F.current_timestamp().alias("scored_at"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col("prediction") == 1).alias("n_scam"),
+            F.count_if("alert").alias("n_alerts"),
+            F.max("probability").alias("max_probability"),
+        ).where("n_rows > 0")
+        audit.coalesce(1).write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
+        if spark.read.schema(audit.schema).parquet(f"{audit_path}/batch_id={batch_id}").isEmpty():
+            for empty in (folder, f"{audit_path}/batch_id={batch_id}"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(empty)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # just written, without rows
 
     return handle
 
@@ -324,7 +241,9 @@ def run_stream(df: DataFrame, name: str, sink_path: str | None = None, foreach_b
 class ScoringConfig:
     """Which scoring path a live run uses (X9): ``mllib`` models score inside
     the stream; ``external`` models (numpy/ONNX predict functions) score in
-    ``foreachBatch`` with a batched UDF.  Validated before anything starts."""
+    ``foreachBatch`` with a batched UDF, and so do ``sequences`` models, which
+    take padded vocabulary ids instead of features.  Validated before anything
+    starts."""
 
     model_kind: str
     path: str = "mllib"
@@ -334,7 +253,7 @@ class ScoringConfig:
     def validate(self) -> ScoringConfig:
         if not isinstance(self.model_kind, str):
             raise TypeError("model kind must be a string")
-        if self.path not in ("mllib", "external"):
+        if self.path not in ("mllib", "external", "sequences"):
             raise ValueError(f"unknown scoring path {self.path!r}")
         if self.path == "mllib" and self.model_kind not in self.MLLIB:
             raise ValueError(f"{self.model_kind!r} is not an MLlib model; use path='external'")
@@ -353,12 +272,36 @@ def external_scorer(predict_factory, width: int = 400) -> Callable[[DataFrame],
     return score
 
 
-def start_scoring(config: ScoringConfig, messages: DataFrame, serving, name: str, output_path: str, audit_path: str, model=None, predict_factory=None):
-    """Start the scoring path that ``config`` chooses, both with the audit sink.
+SEQUENCE_WIDTH = 383  # fixed value: ids per channel of a live sequence
+
+
+def sequence_scorer(vocabulary_path: str, predict_factory, width: int = SEQUENCE_WIDTH, num_words: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Batch scorer for a model over id sequences (X3): the messages' words are
+    joined with the stored vocabulary, put back together and padded per message,
+    and scored in Arrow batches.
+
+    The vocabulary is read anew for every batch, so one that was replaced while
+    the query rested is picked up without a restart.
+    """
+    from parley.operators.score import score_with_model, with_verdict
+    from parley.operators.sequences import encode_messages
+    from parley.sources.io import read_vocabulary
+
+    def score(batch: DataFrame) -> DataFrame:
+        encoded = encode_messages(batch, read_vocabulary(batch.sparkSession, vocabulary_path), width, num_words=num_words)
+        scored = with_verdict(score_with_model(encoded, predict_factory, input_col="ids", width=2 * width))
+        return scored.withColumn("alert", ev.is_alert())
+
+    return score
+
+
+def start_scoring(config: ScoringConfig, messages: DataFrame, serving, name: str, output_path: str, audit_path: str, model=None, predict_factory=None, vocabulary_path: str | None = None, width: int = SEQUENCE_WIDTH, num_words: int | None = None):
+    """Start the scoring path that ``config`` chooses, all with the audit sink.
 
     ``mllib`` scores in the stream with ``model``; ``external`` computes the
     serving features in the stream and scores each batch with
-    ``predict_factory``.
+    ``predict_factory``; ``sequences`` encodes each batch with the vocabulary
+    under ``vocabulary_path`` and scores the padded ids.
     """
     from pyspark.ml.functions import vector_to_array
 
@@ -368,6 +311,11 @@ def start_scoring(config: ScoringConfig, messages: DataFrame, serving, name: str
             raise ValueError("the mllib path needs a model")
         return run_stream(stream_score(messages, serving, model), name, foreach_batch=audit_sink(output_path, audit_path))
     if predict_factory is None:
-        raise ValueError("the external path needs a predict factory")
+        raise ValueError(f"the {config.path} path needs a predict factory")
+    if config.path == "sequences":
+        if vocabulary_path is None:
+            raise ValueError("the sequences path needs a vocabulary")
+        wanted = messages.select("conv_id", "seq", CALLER, VICTIM)
+        return run_stream(wanted, name, foreach_batch=audit_sink(output_path, audit_path, sequence_scorer(vocabulary_path, predict_factory, width, num_words)))
     features = serving.transform(messages).select("conv_id", "seq", vector_to_array("combined_features").alias("features_array"))
     return run_stream(features, name, foreach_batch=audit_sink(output_path, audit_path, external_scorer(predict_factory)))

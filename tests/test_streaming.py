@@ -116,21 +116,61 @@ def test_bounded_pairing_rejects_instead_of_dropping(spark, scratch):
     assert sorted((r["seq"], r["has_caller"]) for r in bad.collect()) == [(1, False), (1, True)]
 
 
-class _State:
+class _Handle:
+    """Keyed state of one conversation in memory."""
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class List(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(self)
+
+        def appendList(self, rows):  # noqa: N802
+            self.extend(rows)
+
+    class Map(dict):
+        containsKey = dict.__contains__  # noqa: N815
+        getValue = dict.get  # noqa: N815
+        updateValue = dict.__setitem__  # noqa: N815
+        removeKey = dict.pop  # noqa: N815
+
+        def iterator(self):
+            return iter(list(self.items()))
+
     def __init__(self):
-        self.value, self.hasTimedOut, self.timeout = None, False, None
+        self.timers, self.parts = set(), {}
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
+    def _part(self, kind):
+        return lambda name, *schema: self.parts.setdefault(name, kind())
 
-    def update(self, value):
-        self.value = value
+    getValueState = property(lambda self: self._part(self.Value))  # noqa: N815
+    getListState = property(lambda self: self._part(self.List))  # noqa: N815
+    getMapState = property(lambda self: self._part(self.Map))  # noqa: N815
 
-    def getCurrentWatermarkMs(self):
-        return 0
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
 
-    def setTimeoutTimestamp(self, at):
-        self.timeout = at
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
 
 
 def _pairs(*seqs):
@@ -141,24 +181,70 @@ def _pairs(*seqs):
     return pd.DataFrame({"seq": seqs, "event_ts": pd.to_datetime([1_700_000_000 + s for s in seqs], unit="s"), "caller": [json.dumps(f"c{s}") for s in seqs], "victim": [json.dumps(f"v{s}") for s in seqs]})
 
 
+def _processor(idle_ms):
+    from parley.streaming.transcripts import Transcript
+
+    processor, handle = Transcript(idle_ms), _Handle()
+    processor.init(handle)
+    return processor, handle
+
+
 def test_transcript_gap_idle_and_return():
     """A gap waits; the idle limit emits what waits, marked; a late pair is
     emitted, marked; a conversation that returns goes on with its numbers."""
-    grow, state = jobs._grower(1000), _State()
-
-    def feed(*seqs):
-        frames = list(grow(("a",), iter([_pairs(*seqs)] if seqs else []), state))
-        return [(int(n), bool(g), c.count(",") + 1) for f in frames for n, g, c in zip(f["prefix_no"], f["gap"], f["caller"])]
+    processor, handle = _processor(1000)
+    rows = lambda frames: [(int(n), bool(g), c.count(",") + 1) for f in frames for n, g, c in zip(f["prefix_no"], f["gap"], f["caller"])]
+    feed = lambda *seqs: rows(processor.handleInputRows(("a",), iter([_pairs(*seqs)]), handle))
 
-    assert feed(0, 2, 3) == [(0, False, 1)] and state.timeout is not None
-    state.hasTimedOut = True
-    assert feed() == [(2, True, 2), (3, False, 3)]
-    state.hasTimedOut = False
-    assert feed(1) == [(1, True, 4)]
+    assert feed(0, 2, 3) == [(0, False, 1)] and len(handle.timers) == 1
+    assert rows(processor.handleExpiredTimer(("a",), handle, None)) == [(2, True, 2), (3, False, 3)]
+    assert feed(1) == [(1, True, 4)] and not handle.timers
     assert feed(4, 5) == [(4, False, 5), (5, False, 6)]
-    waits, patient = _State(), jobs._grower(None)
-    assert list(patient(("a",), iter([_pairs(1, 2)]), waits)) == [] and waits.timeout is None
-    assert sum(len(f) for f in patient(("a",), iter([_pairs(*([0] + list(range(3, 200))))]), waits)) == 200
+    patient, state = _processor(None)
+    assert list(patient.handleInputRows(("a",), iter([_pairs(1, 2)]), state)) == [] and not state.timers
+    assert sum(len(f) for f in patient.handleInputRows(("a",), iter([_pairs(0, *range(3, 200))]), state)) == 200
+    assert len(state.parts["said"]) == 200 and not state.parts["waiting"]
+
+
+def test_a_transcript_update_appends_only_the_new_pair():
+    """The pairs said before are read, not written again."""
+    processor, handle = _processor(None)
+    list(processor.handleInputRows(("a",), iter([_pairs(*range(50))]), handle))
+    written, said = [], handle.parts["said"]
+    said.appendList = written.extend
+    (frame,) = processor.handleInputRows(("a",), iter([_pairs(50)]), handle)
+    assert len(written) == 1 and frame["caller"][0].count(",") == 50
+
+
+def test_transcript_restart_continues(spark, scratch):
+    """Stopped between two inputs, the stream goes on where it was; a pair that
+    waited in state comes out when its gap closes."""
+    schema = "conv_id string, seq long, event_ts timestamp, caller array<string>, victim array<string>"
+    name = f"transcript_{uuid.uuid4().hex[:8]}"
+
+    def run(*seqs):
+        rows = spark.createDataFrame([("a", s, [f"c{s}"], [f"v{s}"]) for s in seqs], "conv_id string, seq long, caller array<string>, victim array<string>")
+        rows.withColumn("event_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).coalesce(1).write.mode("append").json(f"{scratch}/in")
+        jobs.run_stream(jobs.stream_running_transcript(spark.readStream.schema(schema).json(f"{scratch}/in")), name, sink_path=f"{scratch}/out").awaitTermination()
+        return sorted((r.prefix_no, r.caller) for r in spark.read.parquet(f"{scratch}/out").collect())
+
+    assert run(0, 2) == [(0, '[["c0"]]')]
+    assert run(1) == [(0, '[["c0"]]'), (1, '[["c0"],["c1"]]'), (2, '[["c0"],["c1"],["c2"]]')]
+    assert len(run(3)) == 4
+
+
+def test_audit_rows_are_the_same_on_replay_and_none_for_empty_batches(spark, scratch):
+    import os
+
+    rows = spark.createDataFrame([("a", 1, True, 0.9), ("b", 0, False, 0.2), ("c", 1, False, None)], "conv_id string, prediction int, alert boolean, probability double")
+    handle = jobs.audit_sink(f"{scratch}/out", f"{scratch}/audit")
+    for _ in range(2):
+        handle(rows, 7)
+    assert spark.read.parquet(f"{scratch}/out").count() == 3
+    (audit,) = spark.read.parquet(f"{scratch}/audit").collect()
+    assert (audit.n_rows, audit.n_scam, audit.n_alerts, audit.max_probability) == (3, 2, 1, 0.9)
+    handle(rows.limit(0), 8)
+    assert os.listdir(f"{scratch}/audit") == ["batch_id=7"] and not os.path.exists(f"{scratch}/out/batch_id=8")
 
 
 def test_stream_verdicts_equal_batch_verdicts_for_every_model(spark, scratch):
