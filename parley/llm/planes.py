@@ -11,7 +11,8 @@ A file is
   bit (byte) of all its ids stands together, and every plane is compressed by
   itself with Zstandard;
 * the chunk index: place, number of ids, CRC-32 and plane lengths of each chunk;
-* the document index: ``doc_id`` (with a null flag) and number of ids of each;
+* the document index: ``doc_id`` (with a null flag) and number of ids of each
+  (both indexes with a checksum);
 * a tail with the lengths of both indexes.
 
 Blocks have a fixed size and run over document ends.  A file closes behind the
@@ -64,7 +65,7 @@ END = 2
 BLOCK = 1 << 16
 FILE_IDS = 1 << 23
 LEVEL = 3
-CACHE = 300_000
+CACHE = 600_000
 TEXTS = 256  # texts whose new pieces are encoded together
 MAGIC = b"IDPLANE1"
 _HEAD = struct.Struct("<8sII")
@@ -129,8 +130,9 @@ class Writer:
     def close(self) -> None:
         if self.held:
             self._chunk(np.frombuffer(b"".join(self.waiting), "<u4"))
-        index = self.box.compress(np.array(self.chunks, "<u8").tobytes())
-        documents = self.box.compress(self.doc_ids.tobytes() + self.sizes.tobytes() + bytes(self.nulls))
+        sealed = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        index = sealed.compress(np.array(self.chunks, "<u8").tobytes())
+        documents = sealed.compress(self.doc_ids.tobytes() + self.sizes.tobytes() + bytes(self.nulls))
         self.sink.write(index)
         self.sink.write(documents)
         self.sink.write(_TAIL.pack(len(index), len(documents), len(self.doc_ids), MAGIC))
@@ -226,25 +228,43 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
+        if self.by_piece:
+            # In a byte-level vocabulary a token's characters stand for its bytes.
+            vocab = self.tokenizer.get_vocab()
+            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.width[list(vocab.values())] = [len(t) for t in vocab]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Add pieces to those known.  Pieces that begin with a blank and end
+        without are encoded as one text, which has certain ends between them,
+        and its ids are dealt out by the bytes they stand for."""
+        joined = [p for p in new if p[0] in " \n" and not p[-1].isspace()]
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.width[ids])
+            wanted = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in joined])
+            last = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[last], wanted):
+                raise ValueError("an id reaches over the end of a piece")
+            raw, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+            self.known.update(zip(joined, [raw[a:b] for a, b in itertools.pairwise(cuts)]))
+        others = [p for p in new if p[0] not in " \n" or p[-1].isspace()]
+        self.known.update(zip(others, self._whole(others)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
         cuts = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        new = set()
+        used = set()
         for pieces in cuts:
-            new.update(pieces or ())
-        new.difference_update(self.known)
-        if new:
-            new = list(new)
-            if len(self.known) + len(new) > CACHE:
-                # Start anew with what these texts need.
-                self.known = {}
-                new = list({p for pieces in cuts for p in pieces or ()})
-            self.known.update(zip(new, self._whole(new)))
+            used.update(pieces or ())
+        new = list(itertools.filterfalse(self.known.__contains__, used))
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, list(used)  # start anew with what these texts need
+        self._learn(new)
         out = []
         for text, pieces in zip(texts, cuts):
             out.append(self._whole([text])[0] if pieces is None else b"".join(map(self.known.__getitem__, pieces)))
