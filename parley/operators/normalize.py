@@ -18,11 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import porter
+from parley.functions import greek, porter
 from parley.functions.stopwords import LANGUAGES, UNKNOWN, stop_word_rows, stop_words
 from parley.session import cut_lineage
 
-STEMMED_LANGUAGES = ("en",)  # languages with a rule-based stemmer
+STEMMED_LANGUAGES = ("en", "el")  # languages with a rule-based stemmer
 
 
 def stop_word_table(spark: SparkSession, languages: Sequence[str] = tuple(LANGUAGES)) -> DataFrame:
@@ -73,7 +73,7 @@ def detect_language(docs: DataFrame, doc: str = "conv_id", tokens: str = "tokens
 def normalize_list(tokens: str, lang: Column | str) -> Column:
     """A token array with the tokens of the stemmed languages stemmed."""
     code = F.col(lang) if isinstance(lang, str) else lang
-    return F.when(code.isin(*STEMMED_LANGUAGES), porter.stem_tokens(tokens)).otherwise(F.col(tokens))
+    return F.when(code == "en", porter.stem_tokens(tokens)).when(code == "el", greek.stem_tokens(tokens)).otherwise(F.col(tokens))
 
 
 def stem_vocabulary(tokens: DataFrame, token: str = "token", lang: str | None = "lang") -> DataFrame:
@@ -83,7 +83,15 @@ def stem_vocabulary(tokens: DataFrame, token: str = "token", lang: str | None =
     vocab = tokens.select(*cols).distinct()
     if lang:
         vocab = vocab.where(F.col(lang).isin(*STEMMED_LANGUAGES))
-    return porter.stem_column(vocab, token, "stem")
+    return _stemmed(vocab, token, lang)
+
+
+def _stemmed(words: DataFrame, token: str, lang: str | None) -> DataFrame:
+    """``words`` (distinct, of stemmed languages) with ``stem``.  Every word
+    passes the Porter steps, which leave other scripts alone; Greek words take
+    the Greek cascade's result instead."""
+    out = porter.stem_column(words, token, "stem")
+    return out.withColumn("stem", F.when(F.col(lang) == "el", greek.stem(token)).otherwise(F.col("stem"))) if lang else out
 
 
 def stem_families(counts: DataFrame) -> DataFrame:
@@ -92,21 +100,32 @@ def stem_families(counts: DataFrame) -> DataFrame:
     tokens are written once, as both branches read them."""
     counts = cut_lineage(counts)
     stemmed = F.col("family").isin(*STEMMED_LANGUAGES)
-    ruled = porter.stem_column(counts.where(stemmed), "token", "stem")
+    ruled = _stemmed(counts.where(stemmed), "token", "family")
     return ruled.unionByName(counts.where(~stemmed).withColumn("stem", F.col("token")))
 
 
-def normalize_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang", unsupported: str = "skip") -> DataFrame:
+def normalize_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang", unsupported: str = "skip", stems: DataFrame | None = None) -> DataFrame:
     """Replace each token by its stem.
 
-    ``unsupported`` decides rows whose language has no stemmer: ``skip``
-    drops them, ``keep`` leaves the token as is, ``error`` fails the job.
+    ``stems(lang, token, stem)`` plugs in other languages (or other stems of
+    the built-in ones): a language that occurs there is supported, and its
+    tokens that are not listed stay as they are.  ``unsupported`` decides rows
+    whose language has no stemmer: ``skip`` drops them, ``keep`` leaves the
+    token as is, ``error`` fails the job.
     """
     if unsupported not in ("skip", "keep", "error"):
         raise ValueError("unsupported must be skip, keep or error")
     supported = F.col(lang).isin(*STEMMED_LANGUAGES)
-    stems = stem_vocabulary(tokens, token, lang)
-    joined = tokens.join(stems, [lang, token], "left")
+    found = stem_vocabulary(tokens, token, lang)
+    if stems is not None:
+        given = stems.where("token is not null").groupBy(F.col("lang").alias(lang), F.col("token").alias(token)).agg(F.min("stem").alias("stem"))
+        # One row per language that the table knows.
+        known = [r[0] for r in given.select(lang).distinct().collect() if r[0] is not None]
+        supported = supported | F.col(lang).isin(*known)
+        found = found.where(~F.col(lang).isin(*known)).unionByName(given.where(F.col(lang).isin(*known))) if known else found
+    joined = tokens.join(found, [lang, token], "left")
+    if stems is not None:
+        joined = joined.withColumn("stem", F.when(supported, F.coalesce("stem", token)))
     if unsupported == "skip":
         return joined.where(supported).withColumn(token, F.col("stem")).drop("stem")
     if unsupported == "error":

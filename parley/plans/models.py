@@ -7,6 +7,8 @@ SQL twin (model fitting is iterative); the tests check their invariants.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +17,12 @@ from pyspark.sql import functions as F
 from parley.operators import ensembles as es
 from parley.operators import evaluate as ev
 from parley.operators import features as ft
+from parley.operators import network as nt
 from parley.operators import score as sc
 from parley.operators import train as tr
 from parley.plans.features import document_weights
 from parley.plans.registry import register
-from parley.session import cut_lineage
+from parley.session import cut_lineage, scratch_path
 
 
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +108,37 @@ def q_tune_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "layers string, val_loss double").orderBy("val_loss")
 
 
+@register("train_network")
+def q_train_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ReLU network of the default configuration, scored on the test side."""
+    data = training_frame(spark, sf_dir)
+    return _network_scores(data, data.where(F.col("split") == "test"))
+
+
+def _network_scores(data: DataFrame, test: DataFrame) -> DataFrame:
+    config = nt.Config()
+    state = nt.train_network(data.where(F.col("split") == "train"), config)
+    arrays = test.select("conv_id", "label", vector_to_array(tr.FEATURES).alias("features_array"))
+    scored = sc.with_verdict(sc.score_with_model(arrays, nt.predictor(config, state)))
+    return scored.select(F.lit("network").alias("model"), "conv_id", "label", "prediction", F.round("probability", 6).alias("probability"))
+
+
+@register("tune_network")
+def q_tune_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hyperband over the network's search space: every network of every rung
+    with its budget in steps and its validation loss."""
+    data = training_frame(spark, sf_dir).where(F.col("split") == "train")
+    rows = nt.search(data, scratch_path(spark, "networks", uuid.uuid4().hex))
+    schema = "bracket int, rung int, network int, config string, budget int, loss double, kept boolean"
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema).withColumn("loss", F.round("loss", 6))
+
+
 MODEL_KINDS = ("logistic_regression", "random_forest", "gbt", "linear_svc", "mlp")
 
 
 @register("evaluate_models")
 def q_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out comparison of all five models: every metric, every cell of the
+    """Held-out comparison of the five models and the network: every metric, every cell of the
     confusion matrix and every misclassified document, as one long table."""
     data = training_frame(spark, sf_dir)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
@@ -118,6 +146,7 @@ def q_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind in MODEL_KINDS:
         part = sc.score(tr.train(kind, train), test, model_name=kind)
         scored = part if scored is None else scored.unionByName(part)
+    scored = scored.unionByName(_network_scores(data, test), allowMissingColumns=True)
     scored = cut_lineage(scored)  # read three times below
     metrics, matrix = sc.evaluate_models(scored)
     wrong = ev.misclassified(scored, columns=["model", "conv_id", "label", "prediction", "probability"])

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions import greek
 from parley.functions import text as tx
 from parley.functions.stopwords import stop_word_sql
+from parley.operators import languages as lg
 from parley.operators import normalize as nz
+from parley.operators import train as tr
 from parley.plans.porter_sql import stem_ctes
 from parley.plans.registry import SQL_TOKENS, register
 from parley.sources.tables import scan_texts
@@ -75,6 +78,38 @@ def q_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nz.detect_language(all_documents(spark, sf_dir))
 
 
+SQL_GRAMS = "flatten(list_transform({x}, lambda t: list_transform(range(1, length(t) + 1), lambda i: substr(' ' || t || ' ', i, 3))))"
+
+
+@register(
+    "detect_language_grams",
+    oracle=f"""
+WITH t AS MATERIALIZED (
+    SELECT CAST(doc_id AS VARCHAR) AS conv_id, lang, {SQL_TOKENS.format(x='text')} AS tokens,
+           ('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 80 AS train FROM documents),
+  g AS MATERIALIZED (SELECT conv_id, lang, train, unnest({SQL_GRAMS.format(x='tokens')}) AS gram FROM t),
+  c AS (SELECT lang, gram, count(*) AS cnt FROM g WHERE train AND lang IS NOT NULL GROUP BY ALL),
+  n AS (SELECT lang, sum(cnt) + {lg.GRAMS} AS total FROM c GROUP BY lang),
+  p AS (SELECT lang, gram, ln(cnt + 1.0::DOUBLE) AS weight FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) <= {lg.GRAMS}),
+  k AS (SELECT conv_id, count(*) AS n_grams FROM g GROUP BY conv_id),
+  w AS (SELECT g.conv_id, p.lang, sum(p.weight) AS s FROM g JOIN p USING (gram) GROUP BY ALL),
+  s AS (SELECT k.conv_id, n.lang, k.n_grams, coalesce(w.s, 0) - k.n_grams * ln(n.total::DOUBLE) AS score
+        FROM k CROSS JOIN n LEFT JOIN w ON w.conv_id = k.conv_id AND w.lang = n.lang),
+  r AS (SELECT *, lead(score) OVER (PARTITION BY conv_id ORDER BY score DESC, lang) AS second,
+               row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, lang) AS place FROM s),
+  b AS (SELECT conv_id, lang, n_grams, (score - second) / n_grams AS margin FROM r WHERE place = 1)
+SELECT t.conv_id, CASE WHEN b.margin >= {lg.MARGIN} THEN b.lang ELSE 'unknown' END AS lang, round(b.margin, 6) AS lead, coalesce(b.n_grams, 0) AS n_grams
+FROM t LEFT JOIN b USING (conv_id)
+""",
+)
+def q_detect_language_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by trigram profiles, which four fifths of the
+    documents (by hash of the id) and their given languages make up."""
+    docs = all_documents(spark, sf_dir)
+    profiles = lg.language_profiles(tr.split_dataset(docs).where("split = 'train'"))
+    return lg.detect_language_by_grams(docs, profiles).withColumn("lead", F.round("lead", 6))
+
+
 @register(
     "stem_vocabulary",
     oracle=f"WITH {SQL_ALL_TK}, english AS (SELECT DISTINCT token FROM tk WHERE lang = 'en'), {stem_ctes('english')} SELECT token, stem FROM stems",
@@ -84,6 +119,29 @@ def q_stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nz.stem_vocabulary(all_tokens(spark, sf_dir)).select("token", "stem")
 
 
+# Greek letters for the Latin ones: words of the corpus that the rules can work on.
+LATIN, GREEK = "abgdezhqiklmnxoprstufcyw", "αβγδέζηθικλμνξοπρστυφχψω"
+SQL_GREEK_STEM = "translate(lower(token), '" + greek.MARKED + "', '" + greek.PLAIN + "')"
+for _pattern in greek.patterns():
+    SQL_GREEK_STEM = f"regexp_replace({SQL_GREEK_STEM}, '{_pattern}', '\\1')"
+
+
+@register(
+    "stem_greek",
+    oracle=f"""
+WITH {SQL_ALL_TK},
+  g AS (SELECT DISTINCT regexp_replace(translate(token, '{LATIN}', '{GREEK}'), 'σ$', 'ς') AS token FROM tk WHERE lang = 'en'),
+  w AS (SELECT token, translate(lower(token), '{greek.MARKED}', '{greek.PLAIN}') AS word, {SQL_GREEK_STEM} AS stem FROM g)
+SELECT token, CASE WHEN length(word) <= {greek.SHORT} THEN word ELSE stem END AS stem FROM w
+""",
+)
+def q_stem_greek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greek stems of the distinct English tokens, spelt in Greek letters."""
+    spelt = F.regexp_replace(F.translate("token", LATIN, GREEK), "σ$", "ς")
+    tokens = all_tokens(spark, sf_dir).where("lang = 'en'").select(F.lit("el").alias("lang"), spelt.alias("token"))
+    return nz.stem_vocabulary(tokens).select("token", "stem")
+
+
 @register(
     "normalize_tokens",
     oracle=f"""WITH {SQL_ALL_TK}, english AS (SELECT DISTINCT token FROM tk WHERE lang = 'en'), {stem_ctes('english')}

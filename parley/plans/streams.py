@@ -49,6 +49,29 @@ def q_stream_pair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.col("seq").cast("int").alias("seq"), "caller", "victim")
 
 
+SQL_BOUNDED = f"""
+WITH {sql_pairs(SQL_CONV_TURNS, 'text')}
+SELECT coalesce(c.conv_id, v.conv_id) AS conv_id, coalesce(c.seq, v.seq) AS seq, c.v AS caller, v.v AS victim,
+       c.seq IS NOT NULL AND v.seq IS NOT NULL AS paired
+FROM (SELECT * FROM s WHERE channel = 'caller') c FULL JOIN (SELECT * FROM s WHERE channel = 'victim') v ON c.conv_id = v.conv_id AND c.seq = v.seq
+"""
+END = "~end"  # a conversation whose late messages move the watermark past all others
+
+
+@register("stream_pair_turns_bounded", oracle=SQL_BOUNDED)
+def q_stream_pair_turns_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairing with bounded state: messages whose partner does not come
+    within the bound leave the join as rejects once the watermark has passed."""
+    root = _workdir(spark, "bounded")
+    late = spark.createDataFrame([(END, 1_000_000, ch, "") for ch in ("caller", "victim")], "conv_id string, turn long, channel string, text string")
+    jobs.write_channel_messages(conversation_turns(spark, sf_dir).unionByName(late), f"{root}/in")
+    caller, victim = (jobs.read_channel_stream(spark, f"{root}/in", ch) for ch in ("caller", "victim"))
+    out = _drain(jobs.stream_pair_turns(caller, victim, bound="1 hour"), root, "bounded").where(F.col("conv_id") != END)
+    pairs, rejects = jobs.split_unpaired(out)
+    columns = ["conv_id", F.col("seq").cast("int").alias("seq"), "caller", "victim"]
+    return pairs.select(*columns, F.lit(True).alias("paired")).unionByName(rejects.select(*columns, F.lit(False).alias("paired")))
+
+
 @register("stream_running_transcript", oracle=ORACLE_PREFIXES)
 def q_stream_running_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _workdir(spark, "transcript")

@@ -93,3 +93,57 @@ def test_normalize_unsupported_modes(spark):
 
     with pytest.raises(Exception):
         nz.normalize_tokens(tokens, unsupported="error").collect()
+
+
+def plain_greek(word):
+    """The Greek cascade letter by letter, from the endings alone."""
+    from parley.functions import greek
+
+    word = "".join(greek.PLAIN[greek.MARKED.index(c)] if c in greek.MARKED else c for c in word.lower())
+    if len(word) <= greek.SHORT:
+        return word
+    for endings, least in greek.STEPS:
+        fits = [e for e in endings if word.endswith(e) and len(word) - len(e) >= least]
+        if fits:
+            word = word[: -len(max(fits, key=len))]
+    return word
+
+
+# Forms of one word that have one stem, and pairs that must not.
+GREEK_FORMS = [
+    ["άνθρωπος", "άνθρωπο", "άνθρωποι", "ανθρώπων", "ΑΝΘΡΩΠΟΥΣ", "ανθρώπου"],
+    ["τράπεζα", "τράπεζας", "τράπεζες", "τραπεζών"],
+    ["λογαριασμός", "λογαριασμού", "λογαριασμοί", "λογαριασμών"],
+    ["μεταφέρω", "μεταφέρεις", "μεταφέρουμε", "μεταφέρουν"],
+    ["αριθμός", "αριθμό", "αριθμοί"],
+    ["μεγαλύτερος", "μεγαλύτερη", "μεγαλύτερο"],
+    ["κάρτα", "κάρτες", "καρτών", "κάρτας"],
+]
+
+
+def test_greek_stems(spark):
+    words = [w for forms in GREEK_FORMS for w in forms] + ["και", "ο", "", "ναι", "ϋ", "hello", "ώρα", "ΐδιος", "ομασταν", "ερχόμασταν", "γράμματα", "γράμματος"]
+    df = spark.createDataFrame([("d", "el", w) for w in words], "conv_id string, lang string, token string")
+    got = {r.token: r.stem for r in nz.stem_vocabulary(df).collect()}
+    assert got == {w: plain_greek(w) for w in words}
+    assert all(len({got[w] for w in forms}) == 1 for forms in GREEK_FORMS)
+    assert len({got[forms[0]] for forms in GREEK_FORMS}) == len(GREEK_FORMS)
+    row = spark.createDataFrame([(words, "el")], "tokens array<string>, lang string")
+    assert row.select(nz.normalize_list("tokens", "lang")).first()[0] == [got[w] for w in words]
+    out = nz.normalize_tokens(df, unsupported="error").collect()
+    assert sorted(r.token for r in out) == sorted(got[w] for w in words)
+
+
+def test_a_stem_table_plugs_in_languages(spark):
+    tokens = spark.createDataFrame([("a", "en", "running"), ("b", "fr", "mangeons"), ("b", "fr", "pain"), ("c", "de", "gehen"), ("d", None, "x")], "conv_id string, lang string, token string")
+    table = spark.createDataFrame([("fr", "mangeons", "mang"), ("fr", "mangeons", "mange"), ("fr", None, "x")], "lang string, token string, stem string")
+    keep = sorted((r.conv_id, r.token) for r in nz.normalize_tokens(tokens, unsupported="keep", stems=table).collect())
+    assert keep == [("a", "run"), ("b", "mang"), ("b", "pain"), ("c", "gehen"), ("d", "x")]
+    skip = sorted((r.conv_id, r.token) for r in nz.normalize_tokens(tokens, stems=table).collect())
+    assert skip == keep[:3]
+    import pytest
+
+    with pytest.raises(Exception, match="unsupported language"):
+        nz.normalize_tokens(tokens, unsupported="error", stems=table).collect()
+    own = spark.createDataFrame([("en", "running", "RUN")], "lang string, token string, stem string")
+    assert nz.normalize_tokens(tokens.where("lang = 'en'"), stems=own).first().token == "RUN"
