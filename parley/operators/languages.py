@@ -54,10 +54,12 @@ def detect_language_by_grams(docs: DataFrame, profiles: DataFrame, doc: str = "c
     if not langs:
         return docs.select(doc, F.lit(UNKNOWN).alias("lang"), F.lit(None).cast("double").alias("lead"), F.size(word_grams(tokens)).cast("long").alias("n_grams"))
     wide = profiles.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == code, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, (code, _) in enumerate(langs)])
-    rows = docs.select(doc, F.monotonically_increasing_id().alias("_row"), F.explode_outer(word_grams(tokens)).alias("gram"))
+    # Numbered before the trigrams are dealt out, so that a text keeps one number.
+    numbered = docs.select(doc, tokens, F.monotonically_increasing_id().alias("_row"))
+    rows = numbered.select(doc, "_row", F.explode_outer(word_grams(tokens)).alias("gram"))
     hits = rows.join(F.broadcast(wide), "gram", "left")
     sums = hits.groupBy("_row").agg(F.first(doc).alias(doc), F.count("gram").alias("n_grams"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(langs))])
-    scores = F.array_sort(F.array(*[F.struct(-(F.col(f"s{i}") + F.col("n_grams") * F.lit(floor)).alias("score"), F.lit(code).alias("lang")) for i, (code, floor) in enumerate(langs)]))
+    scores = F.array_sort(F.array(*[F.struct((-(F.col(f"s{i}") + F.col("n_grams") * F.lit(floor))).alias("score"), F.lit(code).alias("lang")) for i, (code, floor) in enumerate(langs)]))
     ranked = sums.select(doc, "n_grams", scores.alias("r"))
     second = F.coalesce(F.get("r", F.lit(1))["score"], -F.col("n_grams") * F.lit(min((f for _, f in langs), default=0.0)))
     lead = F.when(F.col("n_grams") > 0, (second - F.col("r")[0]["score"]) / F.col("n_grams"))

@@ -150,7 +150,7 @@ WITH {sql_pairs(SQL_CONV_TURNS, SQL_TOKENS.format(x='text'))},
   said AS MATERIALIZED (
     SELECT conv_id, seq, 'caller' AS channel, unnest(caller) AS token, generate_subscripts(caller, 1) AS pos FROM p UNION ALL
     SELECT conv_id, seq, 'victim', unnest(victim), generate_subscripts(victim, 1) FROM p),
-  hits AS (SELECT conv_id, seq, sw.lang, count(*) AS hits FROM said JOIN {stop_word_sql()} sw ON said.token = sw.word GROUP BY ALL),
+  hits AS (SELECT conv_id, seq, sw.lang, count(*) AS hits FROM said JOIN (SELECT * FROM {stop_word_sql()}) sw ON said.token = sw.word GROUP BY ALL),
   best AS (SELECT *, rank() OVER (PARTITION BY conv_id, seq ORDER BY hits DESC) AS rk FROM hits),
   vote AS (SELECT conv_id, seq, CASE WHEN count(*) = 1 THEN min(lang) END AS lang FROM best WHERE rk = 1 GROUP BY ALL),
   spoken AS MATERIALIZED (SELECT said.*, vote.lang FROM said LEFT JOIN vote USING (conv_id, seq)),
