@@ -24,8 +24,10 @@ pre-aggregated to its first place before the join back.
 
 Edge cases: null and empty texts have no marks; a text shorter than a window
 is marked as a whole; in a run of equal windows one mark per ``SPAN`` stays;
-repeated rows of one id are one document; rows with a null ``doc_id`` have no
-place and are left out; an empty table gives no rows.
+repeated rows of one id and text are one document; rows without an id, and rows
+that share one with other texts, are documents of their own behind all others
+(``doc_id`` and ``first_doc_id`` show the id they have); an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def marked(docs: DataFrame, span: int = SPAN) -> DataFrame:
             if parts:
                 yield _mark_batch(parts)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MARK_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, MARK_SCHEMA)
 
 
 def _mark_batch(parts: list[tuple]) -> pa.RecordBatch:
@@ -255,11 +257,53 @@ def _passages(min_words: int):
     return run
 
 
+OWN = 1 << 62  # keys of rows without an id of their own begin here
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a key per document, and ``key, id`` of the rows whose key
+    is not their id.
+
+    The key is the id wherever one id means one text.  Rows without an id and
+    rows of an id with several texts are written once and numbered; ids are
+    counted map-side, and only repeated ones look at their texts.
+    """
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    often = cut(rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").select(F.col("_id").alias("_often")))
+    n = often.count()
+    if not n:
+        return rows.withColumnRenamed("_id", "_key"), None
+    often = F.broadcast(often) if n <= 50_000 else often
+    shared = rows.join(often, rows["_id"].eqNullSafe(often["_often"]), "left_semi")
+    texts = shared.groupBy("_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    mixed = cut(texts.where("_id is null or a <> b").select(F.col("_id").alias("_mixed")))
+    n = mixed.count()
+    if not n:
+        return rows.withColumnRenamed("_id", "_key"), None
+    mixed = F.broadcast(mixed) if n <= 50_000 else mixed
+    on = rows["_id"].eqNullSafe(mixed["_mixed"])
+    own = cut(rows.join(mixed, on, "left_semi").withColumn("_key", F.lit(OWN) + F.monotonically_increasing_id()))
+    plain = rows.join(mixed, on, "left_anti").withColumn("_key", F.col("_id"))
+    return plain.unionByName(own).drop("_id"), own.select(F.col("_key").alias("key"), F.col("_id").alias("id"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span: int = SPAN) -> DataFrame:
     """``doc_id, start_byte, end_byte, words, chunks, first_doc_id`` of every
     passage that an earlier place already holds (``chunks``: its marks)."""
+    rows, names = keyed(docs)
+    found = _by_key(rows.select(F.col("_key").alias("doc_id"), "text"), min_words, span)
+    if names is None:
+        return found
+    for column in ("doc_id", "first_doc_id"):
+        joined = found.join(names, found[column] == names["key"], "left")
+        found = joined.withColumn(column, F.when(F.col("key").isNull(), F.col(column)).otherwise(F.col("id"))).drop("key", "id")
+    return found
+
+
+def _by_key(docs: DataFrame, min_words: int, span: int) -> DataFrame:
+    """The same for documents whose ids are keys."""
     runs = cut(_runs(docs, span))
-    texts = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.where("text <> ''").select("doc_id", "text")
     asked = runs.select(F.col("first_doc_id").alias("doc_id"), "fa", "fb").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("fa", "fb")).alias("asked"))
     around = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_around, "first_doc_id long, fa long, fb long, before binary, behind binary")
     known = runs.join(around, ["first_doc_id", "fa", "fb"]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "n", "first_doc_id", "before", "behind")).alias("runs"))
@@ -268,7 +312,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span: int = S
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **params) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``."""
-    spans = repeated_passages(docs, min_words, **params).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    rows, _ = keyed(docs)
+    found = _by_key(rows.select(F.col("_key").alias("doc_id"), "text"), min_words, params.get("span", SPAN))
+    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
 
     @F.pandas_udf("string")
     def clean(texts, spans):
@@ -285,5 +331,5 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **params) -> Da
 
         return pd.Series([one(t, c) for t, c in zip(texts, spans)], dtype="object")
 
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
+    joined = rows.join(spans, F.col("_key") == F.col("_id"), "left")
     return joined.withColumn("text", clean("text", "_spans")).select(*docs.columns)

@@ -621,6 +621,29 @@ def test_repeated_passages(spark):
     assert chunks.repeated_passages(docs_frame(spark, [r for r in EDGE if r[0] == 7])).count() == 0
 
 
+def test_repeats_of_rows_without_or_with_shared_ids(spark):
+    """Every row takes part: three rows with one passage, two of them without
+    id; one id with several texts; rows that are repeated as a whole."""
+    rng = random.Random(5)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    passages = [some(60) for _ in range(3)]
+    rows = [(5, some(30) + " " + passages[0], "a"), (None, passages[0] + " " + some(30), "b"), (None, some(9) + " " + passages[0], "b")]
+    rows += [(7, some(20) + " " + passages[1], "a"), (7, passages[1] + " " + some(20), "a"), (8, passages[1], "a")]
+    rows += [(9, passages[2], "a"), (9, passages[2], "a"), (None, some(80), "c"), (None, None, "c"), (11, some(100), "a")]
+    rows += [r for r in EDGE if r[0] in (5, 6)]  # the very long ones
+    frame = docs_frame(spark, [(i + 100 if i in (5, 6) and len(t) > 9000 else i, t, s) for i, t, s in rows])
+    got = sorted((str(r.doc_id), str(r.first_doc_id)) for r in chunks.repeated_passages(frame).collect() if r.doc_id not in (105, 106))
+    assert [g for g in got if g[0] == "None"] == [("None", "5")] * 2
+    # Id 8 has one text and comes first; both texts of id 7 are documents behind it.
+    assert [g for g in got if g[0] in ("7", "8")] == [("7", "8")] * 2 and "9" not in {a for a, _ in got}
+    left = chunks.without_repeats(frame)
+    assert left.columns == frame.columns and left.count() == len(rows)
+    kept = [r.text or "" for r in left.collect()]
+    assert [sum(p in t for t in kept) for p in passages] == [1, 1, 2]
+    again = chunks.repeated_passages(frame.repartition(4)).collect()
+    assert sorted((str(r.doc_id), str(r.first_doc_id)) for r in again if r.doc_id not in (105, 106)) == got
+
+
 def test_long_repeats_are_caught_on_the_corpus(spark):
     """Documents that repeat a passage of over 50 words of an earlier document."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
