@@ -10,7 +10,7 @@ from parley.operators import normalize as nz
 from parley.operators import sequences as sq
 from parley.plans.features import SQL_DOC_TK, document_lists, raw_document_tokens
 from parley.plans.registry import register
-from parley.session import cut_lineage
+from parley.session import cut_lineage, stored
 
 SQL_VOCAB = f"""
 WITH {SQL_DOC_TK},
@@ -26,13 +26,14 @@ WITH {SQL_DOC_TK},
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, label, lang`` and both channels' token lists, cleaned and split
-    once and written to the shared folder: the counts and the encoding read them."""
-    return cut_lineage(document_lists(spark, sf_dir))
+    """``conv_id, label, lang``, a number and both channels' token lists, cleaned
+    and split once and written to the shared folder: the counts and the encoding
+    read them.  The number stands for the id in the token stream."""
+    return stored(document_lists(spark, sf_dir).withColumn("_d", F.monotonically_increasing_id()))
 
 
 def raw_tokens(lists: DataFrame) -> DataFrame:
-    return ft.channel_list_tokens(lists, carry=["lang"])
+    return ft.channel_list_tokens(lists, doc="_d", carry=["lang"])
 
 
 def document_sequences(spark: SparkSession, sf_dir: str):
@@ -41,8 +42,8 @@ def document_sequences(spark: SparkSession, sf_dir: str):
     tokens = raw_tokens(lists)
     vocab, lookup = sq.stemmed_vocabulary(sq.family_counts(tokens))
     family = F.when(F.col("lang").isin(*nz.STEMMED_LANGUAGES), F.col("lang")).otherwise(F.lit("")).alias("family")
-    encoded = sq.encode_sequences(tokens.select("*", family), lists.select("conv_id", "label"), lookup, carry=["label"], on=["family", "token"])
-    return vocab, encoded
+    encoded = sq.encode_sequences(tokens.select("*", family), lists.select("_d", "conv_id", "label"), lookup, doc="_d", carry=["conv_id", "label"], on=["family", "token"])
+    return vocab, encoded.drop("_d")
 
 
 @register("word_counts", oracle=SQL_VOCAB + "SELECT token, cnt FROM wc")

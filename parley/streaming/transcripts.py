@@ -14,9 +14,11 @@ and joins texts: it costs its output plus the new pairs.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,9 +28,14 @@ from parley.schemas import CALLER, VICTIM
 TRANSCRIPT_OUT = "prefix_id string, conv_id string, prefix_no int, caller string, victim string, gap boolean"
 ROWS_PER_YIELD = 64  # transcript rows handed over at once
 
-# Keyed state with lists, maps and timers needs this state store.
-PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed state with lists, maps and timers needs this state store.  With changes
+# instead of snapshots at every batch, and one store instead of four for a join
+# before it, a state partition takes less than half the disk.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 class Transcript(StatefulProcessor):
@@ -130,7 +137,11 @@ def stream_running_transcript(pairs: DataFrame, idle_ms: int | None = None) -> D
     for a missing one before them; by default they wait for it.  The session's
     state store is set to the one that keyed lists and maps need.
     """
-    pairs.sparkSession.conf.set(PROVIDER_CONF, PROVIDER)
+    for name, value in STATE_CONF.items():
+        pairs.sparkSession.conf.set(name, value)
+    # Spark also starts the processor in a process of its own beside the driver,
+    # which has no shipped package; it travels by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     text = lambda c: F.coalesce(F.to_json(F.col(c)), F.lit("null")).alias(c)
     packed = pairs.select("conv_id", "seq", "event_ts", text(CALLER), text(VICTIM))
     mode = "None" if idle_ms is None else "EventTime"
