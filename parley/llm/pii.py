@@ -55,6 +55,7 @@ PRECISION = 0.98
 LEAST_DIGITS, MOST_DIGITS = 7, 19
 LISTS = 10  # one in so many texts of the examples is a list of numbers
 PIECE = 4096  # candidates scored at once
+SLICE = 256  # texts redacted at once
 SEED = 17
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -465,21 +466,23 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     (``n_chars`` follows the new text when it is there).  A null text stays null."""
     model = model or train(docs.sparkSession, docs)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if text is None:
-                return None
-            base = base_spans(text)
-            spans = sorted(base + model.more_spans(text, base), key=lambda c: (c[0], -c[2]))
-            out, at = [], 0
-            for s, k, e in spans:
-                if s >= at:
-                    out += [text[at:s], f"[{k.upper()}]"]
-                at = max(at, e)
-            return "".join(out) + text[at:] if out else text
-
-        return texts.map(one, na_action="ignore")
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        base = base_spans(text)
+        spans = sorted(base + model.more_spans(text, base), key=lambda c: (c[0], -c[2]))
+        out, at = [], 0
+        for s, k, e in spans:
+            if s >= at:
+                out += [text[at:s], f"[{k.upper()}]"]
+            at = max(at, e)
+        return "".join(out) + text[at:] if out else text
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        # A few texts at a time, so that a batch is never held as Python strings.
+        parts = [pa.array([one(t.as_py()) for t in texts.slice(at, SLICE)], pa.string()) for at in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
