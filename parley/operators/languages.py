@@ -58,7 +58,8 @@ def detect_language_by_grams(docs: DataFrame, profiles: DataFrame, doc: str = "c
     numbered = docs.select(doc, tokens, F.monotonically_increasing_id().alias("_row"))
     rows = numbered.select(doc, "_row", F.explode_outer(word_grams(tokens)).alias("gram"))
     hits = rows.join(F.broadcast(wide), "gram", "left")
-    sums = hits.groupBy("_row").agg(F.first(doc).alias(doc), F.count("gram").alias("n_grams"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(langs))])
+    # The id is a key, not a first(): a string buffer would sort every trigram row.
+    sums = hits.groupBy("_row", doc).agg(F.count("gram").alias("n_grams"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(langs))])
     scores = F.array_sort(F.array(*[F.struct((-(F.col(f"s{i}") + F.col("n_grams") * F.lit(floor))).alias("score"), F.lit(code).alias("lang")) for i, (code, floor) in enumerate(langs)]))
     ranked = sums.select(doc, "n_grams", scores.alias("r"))
     second = F.coalesce(F.get("r", F.lit(1))["score"], -F.col("n_grams") * F.lit(min((f for _, f in langs), default=0.0)))

@@ -60,3 +60,10 @@ def test_profiles_are_broadcast_and_trigrams_stay(spark):
     docs = all_documents(spark, SF01)
     plan = lg.detect_language_by_grams(docs, lg.language_profiles(docs))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "partial_sum" in plan
+
+
+def test_scores_are_summed_without_sorting_the_trigrams(spark):
+    docs = spark.createDataFrame([("a", "en", ["the", "thing"]), ("a", "de", ["das"]), (None, None, ["the"])], DOCS)
+    found = lg.detect_language_by_grams(docs, lg.language_profiles(docs, grams=5))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.conv_id or "", r.n_grams) for r in found.collect()) == [("", 3), ("a", 3), ("a", 8)]
