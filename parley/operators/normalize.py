@@ -6,9 +6,9 @@
   at the top or no hit at all gives ``unknown``.
 * Stemming: distinct ``(lang, token)`` pairs are stemmed once with the column
   expressions of :mod:`parley.functions.porter` and joined back on the token.
-  The distinct vocabulary grows far slower than the token stream; the join
-  back is an ordinary equi-join that AQE may broadcast when the vocabulary is
-  small, and shuffles otherwise.
+  The distinct vocabulary grows far slower than the token stream; the stems of
+  its most frequent tokens are broadcast, and only rare tokens are shuffled to
+  theirs.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from parley.functions.stopwords import LANGUAGES, UNKNOWN, stop_word_rows, stop_
 from parley.session import cut_lineage
 
 STEMMED_LANGUAGES = ("en", "el")  # languages with a rule-based stemmer
+MOST_BROADCAST = 50_000  # most frequent tokens whose stems are broadcast
 
 
 def stop_word_table(spark: SparkSession, languages: Sequence[str] = tuple(LANGUAGES)) -> DataFrame:
@@ -104,6 +105,23 @@ def stem_families(counts: DataFrame) -> DataFrame:
     return ruled.unionByName(counts.where(~stemmed).withColumn("stem", F.col("token")))
 
 
+def _looked_up(tokens: DataFrame, found: DataFrame, keys: list[str], supported: Column) -> DataFrame:
+    """``tokens`` with the ``stem`` that ``found`` (``keys, stem, _cnt``) lists.
+
+    The ``MOST_BROADCAST`` most frequent tokens are looked up where the stream
+    is read.  Only the others are shuffled: none of them is frequent, so no
+    task gets a hot key, and tokens without a stemmer stay where they are.
+    """
+    found = cut_lineage(found.select(*keys, "stem", "_cnt"))
+    few = found.count() <= MOST_BROADCAST
+    common = found if few else found.orderBy(F.desc("_cnt"), *keys).limit(MOST_BROADCAST)
+    marked = tokens.join(F.broadcast(common.drop("_cnt")), keys, "left")
+    if few:
+        return marked
+    rare = F.col("stem").isNull() & F.coalesce(supported, F.lit(False))
+    return marked.where(~rare).unionByName(marked.where(rare).drop("stem").join(found.drop("_cnt"), keys, "left"))
+
+
 def normalize_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang", unsupported: str = "skip", stems: DataFrame | None = None) -> DataFrame:
     """Replace each token by its stem.
 
@@ -115,15 +133,18 @@ def normalize_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang"
     """
     if unsupported not in ("skip", "keep", "error"):
         raise ValueError("unsupported must be skip, keep or error")
-    supported = F.col(lang).isin(*STEMMED_LANGUAGES)
-    found = stem_vocabulary(tokens, token, lang)
+    keys, codes, known = [lang, token], list(STEMMED_LANGUAGES), []
     if stems is not None:
         given = stems.where("token is not null").groupBy(F.col("lang").alias(lang), F.col("token").alias(token)).agg(F.min("stem").alias("stem"))
         # One row per language that the table knows.
         known = [r[0] for r in given.select(lang).distinct().collect() if r[0] is not None]
-        supported = supported | F.col(lang).isin(*known)
-        found = found.where(~F.col(lang).isin(*known)).unionByName(given.where(F.col(lang).isin(*known))) if known else found
-    joined = tokens.join(found, [lang, token], "left")
+        codes += [code for code in known if code not in codes]
+    supported = F.col(lang).isin(*codes)
+    counts = tokens.where(supported).groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    found = _stemmed(counts.where(~F.col(lang).isin(*known)) if known else counts, token, lang)
+    if known:
+        found = found.unionByName(counts.join(given, keys))
+    joined = _looked_up(tokens, found, keys, supported)
     if stems is not None:
         joined = joined.withColumn("stem", F.when(supported, F.coalesce("stem", token)))
     if unsupported == "skip":

@@ -147,3 +147,21 @@ def test_a_stem_table_plugs_in_languages(spark):
         nz.normalize_tokens(tokens, unsupported="error", stems=table).collect()
     own = spark.createDataFrame([("en", "running", "RUN")], "lang string, token string, stem string")
     assert nz.normalize_tokens(tokens.where("lang = 'en'"), stems=own).first().token == "RUN"
+
+
+def test_frequent_tokens_are_stemmed_without_shuffling_the_stream(spark, monkeypatch):
+    rows = [("a", "en", "running")] * 5 + [("a", "en", "cats"), ("b", "en", "flies"), ("b", "de", "running"), ("c", None, "cats"), ("c", "en", None)]
+    tokens = spark.createDataFrame(rows, "conv_id string, lang string, token string")
+    table = spark.createDataFrame([("de", "running", "renn"), ("de", "cats", None)], "lang string, token string, stem string")
+    forms = [dict(unsupported="keep"), dict(unsupported="skip"), dict(unsupported="keep", stems=table)]
+    found = lambda: [sorted((r.conv_id, r.lang or "", r.token or "") for r in nz.normalize_tokens(tokens, **form).collect()) for form in forms]
+    want = found()
+    assert want[1] == [("a", "en", "cat")] + [("a", "en", "run")] * 5 + [("b", "en", "fli"), ("c", "en", "")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in nz.normalize_tokens(tokens)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    monkeypatch.setattr(nz, "MOST_BROADCAST", 1)
+    assert found() == want
