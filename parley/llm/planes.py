@@ -228,6 +228,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if self.by_piece:
             # In a byte-level vocabulary a token's characters stand for its bytes.
             vocab = self.tokenizer.get_vocab()
@@ -237,10 +238,11 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Add pieces to those known.  Pieces that begin with a blank and end
-        without are encoded as one text, which has certain ends between them,
-        and its ids are dealt out by the bytes they stand for."""
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces.  Pieces that begin with a blank and end without are
+        encoded as one text, which has certain ends between them, and its ids
+        are dealt out by the bytes they stand for."""
+        found = {}
         joined = [p for p in new if p[0] in " \n" and not p[-1].isspace()]
         if joined:
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
@@ -250,9 +252,24 @@ class Encoder:
             if not np.array_equal(ends[last], wanted):
                 raise ValueError("an id reaches over the end of a piece")
             raw, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-            self.known.update(zip(joined, [raw[a:b] for a, b in itertools.pairwise(cuts)]))
+            found.update(zip(joined, [raw[a:b] for a, b in itertools.pairwise(cuts)]))
         others = [p for p in new if p[0] not in " \n" or p[-1].isspace()]
-        self.known.update(zip(others, self._whole(others)))
+        found.update(zip(others, self._whole(others)))
+        return found
+
+    def _find(self, used: set[str]) -> dict[str, bytes]:
+        """Ids of the distinct pieces of some texts.  Pieces are kept in two
+        generations: a full one becomes the older one, from which pieces that
+        are met again move on; only those not met for so long are forgotten."""
+        found = dict(zip(used, map(self.known.get, used)))
+        missing = [p for p, raw in found.items() if raw is None]
+        new = {p: self.older[p] for p in missing if p in self.older}
+        new.update(self._learn([p for p in missing if p not in new]))
+        found.update(new)
+        self.known.update(new)
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -261,13 +278,10 @@ class Encoder:
         used = set()
         for pieces in cuts:
             used.update(pieces or ())
-        new = list(itertools.filterfalse(self.known.__contains__, used))
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(used)  # start anew with what these texts need
-        self._learn(new)
+        found = self._find(used)  # few enough to stay near the processor for the look-ups below
         out = []
         for text, pieces in zip(texts, cuts):
-            out.append(self._whole([text])[0] if pieces is None else b"".join(map(self.known.__getitem__, pieces)))
+            out.append(self._whole([text])[0] if pieces is None else b"".join(map(found.__getitem__, pieces)))
         return out
 
 
