@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.schemas import UTTERANCES
+from parley.session import cut_lineage
 
 # Fixed values that define the cleaning contract.
 DIGIT = r"\p{Nd}"  # any Unicode decimal digit
@@ -109,8 +110,12 @@ def parse_nested_list(c: Column | str) -> Column:
 def split_nested_list(df: DataFrame, cell: str, parsed: str) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejects)``: rows with the parsed cell as ``parsed``, and the
     rows whose cell is no list of lists of strings, as they came.  A null cell
-    is an empty list."""
-    tried = df.withColumn(parsed, F.when(F.col(cell).isNull(), F.array().cast(UTTERANCES)).otherwise(parse_nested_list(cell)))
+    is an empty list.
+
+    The parsed rows are written to the shared folder once: both halves, and the
+    conditions they are told apart by, read them from there.
+    """
+    tried = cut_lineage(df.withColumn(parsed, F.when(F.col(cell).isNull(), F.array().cast(UTTERANCES)).otherwise(parse_nested_list(cell))))
     return tried.where(F.col(parsed).isNotNull()), tried.where(F.col(parsed).isNull()).drop(parsed)
 
 
