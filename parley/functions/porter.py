@@ -7,9 +7,10 @@ in the row, for streams, whose small messages have no vocabulary to join.
 Every step is a ``CASE`` over suffixes, longest
 suffix first (the paper's rule: only the longest matching suffix of a step is
 considered).  Conditions use the measure ``m`` of the stem, computed from a
-consonant/vowel map of the word built once per step with a JVM
-``aggregate`` over the characters: ``a e i o u`` are vowels, ``y`` is a vowel
-when it follows a consonant, everything else is a consonant.  ``m`` is the
+consonant/vowel map of the word built once per step with string functions
+(words with ``yy``: an ``aggregate`` over the characters): ``a e i o u`` are
+vowels, ``y`` is a vowel when it follows a consonant, everything else is a
+consonant.  ``m`` is the
 number of vowel->consonant transitions, i.e. ``regexp_count(cv, 'VC')``.
 Words of one or two letters are left alone.
 """
@@ -39,6 +40,14 @@ C = "_pc"  # its consonant/vowel map
 
 
 def _cv(word: Column) -> Column:
+    """Consonant/vowel map.  A single ``y`` is decided by the letter before it,
+    with string functions; runs of ``y`` alternate, letter by letter."""
+    marked = F.translate(F.regexp_replace(word, "[^aeiouy]", "C"), "".join(VOWELS), "V" * len(VOWELS))
+    single = F.translate(F.regexp_replace(marked, "(^|V)y", "$1C"), "y", "V")
+    return F.when(F.contains(word, F.lit("yy")), _cv_by_letter(word)).otherwise(single)
+
+
+def _cv_by_letter(word: Column) -> Column:
     chars = F.filter(F.split(word, ""), lambda ch: ch != "")
     return F.aggregate(
         chars,
