@@ -146,6 +146,17 @@ def test_pieces_encode_like_whole_texts(tokenizer, monkeypatch):
     assert np.frombuffer(planes.Encoder(tokenizer, special=True).encode(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
 
 
+def test_pieces_that_come_again_are_not_forgotten(tokenizer, monkeypatch):
+    """A full cache forgets the pieces that were not met for long, not all."""
+    monkeypatch.setattr(planes, "CACHE", 20)
+    own, learnt = planes.Encoder(tokenizer), []
+    learn = own._learn
+    own._learn = lambda new: learnt.extend(new) or learn(new)
+    for k in range(40):
+        own.encode([f"x common{'abcdefgh'[k % 8]}{'ijklm'[k // 8]} word"])
+    assert learnt.count(" word") == 1 and len(own.known) + len(own.older) <= 40
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 

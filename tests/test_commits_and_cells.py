@@ -116,6 +116,14 @@ def test_malformed_cells_are_rejects(spark):
     assert parsed(spark, [None]) == [[]]
 
 
+def test_cells_are_parsed_once(spark):
+    """Both halves read the parsed cells; neither plan parses them again."""
+    df = spark.createDataFrame([(1, "[['a']]"), (2, "[['a'"), (3, None)], "id int, cell string")
+    halves = tx.split_nested_list(df, "cell", "parsed")
+    assert all("regexp_extract_all" not in h._jdf.queryExecution().optimizedPlan().toString() for h in halves)
+    assert [sorted(r.id for r in h.collect()) for h in halves] == [[1, 3], [2]]
+
+
 def test_rendered_cells_come_back(spark):
     rng = random.Random(8)
     alphabet = "ab'\"\\,[] \n\r\tNone{}é日\x0b "

@@ -38,6 +38,15 @@ def test_porter_matches_reference_on_word_list(spark):
         assert got[w] == s, w
 
 
+def test_letter_maps_equal_those_built_by_letter(spark):
+    import itertools
+
+    words = ["".join(w) for n in range(5) for w in itertools.product("yaCbV", repeat=n)] + ["ééy", "y𝒳y", "a\ny", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = df.select("w", porter._cv(F.col("w")), porter._cv_by_letter(F.col("w"))).collect()
+    assert len(got) == len(words) and all(fast == slow for _, fast, slow in got)
+
+
 def test_porter_matches_reference_on_corpus_vocabulary(spark):
     from parley.plans.normalize import all_tokens
 
