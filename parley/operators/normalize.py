@@ -150,6 +150,6 @@ def normalize_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang"
     if unsupported == "skip":
         return joined.where(supported).withColumn(token, F.col("stem")).drop("stem")
     if unsupported == "error":
-        checked = F.when(supported, F.col("stem")).otherwise(F.raise_error(F.concat(F.lit("unsupported language: "), F.col(lang))))
+        checked = F.when(supported, F.col("stem")).otherwise(F.raise_error(F.concat(F.lit("unsupported language: "), F.coalesce(F.col(lang), F.lit("null")))))
         return joined.withColumn(token, checked).drop("stem")
     return joined.withColumn(token, F.coalesce(F.col("stem"), F.col(token))).drop("stem")
