@@ -52,6 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -66,12 +67,13 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 23
 LEVEL = 3
 CACHE = 600_000
-TEXTS = 256  # texts whose new pieces are encoded together
+TEXT_BYTES = 1 << 23  # bytes of the texts that are encoded together (one text at least)
 MAGIC = b"IDPLANE1"
 _HEAD = struct.Struct("<8sII")
 _TAIL = struct.Struct("<QQQ8s")
 
-_PIECE = re.compile(r"[ \n]*+(?:[A-Za-z]++(?![^\x00-\x7f])|[^ \n]++)|[ \n]++")
+_WORD = r"\A ?[A-Za-z]+\z"
+_INNER = r"(?s)\A[ \n].*[^\s\pZ\v\x1c-\x1f\x{85}]\z"  # begins with a blank, ends without white space
 _ODD_SPACE = re.compile(r"[^\S \n][ \n]")
 
 
@@ -210,11 +212,41 @@ def read_range(source, start: int, stop: int) -> np.ndarray:
     return np.concatenate(parts)[start - first * file.block : stop - first * file.block]
 
 
+def ragged(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``ids``, which are ``size`` long, one behind the other."""
+    n = size[at]
+    shift = (np.cumsum(size) - size)[at] - (np.cumsum(n) - n)
+    return ids[np.repeat(shift, n) + np.arange(n.sum())]
+
+
+class Pieces:
+    """Distinct pieces of text with the ids of each, as columns."""
+
+    def __init__(self, text: pa.Array | None = None, size: np.ndarray | None = None, ids: np.ndarray | None = None):
+        self.text = pa.array([], pa.large_binary()) if text is None else text
+        self.size = np.zeros(0, np.int64) if size is None else size
+        self.ids = np.zeros(0, np.uint32) if ids is None else ids
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def find(self, wanted: pa.Array) -> np.ndarray:
+        """The places of ``wanted``, -1 where a piece is not here."""
+        return pc.fill_null(pc.index_in(wanted, value_set=self.text), -1).to_numpy().astype(np.int64)
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(self.text.take(pa.array(at)), self.size[at], ragged(self.ids, self.size, at))
+
+    def joined(self, *others: Pieces) -> Pieces:
+        every = (self, *others)
+        return Pieces(pa.concat_arrays([p.text for p in every]), np.concatenate([p.size for p in every]), np.concatenate([p.ids for p in every]))
+
+
 class Encoder:
     """Texts to ids as little-endian 32-bit numbers."""
 
     def __init__(self, path: str, special: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
@@ -227,9 +259,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = not special
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = Pieces(), Pieces()
         if self.by_piece:
+            self.words = Tokenizer.from_file(path)
+            self.words.no_truncation()
+            self.words.encode_special_tokens = True
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
             # In a byte-level vocabulary a token's characters stand for its bytes.
             vocab = self.tokenizer.get_vocab()
             self.width = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -238,51 +273,123 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces.  Pieces that begin with a blank and end without are
-        encoded as one text, which has certain ends between them, and its ids
-        are dealt out by the bytes they stand for."""
-        found = {}
-        joined = [p for p in new if p[0] in " \n" and not p[-1].isspace()]
-        if joined:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.width[ids])
-            wanted = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in joined])
-            last = np.searchsorted(ends, wanted)
-            if not np.array_equal(ends[last], wanted):
-                raise ValueError("an id reaches over the end of a piece")
-            raw, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-            found.update(zip(joined, [raw[a:b] for a, b in itertools.pairwise(cuts)]))
-        others = [p for p in new if p[0] not in " \n" or p[-1].isspace()]
-        found.update(zip(others, self._whole(others)))
-        return found
-
-    def _find(self, used: set[str]) -> dict[str, bytes]:
-        """Ids of the distinct pieces of some texts.  Pieces are kept in two
+    def _dealt(self, ids: list[int], pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per piece its number of ids, by the bytes that they stand for; the ids."""
+        ids = np.array(ids, np.uint32)
+        ends = np.cumsum(self.width[ids])
+        wanted = np.cumsum(pc.binary_length(pieces).to_numpy())
+        last = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[last], wanted):
+            raise ValueError("an id reaches over the end of a piece")
+        return np.diff(last + 1, prepend=0), ids
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per piece its number of ids; the ids.  Words are pre-tokens already,
+        so they go to the model in the vocabulary's own letters; other pieces
+        that begin with a blank and end without are encoded as one text, which
+        has certain ends between them."""
+        pieces = pa.array(new, pa.large_string())
+        word, inner = (pc.match_substring_regex(pieces, p).to_numpy(zero_copy_only=False) for p in (_WORD, _INNER))
+        kind = np.where(word, 0, np.where(inner, 1, 2))
+        parts = []
+        for k, (tokenizer, between) in enumerate(((self.words, "\n"), (self.tokenizer, ""))):
+            some = pieces.filter(pa.array(kind == k))
+            if len(some):
+                text = between.join(some.to_pylist())
+                text = text.replace(" ", "\u0120") if tokenizer is self.words else text
+                parts.append(self._dealt(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, some))
+        raw = self._whole(pieces.filter(pa.array(kind == 2)).to_pylist())
+        parts.append((np.array([len(r) // 4 for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint32)))
+        size, ids = (np.concatenate(p) for p in zip(*parts))
+        place = np.empty(len(new), np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(new))
+        return size[place], ragged(ids, size, place)
+
+    def _find(self, used: pa.Array) -> np.ndarray:
+        """The places of distinct pieces in ``known``.  Pieces are kept in two
         generations: a full one becomes the older one, from which pieces that
         are met again move on; only those not met for so long are forgotten."""
-        found = dict(zip(used, map(self.known.get, used)))
-        missing = [p for p, raw in found.items() if raw is None]
-        new = {p: self.older[p] for p in missing if p in self.older}
-        new.update(self._learn([p for p in missing if p not in new]))
-        found.update(new)
-        self.known.update(new)
         if len(self.known) > CACHE // 2:
-            self.known, self.older = {}, self.known
+            self.known, self.older = Pieces(), self.known
+        found = self.known.find(used)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            wanted = used.take(pa.array(missing))
+            old = self.older.find(wanted)
+            moved = self.older.take(old[old >= 0])
+            unknown = wanted.filter(pa.array(old < 0))
+            learnt = Pieces(unknown, *self._learn(unknown.cast(pa.large_string()).to_pylist()))
+            found[missing[old >= 0]] = len(self.known) + np.arange(len(moved))
+            found[missing[old < 0]] = len(self.known) + len(moved) + np.arange(len(learnt))
+            self.known = self.known.joined(moved, learnt)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
-        cuts = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        used = set()
-        for pieces in cuts:
-            used.update(pieces or ())
-        found = self._find(used)  # few enough to stay near the processor for the look-ups below
-        out = []
-        for text, pieces in zip(texts, cuts):
-            out.append(self._whole([text])[0] if pieces is None else b"".join(map(found.__getitem__, pieces)))
-        return out
+        return self.encode_column(pa.array(texts, pa.large_string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of a string column: the pieces are cut, told apart and put
+        together as columns, and only distinct ones are looked up."""
+        if not self.by_piece:
+            return self._whole(texts.to_pylist())
+        texts = texts.cast(pa.large_string())
+        if not len(texts):
+            return []
+        ends = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        starts, odd = cut_places(data, ends)
+        places = pa.py_buffer(np.append(starts, len(data)).astype("<i8"))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
+        code = self._find(pieces.dictionary)[pieces.indices.to_numpy()]
+        before = np.append(0, np.cumsum(self.known.size[code]))
+        out = ragged(self.known.ids, self.known.size, code)
+        raw, cuts = out.tobytes(), (4 * before[np.searchsorted(starts, ends)]).tolist()
+        encoded = [raw[a:b] for a, b in itertools.pairwise(cuts)]
+        for i in odd.tolist():
+            text = texts[i].as_py()
+            if _ODD_SPACE.search(text):
+                encoded[i] = self._whole([text])[0]
+        return encoded
+
+
+def cut_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of texts in UTF-8 begin that lie one behind the other
+    between ``ends``, and the numbers of the texts that may hold other white
+    space before a blank.
+
+    A piece begins with a text, with a run of blanks and line feeds, and behind
+    ASCII letters that stand between such a run (or the text's begin) and
+    another ASCII character.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _KINDS[data]
+    head = np.zeros(len(data) + 1, bool)
+    head[ends] = True
+    head = head[:-1]
+    blank, letter = kind == _BLANK, kind == _LETTER
+    after = np.append(False, blank[:-1])  # behind a blank
+    begin = head | (blank & ~after)
+    run = np.append(False, letter[:-1]) & ~head  # behind a letter of the same text
+    first, last = np.flatnonzero(letter & ~run), np.flatnonzero(run & ~letter)
+    # A run of letters that ends with its text has no end in ``last``.
+    at = np.searchsorted(first, last) - 1
+    word = (head | after)[first[at]] & (kind[last] != _BLANK) & (data[last] < 128)
+    begin[last[word]] = True
+    spaced = np.flatnonzero(blank & ~head & np.append(False, _MAYBE_SPACE[data[:-1]]))
+    return np.flatnonzero(begin), np.unique(np.searchsorted(ends, spaced, "right") - 1)
+
+
+_BLANK, _LETTER = 1, 2
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b" \n")] = _BLANK
+_KINDS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+# Last bytes of the white space other than blank and line feed.
+_MAYBE_SPACE = np.zeros(256, bool)
+_MAYBE_SPACE[[c.encode("utf-8", "replace")[-1] for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]] = True
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -306,6 +413,16 @@ def in_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``TEXT_BYTES`` of text each."""
+    size = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(size, size[at] + TEXT_BYTES, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, unit: int = 8, block: int = BLOCK, file_ids: int = FILE_IDS, special: bool = False) -> DataFrame:
     """Write the ids of ``docs(doc_id, text)``; returns the manifest ``part,
     number, name, documents, ids, start`` of the files, where ``start`` counts
@@ -324,9 +441,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, u
             files.append((part, len(files), name, len(writer.sizes), writer.ids))
 
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                ids, texts = (c.slice(at, TEXTS).to_pylist() for c in batch.columns)
-                for doc_id, raw in zip(ids, own.encode(texts)):
+            for piece in slices(batch):
+                for doc_id, raw in zip(piece.column(0).to_pylist(), own.encode_column(piece.column(1))):
                     if writer is None:
                         name = f"{part:06d}-{len(files):05d}-{task.taskAttemptId()}.ids"
                         writer = Writer(fs.open_output_stream(f"{root}/{name}"), unit, block)

@@ -7,9 +7,11 @@ import io
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,28 @@ def test_pieces_that_come_again_are_not_forgotten(tokenizer, monkeypatch):
     assert learnt.count(" word") == 1 and len(own.known) + len(own.older) <= 40
 
 
+def test_columns_are_cut_and_encoded_like_texts(tokenizer, monkeypatch):
+    """Pieces are cut in the column's bytes, and a word that is known is not learnt again."""
+    piece = re.compile(r"[ \n]*+(?:[A-Za-z]++(?![^\x00-\x7f])|[^ \n]++)|[ \n]++")
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abzAZ01 \n\t\r'.,-é日\xa0\u3000🙂ς\x85\x1c") for _ in range(rng.randint(0, 25))) for _ in range(2000)]
+    raw = [t.encode() for t in texts]
+    starts, odd = planes.cut_places(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    assert starts.tolist() == [0, *np.cumsum([len(p.encode()) for t in texts for p in piece.findall(t)])[:-1].tolist()]
+    assert {i for i, t in enumerate(texts) if planes._ODD_SPACE.search(t)} <= set(odd.tolist())
+    own = planes.Encoder(tokenizer)
+    wanted = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(["zz first", *texts]).slice(1)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_column(column)] == wanted
+    monkeypatch.setattr(own, "_learn", None)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_column(column)] == wanted
+    monkeypatch.setattr(planes, "TEXT_BYTES", 100)
+    batch = pa.record_batch([column, column], names=["doc_id", "text"])
+    parts = list(planes.slices(batch))
+    assert len(parts) > 100 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [np.frombuffer(b, "<u4").tolist() for b in planes.Encoder(tokenizer).encode(["", "a"])] == [[], [64]]
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
