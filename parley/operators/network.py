@@ -24,7 +24,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +40,8 @@ OPTIMIZERS = ("adam", "sgd", "rmsprop", "nadam")
 N_FEATURES = 400
 SEED = tr.SEED
 EPSILON = 1e-7
+DENSE = 0.8  # share of numbers other than zero from which a block is kept whole
+DIRECT_BYTES = 32 << 20  # sums of partitions that go to the driver without a second level
 
 
 @dataclass(frozen=True)
@@ -163,42 +165,68 @@ def _rows(df: DataFrame, features: str, label: str) -> DataFrame:
     return df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
 
 
-def _totals(data: DataFrame, sizes: Sequence[int], one: Callable) -> tuple[int, np.ndarray]:
-    """Rows and the sums of ``one(x, y, partition)`` (a vector of ``sum(sizes)``
-    numbers) over all rows: summed per partition, then in two levels."""
+def blocks(rows: DataFrame) -> RDD:
+    """``rows`` (``x, y``) as ``(numbers, places, y, size)``, one per Arrow
+    batch, in bytes: a persisted block reaches numpy as it is, without a plan or a
+    conversion per step.  Of a block with many zeros only the other numbers are
+    kept, and a bit for every place."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n, total = 0, np.zeros(sum(sizes))
-        for k, batch in enumerate(batches):
-            if len(batch):
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                total += one(x, batch.column(1).to_numpy(), (TaskContext.get().partitionId(), k))
-                n += len(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "v"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(sum(sizes))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, total = n + k, total + np.frombuffer(v)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "v"])
-
-    schema = "n long, v binary"
-    parts = data.mapInArrow(partial, schema)
-    groups = math.isqrt(data.rdd.getNumPartitions())
-    if groups > 2:
-        parts = parts.repartition(groups).mapInArrow(merge, schema)
-    found = parts.collect()
-    return sum(r.n for r in found), sum((np.frombuffer(r.v) for r in found), np.zeros(sum(sizes)))
-
-
-def train_together(data: DataFrame, configs: Sequence[Config], states: Sequence[State], steps: int, seed: int = SEED) -> list[float]:
+            if len(batch):
+                x, y = batch.column(0).flatten().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+                there = x != 0
+                sparse = len(x) > 0 and there.mean() < DENSE
+                parts = (x[there], np.packbits(there), y) if sparse else (x, np.zeros(0, np.uint8), y)
+                yield pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in parts), pa.array([len(x)], pa.int64())], names=["x", "places", "y", "n"])
+
+    return rows.mapInArrow(pack, "x binary, places binary, y binary, n long").rdd.map(lambda r: (bytes(r.x), bytes(r.places), bytes(r.y), r.n))
+
+
+def unpacked(block: tuple[bytes, bytes, bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The features (rows x width) and labels of a block."""
+    x, places, y, n = *(np.frombuffer(v, kind) for v, kind in zip(block, (float, np.uint8, float))), block[3]
+    if len(places):
+        whole = np.zeros(n)
+        whole[np.unpackbits(places, count=n).view(bool)] = x
+        x = whole
+    return x.reshape(len(y), -1), y
+
+
+def _totals(data: RDD | DataFrame, sizes: Sequence[int], one: Callable) -> tuple[int, np.ndarray]:
+    """Rows and the sums of ``one(x, y, (partition, block))`` (a vector of
+    ``sum(sizes)`` numbers) over all rows: summed per partition, then, where
+    that is much, in two levels."""
+    data, width = data if isinstance(data, RDD) else blocks(data), sum(sizes)
+
+    def partial(part: int, found: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        n, total = 0, np.zeros(width)
+        for k, (x, y) in enumerate(map(unpacked, found)):
+            total += one(x, y, (part, k))
+            n += len(y)
+        yield n, total
+
+    def merge(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        n, total = 0, np.zeros(width)
+        for k, v in found:
+            n, total = n + k, total + v
+        yield n, total
+
+    sums, parts = data.mapPartitionsWithIndex(partial), data.getNumPartitions()
+    if parts * width * 8 > DIRECT_BYTES and parts > 4:
+        groups = math.isqrt(parts)
+        dealt = sums.mapPartitionsWithIndex(lambda p, found: ((p % groups, v) for v in found)).partitionBy(groups, int)
+        sums = dealt.values().mapPartitions(merge)
+    found = sums.collect()
+    return sum(n for n, _ in found), sum((v for _, v in found), np.zeros(width))
+
+
+def train_together(data: RDD | DataFrame, configs: Sequence[Config], states: Sequence[State], steps: int, seed: int = SEED) -> list[float]:
     """``steps`` steps of every network in place, one job a step; the penalised
-    training loss of each before its last step.  ``data`` (``x, y``) should be
-    persisted."""
-    sc, losses = data.sparkSession.sparkContext, [math.nan] * len(configs)
+    training loss of each before its last step.  ``data`` (``x, y``, or their
+    ``blocks``) should be persisted."""
+    data = data if isinstance(data, RDD) else blocks(data)
+    sc, losses = data.context, [math.nan] * len(configs)
     sizes = [c.size + 1 for c in configs]
     for _ in range(steps):
         shared = sc.broadcast([(c, s.weights, s.step) for c, s in zip(configs, states)])
@@ -225,9 +253,10 @@ def train_together(data: DataFrame, configs: Sequence[Config], states: Sequence[
     return losses
 
 
-def held_out_losses(data: DataFrame, configs: Sequence[Config], states: Sequence[State]) -> list[float]:
+def held_out_losses(data: RDD | DataFrame, configs: Sequence[Config], states: Sequence[State]) -> list[float]:
     """Mean cross-entropy of every network, in one job."""
-    shared = data.sparkSession.sparkContext.broadcast([(c, s.weights) for c, s in zip(configs, states)])
+    data = data if isinstance(data, RDD) else blocks(data)
+    shared = data.context.broadcast([(c, s.weights) for c, s in zip(configs, states)])
 
     def one(x: np.ndarray, y: np.ndarray, place: tuple[int, int]) -> np.ndarray:
         return np.array([loss_sum(forward(c, w, x), y) for c, w in shared.value])
@@ -238,7 +267,7 @@ def held_out_losses(data: DataFrame, configs: Sequence[Config], states: Sequence
 
 
 def train_network(df: DataFrame, config: Config = Config(), steps: int = 60, features: str = tr.FEATURES, label: str = tr.LABEL, seed: int = SEED) -> State:
-    data = _rows(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    data = blocks(_rows(df, features, label)).persist(StorageLevel.MEMORY_AND_DISK)
     state = start(config, seed)
     try:
         train_together(data, [config], [state], steps, seed)
@@ -302,7 +331,7 @@ def search(df: DataFrame, folder: str, most: int = 45, eta: int = 3, least: int
     next rung reads them from there."""
     spark = df.sparkSession
     side = tr.hash_bucket(base_id, 100, SEED + 2) < int(round(tr.TRAIN_RATIO * 100))
-    fit, held = (_rows(df.where(s), features, label).persist(StorageLevel.MEMORY_AND_DISK) for s in (side, ~side))
+    fit, held = (blocks(_rows(df.where(s), features, label)).persist(StorageLevel.MEMORY_AND_DISK) for s in (side, ~side))
     out, drawn = [], 0
     try:
         for b, rungs in enumerate(brackets(most, eta, least)):

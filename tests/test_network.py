@@ -102,3 +102,32 @@ def test_search_reports_every_rung_and_reruns_agree(data, scratch):
     for b, rung in {(r["bracket"], r["rung"]) for r in found}:
         part = [r for r in found if (r["bracket"], r["rung"]) == (b, rung)]
         assert max(r["loss"] for r in part if r["kept"]) <= min([r["loss"] for r in part if not r["kept"]], default=np.inf)
+
+
+def test_blocks_keep_every_number(spark):
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.3, 1.0):
+        x = np.where(rng.random((37, 11)) < share, rng.normal(size=(37, 11)), 0.0)
+        made = spark.createDataFrame([(v.tolist(), float(i)) for i, v in enumerate(x)], "x array<double>, y double").coalesce(1)
+        (found,) = nt.blocks(made).collect()
+        got, y = nt.unpacked(found)
+        assert np.array_equal(got, x) and np.array_equal(y, np.arange(37))
+        assert len(found[0]) == 8 * np.count_nonzero(x)
+
+
+def test_sums_in_two_levels_equal_direct_ones(data, monkeypatch):
+    spread = nt.blocks(nt._rows(data, tr.FEATURES, "label")).cache()
+    one = lambda x, y, place: np.concatenate([x.sum(0), [y.sum()]])
+    direct = nt._totals(spread, [3, 1], one)
+    monkeypatch.setattr(nt, "DIRECT_BYTES", 0)
+    merged = nt._totals(spread, [3, 1], one)
+    assert direct[0] == merged[0] == 240 and np.allclose(direct[1], merged[1])
+
+
+def test_a_step_plans_nothing(spark, data, monkeypatch):
+    """The rows are converted once; a step only reads the stored blocks."""
+    made = []
+    whole = nt.blocks
+    monkeypatch.setattr(nt, "blocks", lambda rows: made.append(1) or whole(rows))
+    nt.train_network(data, SMALL, steps=3)
+    assert made == [1]
