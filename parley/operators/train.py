@@ -8,6 +8,7 @@ on partitioning or row order.
 
 from __future__ import annotations
 
+import statistics
 import threading
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -26,11 +27,14 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators import evaluate as ev
 from parley.operators import forests as fo
 
 FEATURES = "combined_features"
@@ -153,6 +157,28 @@ class SharedLinearSVC(_SharedIterations, LinearSVC):
         return model.summary()
 
 
+class SteppedCrossValidator(CrossValidator):
+    """Cross-validation of a linear kind whose fits step together (``linear``)."""
+
+    MODELS = {"logistic_regression": LogisticRegressionModel, "linear_svc": LinearSVCModel}
+
+    def fit_together(self, kind: str, dataset: DataFrame, rows: int, metric: str) -> CrossValidatorModel:
+        from parley.operators import linear  # which reads this module
+
+        est, maps = self.getEstimator(), self.getEstimatorParamMaps()
+        points = [{p.name: v for p, v in m.items()} for m in maps]
+        defaults = {n: est.getOrDefault(n) if est.hasParam(n) else 0.0 for n in linear.SETTINGS}
+        scores, models = linear.search(kind, dataset, rows, points, defaults, metric, self.getFoldCol(), self.getNumFolds(), est.getFeaturesCol(), est.getLabelCol())
+        metrics = [sum(s) / len(s) for s in zip(*scores)]
+        best = max(range(len(maps)), key=lambda i: (metrics[i], -i))
+        weights, bias = models[best]
+        jvm = dataset.sparkSession.sparkContext._jvm
+        kept = getattr(jvm.org.apache.spark.ml.classification, self.MODELS[kind].__name__)(est.uid, _py2java(dataset.sparkSession.sparkContext, Vectors.dense(weights)), float(bias))
+        model = est.copy(maps[best])._copyValues(self.MODELS[kind](kept))
+        spread = [statistics.pstdev(s) for s in zip(*scores)]
+        return self._copyValues(CrossValidatorModel(model, metrics, stdMetrics=spread))
+
+
 SHARED = {"logistic_regression": SharedLogisticRegression, "linear_svc": SharedLinearSVC}
 
 
@@ -168,17 +194,18 @@ def cross_validate(
 ):
     """k-fold CV over a grid (default: the chosen point only) with a fold column.
 
-    The input is persisted, in few partitions, while the folds read it.  Use
-    ``REFERENCE_GRIDS[kind]`` for the full search.  Points that differ in
-    ``maxIter`` alone share the fits that converged.
+    Use ``REFERENCE_GRIDS[kind]`` for the full search.  All fits of logistic
+    regression step together over two classes; in other searches
+    the input is persisted, in few partitions, while the folds read it, and
+    points that differ in ``maxIter`` alone share the fits that converged.
     """
     est = estimator(kind, **params)
     if kind in SHARED:
         est = est._copyValues(SHARED[kind]())
     grid = grid or {k: [v] for k, v in CHOSEN.get(kind, {}).items()}
-    evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName=metric or CV_METRIC.get(kind, "accuracy"))
-    cached = few_partitions(df).persist(StorageLevel.MEMORY_AND_DISK)
-    cv = CrossValidator(
+    metric = metric or CV_METRIC.get(kind, "accuracy")
+    evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName=metric)
+    cv = SteppedCrossValidator(
         estimator=est,
         estimatorParamMaps=param_grid(est, grid),
         evaluator=evaluator,
@@ -187,6 +214,12 @@ def cross_validate(
         parallelism=parallelism,
         seed=SEED,
     )
+    if kind == "logistic_regression" and not params and set(grid) <= {"maxIter", "regParam", "elasticNetParam"} and metric in ev.MULTICLASS_METRICS:
+        sides = df.groupBy(fold_col, LABEL).count().collect()
+        folds = {r[fold_col] for r in sides}
+        if folds == set(range(num_folds)) and len(folds) > 1 and {r[LABEL] for r in sides} == {0, 1}:
+            return cv.fit_together(kind, df, sum(r["count"] for r in sides), metric)
+    cached = few_partitions(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return cv.fit(cached)
     finally:
