@@ -195,7 +195,7 @@ def cross_validate(
     """k-fold CV over a grid (default: the chosen point only) with a fold column.
 
     Use ``REFERENCE_GRIDS[kind]`` for the full search.  All fits of logistic
-    regression step together over two classes; in other searches
+    regression or linear SVC step together over two classes; in other searches
     the input is persisted, in few partitions, while the folds read it, and
     points that differ in ``maxIter`` alone share the fits that converged.
     """
@@ -214,7 +214,7 @@ def cross_validate(
         parallelism=parallelism,
         seed=SEED,
     )
-    if kind == "logistic_regression" and not params and set(grid) <= {"maxIter", "regParam", "elasticNetParam"} and metric in ev.MULTICLASS_METRICS:
+    if kind in SHARED and not params and set(grid) <= {"maxIter", "regParam", "elasticNetParam"} and metric in ev.MULTICLASS_METRICS:
         sides = df.groupBy(fold_col, LABEL).count().collect()
         folds = {r[fold_col] for r in sides}
         if folds == set(range(num_folds)) and len(folds) > 1 and {r[LABEL] for r in sides} == {0, 1}:

@@ -46,3 +46,7 @@ def test_one_class_alone_is_always_said(spark):
     rows = [(1 if i < 8 else 0, [float(i)], 0 if i < 8 else 1) for i in range(16)]
     df = spark.createDataFrame(rows, "label int, x array<double>, fold int").select("label", "fold", array_to_vector("x").alias(tr.FEATURES))
     assert tr.cross_validate("logistic_regression", df, grid={"maxIter": [5]}, num_folds=2).avgMetrics == [0.0]
+
+
+def test_svc_points_equal_mllibs_fits(data, monkeypatch):
+    check(data, monkeypatch, "linear_svc", {"maxIter": [2, 6, 15], "regParam": [0.1, 0.02]})
