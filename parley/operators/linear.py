@@ -112,7 +112,8 @@ def _wolfe(ask, value: float, slope: float, t: float) -> Generator:
 def _backtracked(ask, plain: float, value: float, slope: float, t: float, shrink: float) -> Generator:
     """breeze's backtracking search (20 steps): the step's length.  It takes the
     value without penalty where the step starts for that of its first point."""
-    found = plain, (yield from ask(t))[1]
+    # Where no penalty lifts the value, the first point is always shrunk.
+    found = plain, (yield from ask(t, *([t * shrink, t * shrink * shrink] if plain == value else [])))[1]
     for i in range(20):
         if found[0] > value + t * slope * 1e-4:
             factor = shrink
@@ -132,15 +133,18 @@ def _backtracked(ask, plain: float, value: float, slope: float, t: float, shrink
 
 
 def minimised(x: np.ndarray, stops: Sequence[int], l1: np.ndarray | None = None, orthants: bool = False) -> Generator:
-    """A minimiser: yields points, is sent ``(value, gradient)`` there, and
+    """A minimiser: yields points, is sent ``(value, gradient)`` at each, and
     returns the point after each number of iterations of ``stops`` (the last one
     where it ended earlier).  ``orthants`` is OWL-QN with the penalty ``l1``."""
-    last: list = [None, None]
+    known: list = []
 
-    def at(p: np.ndarray) -> Generator:
-        if last[0] is None or not np.array_equal(last[0], p):
-            last[:] = [p, (yield p)]
-        return last[1]
+    def at(p: np.ndarray, *ahead: np.ndarray) -> Generator:
+        for q, answer in known:
+            if np.array_equal(p, q):
+                return answer
+        asked = [p, *ahead]  # what may be needed next is answered in the same job
+        known[:] = zip(asked, (yield asked))
+        return known[0][1]
 
     def adjusted(p: np.ndarray, v: float, g: np.ndarray) -> tuple[float, np.ndarray]:
         if l1 is None:
@@ -168,16 +172,15 @@ def minimised(x: np.ndarray, stops: Sequence[int], l1: np.ndarray | None = None,
             if orthants:
                 d = np.where(d * slope_at < 0, d, 0.0)
 
-            def ask(t: float) -> Generator:
+            def ask(t: float, *ahead: float) -> Generator:
                 p = moved(d, t)  # noqa: B023
-                v, g = yield from at(p)
+                v, g = yield from at(p, *(moved(d, u) for u in ahead))  # noqa: B023
                 v, g = adjusted(p, v, g)
                 return v, float(d @ g)  # noqa: B023
 
             if orthants:
                 length = float(np.linalg.norm(grad))
-                v0, s0 = yield from ask(0.0)
-                t = yield from _backtracked(ask, value, v0, s0, 1.0 if n else 0.5 / length if length else math.inf, 0.5 if n else 0.1)
+                t = yield from _backtracked(ask, value, total, float(d @ slope_at), 1.0 if n else 0.5 / length if length else math.inf, 0.5 if n else 0.1)
             else:
                 length = float(np.linalg.norm(d))
                 t = yield from _wolfe(ask, value, float(d @ grad), 1.0 if n else 1 / length if length else math.inf)
@@ -293,20 +296,23 @@ def fitted(kind: str, data: RDD, moments: Mapping[float, _Moments], models: Sequ
         return w, p[-1] - float(w @ side.mean)
 
     while asked:
-        now = sorted(asked)
-        weights, bias = zip(*(plain(i, asked[i]) for i in now))
-        work = _sums(kind, np.stack(weights, 1), np.array(bias), np.array([models[i][0] for i in now], float))
+        now = [(i, p) for i in sorted(asked) for p in asked[i]]
+        weights, bias = zip(*(plain(i, p) for i, p in now))
+        work = _sums(kind, np.stack(weights, 1), np.array(bias), np.array([models[i][0] for i, _ in now], float))
         width = len(weights[0])
         _, total = nt._totals(data, [len(now) * (width + 2)], work)
         loss, back, grads = total[: len(now)], total[len(now) : 2 * len(now)], total[2 * len(now) :].reshape(width, len(now))
-        for j, i in enumerate(now):
+        answers: dict[int, list] = {i: [] for i in asked}
+        for j, (i, p) in enumerate(now):
             k, reg, net = models[i]
-            side, p = sides[k], asked[i]
+            side = sides[k]
             l2 = reg * (1 - net) if kind == "logistic_regression" else reg
             grad = np.r_[(grads[:, j] - side.mean * back[j]) * side.inverse, back[j]] / side.n
             grad[:-1] += l2 * p[:-1]
+            answers[i].append((loss[j] / side.n + l2 * float(p[:-1] @ p[:-1]) / 2, grad))
+        for i, answer in answers.items():
             try:
-                asked[i] = runs[i].send((loss[j] / side.n + l2 * float(p[:-1] @ p[:-1]) / 2, grad))
+                asked[i] = runs[i].send(answer)
             except StopIteration as end:
                 out[i] = [plain(i, q) for q in end.value]
                 del asked[i]
